@@ -1,8 +1,8 @@
 """Analytic questions over triples (Q1-Q56).
 
-``t`` is a table of triples ``s, p, o, o_kind, dtype, lang``.  Patterns select
-from it; every other operator takes and returns tables whose columns are the
-question's variables.
+``t`` is a table of triples ``s, p, o, o_kind, dtype, lang``, or one table per
+predicate.  Patterns select from it; every other operator takes and returns
+tables whose columns are the question's variables.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessella.sources.readers import TripleTables
+
+Triples = DataFrame | TripleTables
+
 TYPE = "rdf:type"
 LABEL = "rdfs:label"
 
@@ -20,7 +24,7 @@ LABEL = "rdfs:label"
 
 
 def pattern(
-    t: DataFrame,
+    t: Triples,
     p: str | Sequence[str],
     s: str | None = "s",
     o: str | None = "o",
@@ -35,7 +39,8 @@ def pattern(
     a store kept by predicate.  ``s=None`` or ``o=None`` leaves that variable
     out; several predicates may be given, ``tag`` then names the matched one.
     """
-    rows = t.filter(F.col("p") == p) if isinstance(p, str) else t.filter(F.col("p").isin(list(p)))
+    wanted = [p] if isinstance(p, str) else list(p)
+    rows = t.only(wanted) if isinstance(t, TripleTables) else t.filter(F.col("p").isin(wanted))
     if subject is not None:
         rows = rows.filter(F.col("s") == subject)
     if obj is not None:
@@ -48,34 +53,34 @@ def pattern(
     return rows.select(*kept)
 
 
-def of_class(df: DataFrame, t: DataFrame, var: str, cls: str) -> DataFrame:
+def of_class(df: DataFrame, t: Triples, var: str, cls: str) -> DataFrame:
     """Q2: keep rows whose ``var`` has the class."""
     return df.join(pattern(t, TYPE, var, None, obj=cls), [var], "left_semi")
 
 
-def instances(t: DataFrame, cls: str, var: str) -> DataFrame:
+def instances(t: Triples, cls: str, var: str) -> DataFrame:
     """Q2: the instances of a class."""
     return pattern(t, TYPE, var, None, obj=cls)
 
 
-def class_counts(t: DataFrame) -> DataFrame:
+def class_counts(t: Triples) -> DataFrame:
     """Q8: subjects per class."""
     return pattern(t, TYPE, "s", "type").groupBy("type").agg(F.count("*").alias("count"))
 
 
-def star(df: DataFrame, t: DataFrame, var: str, wanted: Mapping[str, str]) -> DataFrame:
+def star(df: DataFrame, t: Triples, var: str, wanted: Mapping[str, str]) -> DataFrame:
     """Q3: several predicates of one subject, each to its own column."""
     return reduce(lambda d, po: d.join(pattern(t, po[0], var, po[1]), [var]), wanted.items(), df)
 
 
-def wide(t: DataFrame, var: str, wanted: Mapping[str, str]) -> DataFrame:
+def wide(t: Triples, var: str, wanted: Mapping[str, str]) -> DataFrame:
     """Q3: a star of single-valued predicates in one pass and one shuffle."""
     rows = pattern(t, list(wanted), var, "__o", tag="__p")
     packed = rows.groupBy(var).agg(*[F.max(F.when(F.col("__p") == p, F.col("__o"))).alias(c) for p, c in wanted.items()])
     return packed.dropna(subset=list(wanted.values()))
 
 
-def path(df: DataFrame, t: DataFrame, start: str, hops: Sequence[tuple[str, str]]) -> DataFrame:
+def path(df: DataFrame, t: Triples, start: str, hops: Sequence[tuple[str, str]]) -> DataFrame:
     """Q4: follow ``(predicate, variable)`` hops from column ``start``."""
     for p, var in hops:
         df = df.join(pattern(t, p, start, var), [start])
@@ -86,23 +91,23 @@ def path(df: DataFrame, t: DataFrame, start: str, hops: Sequence[tuple[str, str]
 # ----------------------------------------------------------- optional, exists
 
 
-def optional(df: DataFrame, part: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def optional(df: DataFrame, part: Triples, on: str | Sequence[str]) -> DataFrame:
     """Q9-Q12: keep rows without a match.  Build a group of patterns, a filter,
     an aggregate or a flag column in ``part`` first: it matches whole or not."""
     return df.join(part, [on] if isinstance(on, str) else list(on), "left")
 
 
-def label_of(df: DataFrame, t: DataFrame, var: str, out: str | None = None) -> DataFrame:
+def label_of(df: DataFrame, t: Triples, var: str, out: str | None = None) -> DataFrame:
     """Q9: the optional label of a variable."""
     return optional(df, pattern(t, LABEL, var, out or f"{var}Label"), var)
 
 
-def without(df: DataFrame, part: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def without(df: DataFrame, part: Triples, on: str | Sequence[str]) -> DataFrame:
     """Q16, Q17: NOT EXISTS; apply it twice for a conjunction."""
     return df.join(part, [on] if isinstance(on, str) else list(on), "left_anti")
 
 
-def exists_flag(df: DataFrame, part: DataFrame, on: str | Sequence[str], name: str) -> DataFrame:
+def exists_flag(df: DataFrame, part: Triples, on: str | Sequence[str], name: str) -> DataFrame:
     """Q19: EXISTS as a boolean column."""
     keys = [on] if isinstance(on, str) else list(on)
     found = part.select(*keys).distinct().withColumn(name, F.lit(True))
@@ -117,7 +122,7 @@ def lacking_any(df: DataFrame, parts: Sequence[DataFrame], on: str | Sequence[st
     return df.filter(reduce(lambda a, b: a | b, [~F.col(f) for f in flags])).drop(*flags)
 
 
-def if_any(df: DataFrame, part: DataFrame) -> DataFrame:
+def if_any(df: DataFrame, part: Triples) -> DataFrame:
     """Q55: a pattern sharing no variable only asks whether it matches at all.
 
     An uncorrelated EXISTS: ``part`` is evaluated once, rows are not multiplied.
@@ -133,7 +138,7 @@ def ask(df: DataFrame, name: str = "answer") -> DataFrame:
 # ------------------------------------------------- sets of values per subject
 
 
-def with_all_values(t: DataFrame, p: str, values: Sequence[str], var: str = "s") -> DataFrame:
+def with_all_values(t: Triples, p: str, values: Sequence[str], var: str = "s") -> DataFrame:
     """Q7: subjects having every one of the values of ``p``."""
     rows = pattern(t, p, var, "__o", obj=list(values))
     return rows.groupBy(var).agg(F.count_distinct("__o").alias("__n")).filter(F.col("__n") == len(set(values))).select(var)
@@ -148,7 +153,7 @@ def with_several(df: DataFrame, var: str, value: str, at_least: int = 2) -> Data
     return df.groupBy(var).agg(F.count_distinct(value).alias("__n")).filter(F.col("__n") >= at_least).select(var)
 
 
-def sharing_with(t: DataFrame, p: str, subject: str, var: str = "s") -> DataFrame:
+def sharing_with(t: Triples, p: str, subject: str, var: str = "s") -> DataFrame:
     """Q13: other subjects sharing a value of ``p`` with ``subject``, once each."""
     given = pattern(t, p, None, "__o", subject=subject)
     others = pattern(t, p, var, "__o").filter(F.col(var) != subject)
@@ -163,7 +168,7 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def tagged(t: DataFrame, tags: Mapping[str, str], s: str = "s", o: str | None = "o", tag: str = "category") -> DataFrame:
+def tagged(t: Triples, tags: Mapping[str, str], s: str = "s", o: str | None = "o", tag: str = "category") -> DataFrame:
     """Q15: alternatives on several predicates, each with its category, in one scan."""
     rows = pattern(t, list(tags), s, o, tag="__p")
     names = F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])

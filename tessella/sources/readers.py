@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from functools import cache, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField
 
 CELL_SCHEMA = "array<struct<kind: int, language: string, value: string>>"
 CANONICAL_SCHEMA = (
@@ -159,41 +160,70 @@ def read_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parse_triples(spark.read.text(path))
 
 
+class TripleTables:
+    """Triples kept as one table per predicate, not yet put together.
+
+    A pattern on a predicate opens that predicate's tables and nothing else, so
+    plans stay as small as the question however many tables feed the graph.
+    """
+
+    def __init__(self, parts: Sequence[tuple[str, Callable[[], DataFrame]]]):
+        self.parts = list(parts)
+
+    def __add__(self, other: TripleTables) -> TripleTables:
+        return TripleTables(self.parts + other.parts)
+
+    def only(self, predicates: Sequence[str]) -> DataFrame:
+        """The triples of the given predicates."""
+        wanted = [make() for p, make in self.parts if p in set(predicates)]
+        wanted = wanted or [self.parts[0][1]().filter(F.lit(False))]
+        return reduce(lambda a, b: a.unionByName(b), wanted)
+
+    def all(self) -> DataFrame:
+        """Every triple as one table, as for writing a store."""
+        return reduce(lambda a, b: a.unionByName(b), [make() for _, make in self.parts])
+
+
 def melt(
-    df: DataFrame,
+    source: DataFrame | Callable[[], DataFrame],
     subject: Column,
     cls: str | None = None,
     iris: Mapping[str, Column] | None = None,
     literals: Mapping[str, Column] | None = None,
     langs: Mapping[str, Column] | None = None,
-) -> DataFrame:
+) -> TripleTables:
     """A wide table as triples; null objects are left out.
 
-    Each predicate is its own projection of the table.  A question that reads
-    one predicate then scans only that predicate's columns: the filter on ``p``
-    folds every other projection away before anything runs.
+    Each predicate is its own projection of the table, so a question reading
+    one predicate scans only that predicate's columns.  ``source`` may be a
+    function opening the table, called when a predicate is first asked for.
     """
-    text = lambda c: c.cast("string")
+    opened = (lambda: source) if isinstance(source, DataFrame) else cache(source)
     none = F.lit(None).cast("string")
 
-    def part(p: str, o: Column, kind: str, dtype: Column, lang: Column) -> DataFrame:
-        rows = df.select(
-            text(subject).alias("s"), F.lit(p).alias("p"), text(o).alias("o"), F.lit(kind).alias("o_kind"), dtype.alias("dtype"), lang.alias("lang")
-        )
-        return rows.filter(F.col("o").isNotNull())
-
-    parts = [part("rdf:type", F.lit(cls), "iri", none, none)] if cls else []
-    parts += [part(p, c, "iri", none, none) for p, c in (iris or {}).items()]
-    for p, c in (literals or {}).items():
-        lang = (langs or {}).get(p)
-        parts.append(part(p, c, "literal", none if lang is not None else F.lit(f"xsd:{_xsd(df, c)}"), lang if lang is not None else none))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def _xsd(df: DataFrame, c: Column) -> str:
+    def rows(p: str, o: Column, kind: str, lang: Column | None = None) -> DataFrame:
+        df = opened()
+        typed = kind == "literal" and lang is None
+        dtype = F.lit(_xsd(df.select(o.alias(p)).schema[p])) if typed else none
+        return df.select(
+            subject.cast("string").alias("s"),
+            F.lit(p).alias("p"),
+            o.cast("string").alias("o"),
+            F.lit(kind).alias("o_kind"),
+            dtype.alias("dtype"),
+            (none if lang is None else lang).alias("lang"),
+        ).filter(F.col("o").isNotNull())
+
+    parts = [("rdf:type", partial(rows, "rdf:type", F.lit(cls), "iri"))] if cls else []
+    parts += [(p, partial(rows, p, c, "iri")) for p, c in (iris or {}).items()]
+    parts += [(p, partial(rows, p, c, "literal", (langs or {}).get(p))) for p, c in (literals or {}).items()]
+    return TripleTables(parts)
+
+
+def _xsd(field: StructField) -> str:
     """The XML Schema name of a column's type."""
-    kind = df.select(c.alias("c")).schema["c"].dataType.typeName()
-    return {"integer": "integer", "long": "integer", "double": "decimal", "float": "decimal", "date": "date", "boolean": "boolean"}.get(kind, "string")
+    names = {"integer": "integer", "long": "integer", "decimal": "decimal", "double": "double", "float": "float", "date": "date", "boolean": "boolean"}
+    return "xsd:" + names.get(field.dataType.typeName(), "string")
 
 
 def melt_once(df: DataFrame, subject: Column, values: Mapping[str, Column]) -> DataFrame:
