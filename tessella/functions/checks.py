@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.text import WS, first_line_col, has_text, rstrip
 
@@ -31,7 +31,7 @@ def valid_start(q: Column) -> Column:
 
 def _balanced(text: Column, opening: str, closing: str) -> Column:
     """Never below zero and zero at the end, over the brackets of ``text`` only."""
-    brackets = F.regexp_replace(text, rf"[^\{opening}\{closing}]", "")
+    brackets = F.regexp_replace(text, rf"[^\{opening}\{closing}]+", "")
     step = lambda ch: F.when(ch == opening, 1).when(ch == closing, -1).otherwise(0)
     walked = F.aggregate(
         F.split(brackets, ""),
@@ -63,21 +63,24 @@ def truncated(has: Column, balanced: Column, suspicious: Column) -> Column:
     return has & (~balanced | suspicious)
 
 
-def _bare(q: Column) -> Column:
+def bare(q: Column) -> Column:
     """The query without escapes, string literals and IRIs."""
-    unescaped = F.regexp_replace(q, r"\\.", "")
+    unescaped = F.when(F.contains(q, F.lit("\\")), F.regexp_replace(q, r"\\.", "")).otherwise(q)
     return F.regexp_replace(unescaped, r'"[^"\n]*"|\'[^\'\n]*\'|<[^<>"{}|^`\s]*>', "")
 
 
-def lexical_issues(q: Column) -> Column:
+def glued_select(q: Column) -> Column:
+    """0-based place of a variable's mark right after SELECT; 5 when there is none."""
+    return F.regexp_instr(q, F.lit(r"(?i)\bSELECT\?")) + 5
+
+
+def lexical_issues(q: Column, bare_q: Column, glued: Column) -> Column:
     """V6: lexical well-formedness, an approximation of a grammar check.
 
     Brackets must balance and quotes must close outside literals and IRIs, a
     query other than DESCRIBE needs a group, and SELECT must not run into its
     first variable.  Queries that pass may still fail a full grammar.
     """
-    bare = _bare(q)
-    glued = F.regexp_instr(q, F.lit(r"(?i)\bSELECT\?")) + 5
     line, col = first_line_col(q, glued)
     return F.when(~has_text(q), F.array(F.lit(EMPTY_QUERY))).otherwise(
         F.array_compact(
@@ -86,15 +89,21 @@ def lexical_issues(q: Column) -> Column:
                     glued > 5,
                     F.format_string("Expected a blank, found '?'  (at char %d), (line:%d, col:%d)", glued, line, col),
                 ),
-                F.when(~F.contains(bare, F.lit("{")) & ~q.rlike(rf"(?iu)\A[{WS}]*DESCRIBE"), F.lit("Missing group")),
-                F.when(~_balanced(bare, "{", "}"), F.lit("Unbalanced braces")),
-                F.when(~_balanced(bare, "(", ")"), F.lit("Unbalanced parentheses")),
-                F.when(bare.rlike("[\"']"), F.lit("Unclosed quote")),
+                F.when(~F.contains(bare_q, F.lit("{")) & ~q.rlike(rf"(?iu)\A[{WS}]*DESCRIBE"), F.lit("Missing group")),
+                F.when(~_balanced(bare_q, "{", "}"), F.lit("Unbalanced braces")),
+                F.when(~_balanced(bare_q, "(", ")"), F.lit("Unbalanced parentheses")),
+                F.when(bare_q.rlike("[\"']"), F.lit("Unclosed quote")),
             )
         )
     )
 
 
+def with_lexical_issues(df: DataFrame, query: str, out: str = "lexical_issues") -> DataFrame:
+    """V6 as its own projections, since its parts are read several times."""
+    parts = df.withColumns({"__bare": bare(F.col(query)), "__glued": glued_select(F.col(query))})
+    return parts.withColumn(out, lexical_issues(F.col(query), F.col("__bare"), F.col("__glued"))).drop("__bare", "__glued")
+
+
 def error_position(message: Column, label: str) -> Column:
     """V7: the number after ``line:``, ``col:`` or ``char `` in a message."""
     return F.nullif(F.regexp_extract(message, rf"{label}(\d+)", 1), F.lit("")).cast("int")

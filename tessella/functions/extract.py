@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessella.functions.text import BLANK, WS, rstrip, strip, unify_lines
+from tessella.functions.text import BLANK, BLANK_RUN, WS, strip, unify_lines
 
 # What marks reasoning, labels, fences and query starts.
 THINK_BLOCK = r"(?isu)<think>.*?</think>"
@@ -24,13 +24,13 @@ ANY_FENCE = r"(?s)```.*?```"
 REGION = (
     rf"(?imsud)^[{BLANK}]*((?:PREFIX [{BLANK}]*[^{WS}]|SELECT|ASK|CONSTRUCT|DESCRIBE).*)"
 )
-COMMENT_LINE = rf"(?md)^[{BLANK}]*#.*(?:\n|\z)"
-COMMENT_TAIL = rf"(?md)(?<![{BLANK}])[{BLANK}]++#.*$"
-LINE_END_BLANKS = rf"(?md)(?<![{BLANK}])[{BLANK}]++$"
+# a comment line with its newline, or a run of blanks that ends its line, with
+# or without a comment: one pass finds both
+COMMENTS = rf"(?md)^[{BLANK}]*#.*(?:\n|\z)|{BLANK_RUN}(?:#.*)?$"
 PREFIX_LINE = (
     rf"(?imud)^[{BLANK}]*PREFIX[{BLANK}]+[\p{{L}}\p{{N}}_]+:[{BLANK}]*<[^>\n]+>[{BLANK}]*(?:\n|\z)"
 )
-BLANK_RUN = r"\n{3,}"
+EMPTY_LINES = r"\n{3,}"
 
 
 def strip_echo(output: Column, prompt: Column) -> Column:
@@ -65,29 +65,32 @@ def query_region(text: Column) -> Column:
     return strip(F.substring_index(tail, "```", 1))
 
 
-def drop_comments(text: Column) -> Column:
-    """Drop comment lines, cut comments after white space, trim line ends."""
-    text = F.regexp_replace(unify_lines(text), COMMENT_LINE, "")
-    text = F.regexp_replace(text, COMMENT_TAIL, "")
-    return strip(F.regexp_replace(text, LINE_END_BLANKS, ""))
+def drop_comments(text: Column, unified: bool = False) -> Column:
+    """Drop comment lines, cut comments after white space, trim line ends.
 
+    ``unified`` says the lines already end in plain newlines.
+    """
+    return strip(F.regexp_replace(text if unified else unify_lines(text), COMMENTS, ""))
 
-def drop_prefixes(text: Column) -> Column:
+
+def drop_prefixes(text: Column, unified: bool = False) -> Column:
     """Drop complete PREFIX lines; the empty prefix stays."""
-    return strip(F.regexp_replace(unify_lines(text), PREFIX_LINE, ""))
+    return strip(F.regexp_replace(text if unified else unify_lines(text), PREFIX_LINE, ""))
 
 
 def squeeze_blank_lines(text: Column) -> Column:
     """At most one blank line in a row."""
-    return strip(F.regexp_replace(text, BLANK_RUN, "\n\n"))
+    return strip(F.regexp_replace(text, EMPTY_LINES, "\n\n"))
 
 
 def extract_queries(df: DataFrame, raw: str, out: str = "extracted_query") -> DataFrame:
     """The whole chain over column ``raw``; null input gives the empty string."""
     labelled, block = f"__{out}_text", f"__{out}_block"
+    # the region step leaves plain newlines, so the steps after it need not unify them
+    cleaned = drop_prefixes(drop_comments(query_region(F.col(block)), unified=True), unified=True)
     return (
         df.withColumn(labelled, drop_label_lines(drop_thinking(strip(F.coalesce(raw, F.lit(""))))))
         .withColumn(block, code_block(F.col(labelled)))
-        .withColumn(out, squeeze_blank_lines(drop_prefixes(drop_comments(query_region(F.col(block))))))
+        .withColumn(out, squeeze_blank_lines(cleaned))
         .drop(labelled, block)
     )

@@ -13,6 +13,9 @@ WHITESPACE = (
 # The same set as the body of a regular-expression class, and without "\n".
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BLANK = r"\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# One blank that starts a run and the rest of the run.  Testing the character
+# before looking back keeps the scan cheap, and never retries inside a run.
+BLANK_RUN = rf"[{BLANK}](?<![{BLANK}][{BLANK}])[{BLANK}]*+"
 LINE_BREAK = r"\r\n|[\x0b-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -26,7 +29,7 @@ def rstrip(c: Column) -> Column:
 
 def has_text(c: Column) -> Column:
     """True when the column holds a character that is not white space."""
-    return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
+    return F.coalesce(c.cast("string").rlike(f"[^{WS}]"), F.lit(False))
 
 
 def unify_lines(c: Column) -> Column:

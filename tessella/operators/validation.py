@@ -22,8 +22,11 @@ def validate(results: DataFrame, parse_error: str | None = None) -> DataFrame:
     """
     q = F.col("extracted_query")
     text = results.withColumn("extracted_query", F.coalesce(q, F.lit("")))
-    own = F.coalesce(F.get(checks.lexical_issues(q), F.lit(0)), F.lit(None).cast("string"))
-    message = F.when(~F.col("has_extracted_query"), F.lit(checks.EMPTY_QUERY)).otherwise(F.col(parse_error)) if parse_error else own
+    if parse_error:
+        message = F.when(~F.col("has_extracted_query"), F.lit(checks.EMPTY_QUERY)).otherwise(F.col(parse_error))
+    else:
+        text = checks.with_lexical_issues(text, "extracted_query")
+        message = F.get("lexical_issues", F.lit(0))
     # flags first: each is read many times below and must be computed once
     flags = text.withColumn("has_extracted_query", checks.has_query(q)).withColumns(
         {

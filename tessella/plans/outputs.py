@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.plans.registry import sql_text, table
+from tessella.session import spread
 
 # (before the text, after the text); form k is used for keys with key % len == k
 FORMS = [
@@ -52,7 +53,7 @@ def wrapped_sql(key: str, text: str) -> str:
 
 def model_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, family, raw``: one recorded output per document."""
-    return table(spark, sf, "documents").select("doc_id", F.col("source").alias("family"), wrapped(F.col("doc_id"), F.col("text")).alias("raw"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.col("source").alias("family"), wrapped(F.col("doc_id"), F.col("text")).alias("raw"))
 
 
 OUTPUTS_SQL = f"outputs as (select doc_id, source as family, {wrapped_sql('doc_id', 'text')} as raw from documents)"

@@ -10,6 +10,7 @@ from tessella.operators.runs import entry_id, gold_query, run_summary, score_run
 from tessella.operators.validation import validate, validation_summary
 from tessella.plans.outputs import OUTPUTS_SQL, model_outputs
 from tessella.plans.registry import query, sql_text, table
+from tessella.session import spread
 
 # ------------------------------------------------------------ the chain in SQL
 
@@ -126,7 +127,7 @@ def x8_query(spark, sf):
 )
 def x8_pages(spark, sf):
     raw = F.concat("html", F.lit("\n<pre>\nSELECT ?x WHERE { ?x a <"), "url", F.lit("> }\n</pre>"))
-    rows = table(spark, sf, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("family"), raw.alias("raw"))
+    rows = spread(table(spark, sf, "pages")).select(F.col("page_id").alias("key"), F.col("url").alias("family"), raw.alias("raw"))
     return extract.extract_queries(rows, F.col("raw"), "q").select("key", "family", "q")
 
 
@@ -209,7 +210,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("V06_lexical_check", f"{CHECKED} select key, parse_ok, message from judged")
 def v6(spark, sf):
-    rows = extracted(spark, sf).withColumn("message", F.get(checks.lexical_issues(F.col("q")), F.lit(0)))
+    rows = checks.with_lexical_issues(extracted(spark, sf), "q").withColumn("message", F.get("lexical_issues", F.lit(0)))
     return rows.select("key", F.col("message").isNull().alias("parse_ok"), "message")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators rely on.  Adaptive execution coalesces
 # small shuffle partitions and splits skewed join partitions; forcing the skew
@@ -52,3 +52,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-bound text work every core when the input has fewer splits.
+
+    A large table has more splits than the cluster has cores and is left as it
+    is; only a table of a few splits is moved, once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
