@@ -1,46 +1,16 @@
 """Template hierarchies as flat mapping rows, and their rendered text.
 
 A mapping is a set of templates rendered together, named by column ``mapping``.
-Everything works on property rows, one per template property, so a run renders
-any number of mappings at once and no template is held in one place.
+A run renders any number of mappings at once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType
 
 from tessella.operators import prompt_texts as texts
-
-ROW_COLUMNS = (
-    "mapping level path1 path2 path3 label cardinality description predicate_label class_label "
-    "class_id subtemplate_id subtemplate_label pos"
-).split()
-
-
-def property_rows(templates: DataFrame) -> DataFrame:
-    """One row per template property with its position.
-
-    ``templates`` has ``mapping, tpos, id, label, target_class, properties``;
-    a template without properties keeps one row with null path, since its class
-    can still be the target of another template's property.
-    """
-    rows = templates.select("mapping", "tpos", "id", "label", "target_class", F.posexplode_outer("properties").alias("ppos", "prop"))
-    p = F.col("prop")
-    return rows.select(
-        "mapping",
-        "tpos",
-        F.col("id").alias("template_id"),
-        F.col("label").alias("template_label"),
-        F.col("target_class.id").alias("target_class_id"),
-        F.coalesce("ppos", F.lit(0)).alias("ppos"),
-        p["path"]["id"].alias("path_id"),
-        p["path"]["label"].alias("path_label"),
-        p["label"].alias("label"),
-        p["description"].alias("description"),
-        p["max_count"].alias("max_count"),
-        p["class"]["id"].alias("class_id"),
-        p["class"]["label"].alias("class_label"),
-    )
+from tessella.operators.lookup import lookup_join
 
 
 def cardinality(max_count: Column) -> Column:
@@ -58,83 +28,102 @@ def shown_description(description: Column, label: Column, path_label: Column) ->
     return F.coalesce(F.nullif(description, F.lit("")), F.nullif(label, F.lit("")), path_label)
 
 
-def template_mapping(properties: DataFrame) -> DataFrame:
+def _own_properties(properties: Column) -> Column:
+    """The properties of one template with a path, one per path.
+
+    The later property wins, in the place where the path first appeared.
+    """
+    with_path = F.filter(properties, lambda p: F.length(p["path"]["id"]) > 0)
+    paths = F.transform(with_path, lambda p: p["path"]["id"])
+
+    def shown(p: Column, i: Column) -> Column:
+        path, cls = p["path"], p["class"]
+        return F.struct(
+            path["id"].alias("path"),
+            (F.array_position(paths, path["id"]) - 1).cast("int").alias("place"),
+            (F.array_position(F.reverse(paths), path["id"]) == F.size(paths) - i).alias("last"),
+            shown_label(cls["label"], path["label"]).alias("label"),
+            cardinality(p["max_count"]).alias("cardinality"),
+            shown_description(p["description"], p["label"], path["label"]).alias("description"),
+            path["label"].alias("predicate_label"),
+            cls["label"].alias("class_label"),
+            F.nullif(cls["id"], F.lit("")).alias("class_id"),
+        )
+
+    return F.filter(F.transform(with_path, shown), lambda v: v["last"])
+
+
+def template_mapping(templates: DataFrame) -> DataFrame:
     """Property, subtemplate and nested rows of every mapping.
 
-    A property whose class is some template's target class carries that
-    template's properties below it, two levels deep.  The later template wins
-    for a class and the later property for a path, while a path keeps the place
-    where it first appeared.  Both rules are aggregates, so one mapping holding
-    most rows is still reduced before it moves.
+    ``templates`` has ``mapping, tpos, id, label, target_class, properties``,
+    one row per template.  A property whose class is some template's target
+    class carries that template's properties below it, two levels deep.  The
+    later template wins for a class and the later property for a path, while a
+    path keeps the place where it first appeared.
+
+    Both rules are aggregates keyed by mapping and path or class, so a mapping
+    holding most rows still spreads.  One pipeline makes all three levels: each
+    top property travels with its children to the lookup of their templates.
     """
-    shown = properties.select(
-        "mapping",
-        "tpos",
-        "ppos",
-        F.col("path_id"),
-        F.struct(
-            shown_label(F.col("class_label"), F.col("path_label")).alias("label"),
-            cardinality(F.col("max_count")).alias("cardinality"),
-            shown_description(F.col("description"), F.col("label"), F.col("path_label")).alias("description"),
-            F.col("path_label").alias("predicate_label"),
-            F.col("class_label"),
-            F.nullif("class_id", F.lit("")).alias("class_id"),
-        ).alias("v"),
-    ).filter(F.length("path_id") > 0)
-    in_template = shown.groupBy("mapping", "tpos", "path_id").agg(
-        F.max_by("v", "ppos").alias("v"), F.min("ppos").alias("pos"), F.max("ppos").alias("last")
-    )
+    own = templates.withColumn("own", _own_properties(F.col("properties")))
     by_class = (
-        properties.filter(F.length("target_class_id") > 0)
-        .groupBy("mapping", F.col("target_class_id").alias("class_id"))
-        .agg(F.max_by(F.struct("tpos", "template_id", "template_label"), "tpos").alias("target"))
+        own.filter(F.length("target_class.id") > 0)
+        .groupBy("mapping", F.col("target_class.id").alias("class_id"))
+        .agg(F.max_by(F.struct("id", "label", F.col("own").alias("below")), "tpos").alias("target"))
     )
 
-    def with_target(rows: DataFrame, v: str, out: str) -> DataFrame:
-        keyed = rows.withColumn("class_id", F.col(f"{v}.class_id"))
-        return keyed.join(by_class.withColumnRenamed("target", out), ["mapping", "class_id"], "left").drop("class_id")
-
-    first = in_template.groupBy("mapping", F.col("path_id").alias("path1")).agg(
-        F.max_by("v", F.struct("tpos", "last")).alias("v1"),
-        F.min(F.struct("tpos", "pos")).alias("place"),
-    ).select("mapping", "path1", "v1", F.struct(F.col("place.tpos").alias("t"), F.col("place.pos").alias("p")).alias("pos1"))
-    level1 = with_target(first, "v1", "target1")
-    children = in_template.select("mapping", "tpos", F.col("path_id").alias("path2"), F.col("v").alias("v2"), F.col("pos").alias("pos2"))
-    level2 = with_target(
-        level1.withColumn("tpos", F.col("target1.tpos")).join(children, ["mapping", "tpos"]).drop("tpos"), "v2", "target2"
-    )
-    nested = in_template.select("mapping", "tpos", F.col("path_id").alias("path3"), F.col("v").alias("v3"), F.col("pos").alias("pos3"))
-    level3 = level2.withColumn("tpos", F.col("target2.tpos")).join(nested, ["mapping", "tpos"]).drop("tpos")
+    def with_target(rows: DataFrame, v: Column, *path: str) -> DataFrame:
+        # a row without a class gets a key of its own that matches nothing: null
+        # keys would all meet in one task
+        key = F.coalesce(v["class_id"], F.concat_ws("\x00", F.lit(""), *path))
+        return rows.withColumn("class_id", key).join(by_class, ["mapping", "class_id"], "left").drop("class_id")
 
-    none = F.lit(None).cast("string")
-    zero = F.lit(-1)
+    top = (
+        own.select("mapping", "tpos", F.explode("own").alias("v"))
+        .groupBy("mapping", F.col("v.path").alias("path1"))
+        .agg(F.max_by("v", "tpos").alias("v"), F.min(F.struct(F.col("tpos").alias("t"), F.col("v.place").alias("p1"))).alias("at"))
+    )
 
-    def rows(df: DataFrame, level: int, target: Column | None) -> DataFrame:
-        v = F.col(f"v{level}")
-        has_target = target.isNotNull() if target is not None else F.lit(False)
-        return df.select(
-            "mapping",
+    def row(level: int, v: Column, target: Column, path2: Column, path3: Column, p2: Column, p3: Column) -> Column:
+        found = F.lit(False) if level == 3 else target.isNotNull()
+        none = F.lit(None).cast("string")
+        return F.struct(
             F.lit(level).alias("level"),
-            "path1",
-            (F.col("path2") if level > 1 else none).alias("path2"),
-            (F.col("path3") if level > 2 else none).alias("path3"),
+            F.col("path1"),
+            path2.alias("path2"),
+            path3.alias("path3"),
             *[v[c].alias(c) for c in ("label", "cardinality", "description", "predicate_label", "class_label")],
-            F.when(has_target, v["class_id"]).alias("class_id"),
-            (target["template_id"] if target is not None else none).alias("subtemplate_id"),
-            (target["template_label"] if target is not None else none).alias("subtemplate_label"),
-            F.struct(
-                F.col("pos1.t").alias("t"),
-                F.col("pos1.p").alias("p1"),
-                (F.col("pos2") if level > 1 else zero).alias("p2"),
-                (F.col("pos3") if level > 2 else zero).alias("p3"),
-            ).alias("pos"),
+            F.when(found, v["class_id"]).alias("class_id"),
+            (none if level == 3 else target["id"]).alias("subtemplate_id"),
+            (none if level == 3 else target["label"]).alias("subtemplate_label"),
+            F.struct(F.col("at.t").alias("t"), F.col("at.p1").alias("p1"), p2.alias("p2"), p3.alias("p3")).alias("pos"),
         )
 
-    return (
-        rows(level1, 1, F.col("target1"))
-        .unionByName(rows(level2, 2, F.col("target2")))
-        .unionByName(rows(level3, 3, None))
+    none, zero = F.lit(None).cast("string"), F.lit(-1)
+    # the first entry stands for the top property itself, the others for its children
+    heads = with_target(top, F.col("v"), "path1").select(
+        "mapping",
+        "path1",
+        "at",
+        row(1, F.col("v"), F.col("target"), none, none, zero, zero).alias("head"),
+        F.explode(F.concat(F.array(F.lit(None).cast(_child_type(own))), F.coalesce("target.below", F.array()))).alias("child"),
+    )
+    child = F.col("child")
+    found = with_target(heads, child, "path1", "child.path")
+    second = row(2, child, F.col("target"), child["path"], none, child["place"], zero)
+    nested = F.transform(
+        F.coalesce("target.below", F.array()),
+        lambda n: row(3, n, F.col("target"), child["path"], n["path"], child["place"], n["place"]),
+    )
+    out = found.select(
+        "mapping", F.explode(F.when(child.isNull(), F.array("head")).otherwise(F.concat(F.array(second), nested))).alias("r")
     )
+    return out.select("mapping", "r.*")
+
+
+def _child_type(own: DataFrame) -> DataType:
+    return own.schema["own"].dataType.elementType
 
 
 def schema_line() -> Column:
@@ -157,35 +146,32 @@ def hierarchy_line() -> Column:
     return F.format_string(texts.OUTLINE_ROW, indent, F.col("label"), own)
 
 
-def _in_order(line: str) -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(line).alias("line")))), lambda r: r["line"])
+def sections(rows: DataFrame) -> DataFrame:
+    """Property table and outline of each mapping, parent before child.
+
+    Both texts come from one grouping of the rows.  In the outline a blank line
+    closes each top property.
+    """
+    lines = rows.select("mapping", "pos", "level", schema_line().alias("row"), hierarchy_line().alias("outline"))
+    grouped = lines.groupBy("mapping").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "row", "outline"))).alias("lines"))
+    # a top line after the first is preceded by the blank line that ends the block before it
+    gap = lambda r, i: F.when((r["level"] == 1) & (i > 0), F.lit("\n")).otherwise(F.lit(""))
+    outline = F.array_join(F.transform("lines", lambda r, i: F.concat(gap(r, i), r["outline"])), "")
+    return grouped.select(
+        "mapping",
+        F.concat(F.lit(texts.SCHEMA_HEAD), F.array_join("lines.row", "")).alias("schema_section"),
+        F.concat(F.lit(texts.OUTLINE_HEAD), outline, F.lit("\n"), F.lit(texts.OUTLINE_FOOT)).alias("hierarchy_section"),
+    )
 
 
 def schema_section(rows: DataFrame) -> DataFrame:
-    """The property table of each mapping, parent before child."""
-    lines = rows.select("mapping", "pos", schema_line().alias("line"))
-    return lines.groupBy("mapping").agg(
-        F.concat(F.lit(texts.SCHEMA_HEAD), F.array_join(_in_order("line"), "")).alias("schema_section")
-    )
+    """P4."""
+    return sections(rows).select("mapping", "schema_section")
 
 
 def hierarchy_section(rows: DataFrame) -> DataFrame:
-    """P5: the outline of each mapping; a blank line closes each top property."""
-    lines = rows.select("mapping", "pos", "level", hierarchy_line().alias("line"))
-    ordered = lines.groupBy("mapping").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "level", "line"))).alias("rows")
-    )
-    # a top line after the first is preceded by the blank line that ends the block before it
-    body = F.array_join(
-        F.transform(
-            F.col("rows"),
-            lambda r, i: F.concat(F.when((r["level"] == 1) & (i > 0), F.lit("\n")).otherwise(F.lit("")), r["line"]),
-        ),
-        "",
-    )
-    return ordered.select(
-        "mapping", F.concat(F.lit(texts.OUTLINE_HEAD), body, F.lit("\n"), F.lit(texts.OUTLINE_FOOT)).alias("hierarchy_section")
-    )
+    """P5."""
+    return sections(rows).select("mapping", "hierarchy_section")
 
 
 def assemble_prompts(rows: DataFrame, profiles: DataFrame, guidance: DataFrame) -> DataFrame:
@@ -195,8 +181,7 @@ def assemble_prompts(rows: DataFrame, profiles: DataFrame, guidance: DataFrame)
     and ``guidance`` has ``template_id, guidance_label`` and the five optional
     parts.  A template without guidance leaves that section out.
     """
-    sections = schema_section(rows).join(hierarchy_section(rows), "mapping")
-    known = profiles.join(sections, "mapping").join(guidance, "template_id", "left")
+    known = lookup_join(profiles.join(sections(rows), "mapping"), guidance, ["template_id"])
     name = F.coalesce(F.nullif("template_label", F.lit("")), F.col("guidance_label"), F.col("template_id"))
     target = F.coalesce(F.nullif("target_class_id", F.lit("")), F.lit(texts.DEFAULT_CLASS))
     present = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) > 0

@@ -377,37 +377,41 @@ def c9_report(spark, sf):
 # ----------------------------------------------------- P1-P7: templates, versions
 
 
-def line_properties(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as template properties: an order is a mapping, a line a template.
+def line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as templates: an order is a mapping, a line a template.
 
     Each line offers three properties whose classes point at other lines, so
     that paths repeat, classes collide and nesting reaches the third level.
     """
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min("l_returnflag").alias("flag"))
-    c = lambda e: e.cast("string")
-    part, supp = F.col("part"), F.col("supp")
-
-    def prop(i: int, path, label, description, max_count, cls, class_label):
+    lines_of = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("mapping"), F.col("l_linenumber").alias("tpos"))
+    rows = lines_of.agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min("l_returnflag").alias("flag"))
+    text = lambda e: e.cast("string")
+    named = lambda head, e: F.concat(F.lit(head), text(e))
+    ref = lambda i, label: F.struct(i.alias("id"), label.alias("label"))
+    part, supp, none = F.col("part"), F.col("supp"), F.lit(None).cast("string")
+
+    def prop(path, label, description, max_count, cls, class_label):
         return F.struct(
-            F.lit(i).alias("ppos"), path.alias("path_id"), F.concat(F.lit("path "), path).alias("path_label"), label.alias("label"),
-            description.alias("description"), max_count.alias("max_count"), cls.alias("class_id"), class_label.alias("class_label"),
+            label.alias("label"), description.alias("description"), max_count.cast("int").alias("max_count"),
+            ref(path, F.concat(F.lit("path "), path)).alias("path"), ref(cls, class_label).alias("class"),
         )
 
-    none = F.lit(None).cast("string")
-    props = F.array(
-        prop(0, F.concat(F.lit("P"), c(part % 5)), F.concat(F.lit("label "), c(part)), F.when(part % 2 == 0, "").otherwise(F.concat(F.lit("part "), c(part))), (part % 3).cast("int"), F.concat(F.lit("C"), c(part % 4)), F.when(part % 3 != 0, F.concat(F.lit("class "), c(part % 4)))),
-        prop(1, F.concat(F.lit("P"), c(supp % 5)), F.when(supp % 2 == 0, ""), none, F.when(supp % 2 == 0, F.lit(1)), F.when(supp % 3 != 0, F.concat(F.lit("C"), c(supp % 4))), none),
-        prop(2, F.when(F.col("flag") != "N", F.concat(F.lit("F"), "flag")), F.col("flag"), F.lit("flag"), F.lit(1), none, none),
+    properties = F.array(
+        prop(
+            named("P", part % 5), named("label ", part), F.when(part % 2 == 0, "").otherwise(named("part ", part)),
+            part % 3, named("C", part % 4), F.when(part % 3 != 0, named("class ", part % 4)),
+        ),
+        prop(named("P", supp % 5), F.when(supp % 2 == 0, ""), none, F.when(supp % 2 == 0, 1), F.when(supp % 3 != 0, named("C", supp % 4)), none),
+        prop(F.when(F.col("flag") != "N", named("F", F.col("flag"))), F.col("flag"), F.lit("flag"), F.lit(1), none, none),
     )
-    rows = rows.select(
-        F.col("l_orderkey").alias("mapping"),
-        F.col("l_linenumber").alias("tpos"),
-        F.concat(F.lit("R"), c(F.col("l_linenumber"))).alias("template_id"),
-        F.concat(F.lit("line "), c(F.col("l_linenumber"))).alias("template_label"),
-        F.concat(F.lit("C"), c(supp % 4)).alias("target_class_id"),
-        F.explode(props).alias("p"),
+    return rows.select(
+        "mapping",
+        "tpos",
+        named("R", F.col("tpos")).alias("id"),
+        named("line ", F.col("tpos")).alias("label"),
+        ref(named("C", supp % 4), none).alias("target_class"),
+        properties.alias("properties"),
     )
-    return rows.select("mapping", "tpos", "template_id", "template_label", "target_class_id", "p.*")
 
 
 PROPERTIES_SQL = """lines as (select l_orderkey as mapping, l_linenumber as tpos, min(l_partkey) as part, min(l_suppkey) as supp, min(l_returnflag) as flag from lineitem group by 1, 2),
@@ -434,7 +438,7 @@ mapped as (select mapping, 1 as level, path_id as path1, null as path2, null as
 
 @query("P01_template_mapping", f"with {PROPERTIES_SQL} select * exclude (t, p1, p2, p3), t || '.' || p1 || '.' || p2 || '.' || p3 as place from mapped")
 def p1(spark, sf):
-    rows = templates.template_mapping(line_properties(spark, sf))
+    rows = templates.template_mapping(line_templates(spark, sf))
     place = F.concat_ws(".", *[F.col(f"pos.{c}").cast("string") for c in ("t", "p1", "p2", "p3")])
     return rows.withColumn("place", place).drop("pos")
 
@@ -477,12 +481,12 @@ def rendered(usage: str) -> str:
 
 @query("P04_schema_section", f"with {rendered(PROPERTIES_SQL)} select mapping, schema_section from sections")
 def p4(spark, sf):
-    return templates.schema_section(templates.template_mapping(line_properties(spark, sf)))
+    return templates.schema_section(templates.template_mapping(line_templates(spark, sf)))
 
 
 @query("P05_hierarchy_section", f"with {rendered(PROPERTIES_SQL)} select mapping, hierarchy_section from sections")
 def p5(spark, sf):
-    return templates.hierarchy_section(templates.template_mapping(line_properties(spark, sf)))
+    return templates.hierarchy_section(templates.template_mapping(line_templates(spark, sf)))
 
 
 GUIDANCE_SQL = "guidance as (select * from (values " + ", ".join("(" + ", ".join(sql_text(v) for v in row) + ")" for row in texts.GUIDANCE) + ") as g(template_id, glabel, a, b, c, d, e))"
@@ -504,7 +508,7 @@ def filled(text: str) -> str:
             || {filled(texts.RULES)} as prompt_text from known""",
 )
 def p6(spark, sf):
-    rows = templates.template_mapping(line_properties(spark, sf))
+    rows = templates.template_mapping(line_templates(spark, sf))
     m = F.col("mapping")
     profiles = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("mapping")).distinct().select(
         "mapping",
