@@ -28,20 +28,23 @@ def shown_description(description: Column, label: Column, path_label: Column) ->
     return F.coalesce(F.nullif(description, F.lit("")), F.nullif(label, F.lit("")), path_label)
 
 
-def _own_properties(properties: Column) -> Column:
-    """The properties of one template with a path, one per path.
+def _own_properties(templates: DataFrame) -> DataFrame:
+    """Add ``own``: the properties of each template with a path, one per path.
 
-    The later property wins, in the place where the path first appeared.
+    The later property wins, in the place where the path first appeared.  The
+    arrays are columns of their own so that a lambda reads them instead of
+    building them again for every property.
     """
-    with_path = F.filter(properties, lambda p: F.length(p["path"]["id"]) > 0)
-    paths = F.transform(with_path, lambda p: p["path"]["id"])
+    rows = templates.withColumn("__props", F.filter("properties", lambda p: F.length(p["path"]["id"]) > 0))
+    rows = rows.withColumn("__paths", F.transform("__props", lambda p: p["path"]["id"]))
+    rows = rows.withColumn("__back", F.reverse("__paths"))
 
     def shown(p: Column, i: Column) -> Column:
         path, cls = p["path"], p["class"]
         return F.struct(
             path["id"].alias("path"),
-            (F.array_position(paths, path["id"]) - 1).cast("int").alias("place"),
-            (F.array_position(F.reverse(paths), path["id"]) == F.size(paths) - i).alias("last"),
+            (F.array_position("__paths", path["id"]) - 1).cast("int").alias("place"),
+            (F.array_position("__back", path["id"]) == F.size("__paths") - i).alias("last"),
             shown_label(cls["label"], path["label"]).alias("label"),
             cardinality(p["max_count"]).alias("cardinality"),
             shown_description(p["description"], p["label"], path["label"]).alias("description"),
@@ -50,7 +53,8 @@ def _own_properties(properties: Column) -> Column:
             F.nullif(cls["id"], F.lit("")).alias("class_id"),
         )
 
-    return F.filter(F.transform(with_path, shown), lambda v: v["last"])
+    own = F.filter(F.transform("__props", shown), lambda v: v["last"])
+    return rows.withColumn("own", own).drop("__props", "__paths", "__back")
 
 
 def template_mapping(templates: DataFrame) -> DataFrame:
@@ -65,8 +69,10 @@ def template_mapping(templates: DataFrame) -> DataFrame:
     Both rules are aggregates keyed by mapping and path or class, so a mapping
     holding most rows still spreads.  One pipeline makes all three levels: each
     top property travels with its children to the lookup of their templates.
+    Arrays are opened by ``explode_outer``: a plain explode would push a test of
+    the array's size below the projection that builds it, building it again.
     """
-    own = templates.withColumn("own", _own_properties(F.col("properties")))
+    own = _own_properties(templates)
     by_class = (
         own.filter(F.length("target_class.id") > 0)
         .groupBy("mapping", F.col("target_class.id").alias("class_id"))
@@ -80,7 +86,8 @@ def template_mapping(templates: DataFrame) -> DataFrame:
         return rows.withColumn("class_id", key).join(by_class, ["mapping", "class_id"], "left").drop("class_id")
 
     top = (
-        own.select("mapping", "tpos", F.explode("own").alias("v"))
+        own.select("mapping", "tpos", F.explode_outer("own").alias("v"))
+        .filter("v is not null")
         .groupBy("mapping", F.col("v.path").alias("path1"))
         .agg(F.max_by("v", "tpos").alias("v"), F.min(F.struct(F.col("tpos").alias("t"), F.col("v.place").alias("p1"))).alias("at"))
     )
@@ -107,7 +114,7 @@ def template_mapping(templates: DataFrame) -> DataFrame:
         "path1",
         "at",
         row(1, F.col("v"), F.col("target"), none, none, zero, zero).alias("head"),
-        F.explode(F.concat(F.array(F.lit(None).cast(_child_type(own))), F.coalesce("target.below", F.array()))).alias("child"),
+        F.explode_outer(F.concat(F.array(F.lit(None).cast(_child_type(own))), F.coalesce("target.below", F.array()))).alias("child"),
     )
     child = F.col("child")
     found = with_target(heads, child, "path1", "child.path")
@@ -117,7 +124,7 @@ def template_mapping(templates: DataFrame) -> DataFrame:
         lambda n: row(3, n, F.col("target"), child["path"], n["path"], child["place"], n["place"]),
     )
     out = found.select(
-        "mapping", F.explode(F.when(child.isNull(), F.array("head")).otherwise(F.concat(F.array(second), nested))).alias("r")
+        "mapping", F.explode_outer(F.when(child.isNull(), F.array("head")).otherwise(F.concat(F.array(second), nested))).alias("r")
     )
     return out.select("mapping", "r.*")
 
