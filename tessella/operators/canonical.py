@@ -71,8 +71,8 @@ def drop_leading_prefixes(query: Column) -> Column:
 
 
 def make_uid(prefix: Column, source_id: Column) -> Column:
-    """C6."""
-    return F.format_string("%s-%04d", prefix, source_id)
+    """``<prefix>-0001``; null when the prefix is."""
+    return F.when(prefix.isNotNull(), F.format_string("%s-%04d", prefix, source_id))
 
 
 def attach_registry(df: DataFrame, registry: DataFrame) -> DataFrame:
@@ -83,9 +83,8 @@ def attach_registry(df: DataFrame, registry: DataFrame) -> DataFrame:
 def canonicalise(cells: DataFrame, registry: DataFrame) -> DataFrame:
     """C1-C7 as one plan: notebook cells to canonical rows.
 
-    ``cells`` carries the ``dataset`` key of its notebook in column ``file``'s
-    companion ``dataset``; a question without an ordinal takes its position
-    among the pairs, ``pos / 2 + 1``.
+    ``cells`` carries the ``dataset`` key of its notebook.  A question without an
+    ordinal is numbered by its position, ``pos / 2 + 1``.
     """
     pairs = pair_cells(cells.withColumn("file", F.struct("dataset", "file")))
     named = pairs.select(

@@ -38,14 +38,15 @@ def inject_question(prompt: Column, question: Column) -> Column:
 
 def prompt_table(profiles: DataFrame, family_to_profile: DataFrame, prompts: DataFrame) -> DataFrame:
     """The latest prompt text per family, with the reason when there is none."""
-    known = family_to_profile.join(profiles.drop("family"), "profile", "left")
+    known = family_to_profile.join(profiles.drop("family").withColumn("known", F.lit(True)), "profile", "left")
     latest = latest_prompts(prompts).select(F.col("base").alias("output_base_name"), "prompt_text")
     return known.join(latest, "output_base_name", "left").select(
         "family",
         "profile",
         F.col("prompt_text").alias("template_text"),
-        F.when(F.col("output_base_name").isNull(), F.format_string("Profile '%s' does not exist in prompt_profiles.json.", "profile"))
+        F.when(F.col("known").isNull(), F.format_string("Profile '%s' does not exist in prompt_profiles.json.", "profile"))
         .when(~F.coalesce("enabled", F.lit(True)), F.format_string("Profile '%s' is disabled.", "profile"))
+        .when(~has_text(F.col("output_base_name")), F.format_string("Profile '%s' must define a non-empty 'output_base_name'", "profile"))
         .when(~has_text(F.col("prompt_text")), F.format_string("Rendered prompt file not found for family '%s' (profile '%s')", "family", "profile"))
         .alias("profile_error"),
     )

@@ -39,7 +39,7 @@ TEMPLATES_SCHEMA = (
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """Each file below ``path`` as one row ``file, value``."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
 def notebook_cells(texts: DataFrame) -> DataFrame:
