@@ -228,15 +228,26 @@ def count_per(df: DataFrame, by: str | Sequence[str], var: str, name: str = "n")
 
 
 def group_concat(df: DataFrame, by: str | Sequence[str], value: str, name: str, sep: str = ", ") -> DataFrame:
-    """Q33: the different values of each group as one sorted text.
+    """Q33: the different values of each group as one sorted text."""
+    return group_concats(df, by, {value: name}, sep)
+
+
+def group_concats(df: DataFrame, by: str | Sequence[str], values: Mapping[str, str], sep: str = ", ") -> DataFrame:
+    """Q33: several columns of each group as sorted texts of their different values.
 
     Repeated values are dropped by their own aggregation on group and value,
-    so a hot group is reduced across all tasks before its text is put together.
-    Groups whose values are all unbound keep an empty text.
+    so a hot group is reduced across all tasks before its texts are put
+    together.  A column whose values are all unbound gives an empty text.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    once = df.select(*keys, value).distinct()
-    return once.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), sep).alias(name))
+    if len(values) == 1:
+        once = df.select(*keys, *[F.col(v).alias(n) for v, n in values.items()]).distinct()
+        held = {n: F.col(n) for n in values.values()}
+    else:
+        pairs = F.array(*[F.struct(F.lit(n).alias("n"), F.col(v).cast("string").alias("v")) for v, n in values.items()])
+        once = df.select(*keys, F.explode(pairs).alias("__c")).distinct()
+        held = {n: F.when(F.col("__c.n") == n, F.col("__c.v")) for n in values.values()}
+    return once.groupBy(*keys).agg(*[F.array_join(F.array_sort(F.collect_list(c)), sep).alias(n) for n, c in held.items()])
 
 
 def sample(c: str) -> Column:
@@ -276,8 +287,10 @@ def most_frequent(counts: DataFrame, n: str = "n", within: str | Sequence[str] |
     if within is None:
         return counts.filter(F.col(n) == counts.agg(F.max(n)).scalar())
     keys = [within] if isinstance(within, str) else list(within)
-    best = counts.groupBy(*keys).agg(F.max(n).alias(n))
-    return counts.join(best, [*keys, n], "left_semi")
+    best = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max(n).alias(f"__{n}"))
+    # an unbound key is a group like any other
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(n) == F.col(f"__{n}")]
+    return counts.join(best, same, "left_semi")
 
 
 def coverage(df: DataFrame, facts: DataFrame, key: str, category: str, name: str = "score") -> DataFrame:

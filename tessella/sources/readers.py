@@ -155,6 +155,31 @@ def parse_triples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return triples, kept.filter(~good).select("value")
 
 
+# The namespaces the questions abbreviate.
+NAMESPACES = {
+    "orkgr:": "http://orkg.org/orkg/resource/",
+    "orkgc:": "http://orkg.org/orkg/class/",
+    "orkgp:": "http://orkg.org/orkg/predicate/",
+    "rdfs:": "http://www.w3.org/2000/01/rdf-schema#",
+    "xsd:": "http://www.w3.org/2001/XMLSchema#",
+    "rdf:": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
+}
+
+
+def abbreviate(triples: DataFrame, namespaces: Mapping[str, str] = NAMESPACES) -> DataFrame:
+    """Write IRIs with their prefixes; do it once, before a store is written."""
+
+    def short(c: Column) -> Column:
+        pick = F.when(F.lit(False), c)
+        for prefix, space in namespaces.items():
+            rest = F.substring(c, F.lit(len(space) + 1), F.length(c))
+            pick = pick.when(F.startswith(c, F.lit(space)), F.concat(F.lit(prefix), rest))
+        return pick.otherwise(c)
+
+    o = F.when(F.col("o_kind") == "iri", short(F.col("o"))).otherwise(F.col("o"))
+    return triples.withColumns({"s": short(F.col("s")), "p": short(F.col("p")), "o": o, "dtype": short(F.col("dtype"))})
+
+
 def read_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Triples and refused lines of the text files below ``path``."""
     return parse_triples(spark.read.text(path))
