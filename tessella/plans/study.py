@@ -2,8 +2,8 @@
 
 Each paper has one contribution of one of two classes, and below it nodes,
 categories and literals laid out by ``SHAPE``, whose number and values follow
-from the order's key.  The same SQL text derives the triples in Spark and, for
-comparison, in the checking database.
+from the order's key.  Spark writes them once as a store kept by predicate; the
+SQL texts derive each predicate again for the check.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.plans.registry import table
 from tessella.questions.empirical import CONFERENCE
-from tessella.sources.readers import TripleTables
+from tessella.session import scratch_dir
+from tessella.sources.writers import read_triples, write_triples
 
 # parent: the predicates below it, each with what it leads to: a node of its
 # own (n), a category shared by many (c) or a literal (l)
@@ -56,6 +57,8 @@ SHAPE = {
 LITERALS = "case h % 5 when 0 then 'Not reported' when 1 then 'not reported' when 2 then 'no method' else 'value ' || (h % 7) end"
 NUMBERS = "case when h % 6 = 0 then 'many' else cast(h % 9 as varchar(3)) end"
 NODE_LABELS = "case h % 6 when 0 then 'no collection' when 1 then 'no analysis' when 2 then 'Not reported' when 3 then 'analysis' else 'label ' || (h % 4) end"
+NUMBERED = ("P59120", "P181019")
+DEPTH = 4
 CATEGORIES = 6
 CATEGORY_LABELS = ["Not reported", "qualitative", "quantitative", "no type", "secondary research", None]
 
@@ -110,7 +113,7 @@ def derivations() -> dict[str, list[str]]:
         for item in SHAPE.get(parent, "").split():
             p, kind = item.split(":")
             rows = _children(parent, p, kind, base)
-            value = {"l": NUMBERS if p in ("P59120", "P181019") else LITERALS}.get(kind, "id")
+            value = {"l": NUMBERS if p in NUMBERED else LITERALS}.get(kind, "id")
             made.setdefault(f"orkgp:{p}", []).append(f"select distinct pid as s, {value} as o from ({rows}) r")
             if kind == "n":
                 made["rdfs:label"].append(f"select id as s, {NODE_LABELS} as o from ({rows}) r where h % 11 <> 0")
@@ -128,17 +131,73 @@ def derivations() -> dict[str, list[str]]:
     return made
 
 
-def study_graph(spark: SparkSession, sf_dir: str) -> TripleTables:
-    """The scholarly triples, one lazily opened table per predicate."""
-
-    def opened(p: str, sql: str):
-        def make() -> DataFrame:
-            bound = spark.sql(re.sub(r"\borders\b", "{orders}", sql), orders=table(spark, sf_dir, "orders"))
-            return bound.selectExpr("s", f"'{p}' as p", "o", "'iri' as o_kind", "cast(null as string) as dtype", "cast(null as string) as lang")
-
-        return make
-
-    return TripleTables([(p, opened(p, sql)) for p, texts in derivations().items() for sql in texts])
+def _shape(spark: SparkSession) -> DataFrame:
+    """``SHAPE`` as a table: one row per parent kind and predicate."""
+    rows = [
+        (parent, p, kind, _seed(parent + p), p in NUMBERED)
+        for parent, items in SHAPE.items()
+        for p, kind in (item.split(":") for item in items.split())
+    ]
+    return spark.createDataFrame(rows, "kind string, p string, leads string, seed int, numbered boolean")
+
+
+def study_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scholarly triples of the orders table, level by level below the papers."""
+    orders = table(spark, sf_dir, "orders")
+    shape = F.broadcast(_shape(spark))
+    key = F.col("o_orderkey").cast("string")
+    contribution, even = F.concat(F.lit("contribution/"), key), F.col("o_orderkey") % 2 == 0
+    paper = F.concat(F.lit("paper/"), key)
+
+    def edge(s: Column, p: str, o: Column, keep: Column | None = None) -> Column:
+        cell = F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+        return cell if keep is None else F.when(keep, cell)
+
+    year = (F.year("o_orderdate") + F.col("o_orderkey") % 25).cast("string")
+    top = F.array(
+        edge(paper, "orkgp:P31", contribution),
+        edge(paper, "orkgp:P29", year, F.col("o_orderkey") % 23 != 0),
+        edge(contribution, "orkgp:P135046", F.concat(F.lit("venue/"), (F.col("o_custkey") % 3).cast("string"))),
+        edge(contribution, "rdf:type", F.when(even, "orkgc:C27001").otherwise("orkgc:C121001")),
+        edge(paper, "rdfs:label", F.concat(F.lit("Paper "), (F.col("o_orderkey") % 997).cast("string")), F.col("o_orderkey") % 10 != 7),
+    )
+    triples = orders.select(F.explode_outer(F.array_compact(top)).alias("t")).select("t.*")
+    nodes = orders.select(F.when(even, "EMP").otherwise("NLP").alias("kind"), contribution.alias("id"), (F.col("o_orderkey") % 1009).alias("h"))
+    for _ in range(DEPTH):
+        below = nodes.join(shape, "kind").withColumn("j", F.explode(F.array(F.lit(0), F.lit(1))))
+        below = below.filter((F.col("h") + F.col("j") * 5 + F.col("seed")) % 4 > F.col("j"))
+        own = F.concat("id", F.lit("/"), "p", F.lit("."), F.col("j").cast("string"))
+        shared = F.concat(F.lit("cat/"), "p", F.lit("/"), ((F.col("h") + F.col("j") * 3 + F.col("seed")) % CATEGORIES).cast("string"))
+        made = below.withColumn("made", F.when(F.col("leads") == "n", own).otherwise(shared))
+        made = made.withColumn("h", (F.col("h") * 31 + F.col("j") * 17 + F.col("seed")) % 1009)
+        value = F.when(F.col("leads") != "l", F.col("made")).when(F.col("numbered"), F.expr(NUMBERS)).otherwise(F.expr(LITERALS))
+        found = made.select(F.col("id").alias("s"), F.concat(F.lit("orkgp:"), "p").alias("p"), value.alias("o")).distinct()
+        inner = made.filter(F.col("leads") == "n").select(F.col("p").alias("kind"), F.col("made").alias("id"), "h")
+        labels = inner.filter(F.col("h") % 11 != 0).select(F.col("id").alias("s"), F.lit("rdfs:label").alias("p"), F.expr(NODE_LABELS).alias("o"))
+        triples, nodes = triples.unionByName(found).unionByName(labels), inner
+    # venues and category labels, a fixed few per predicate
+    fixed = [
+        f"select s, '{p}' as p, o from ({sql})"
+        for p, texts in derivations().items()
+        for sql in texts
+        if not re.search(r"\borders\b", sql)
+    ]
+    return triples.unionByName(spark.sql(" union all ".join(fixed)))
+
+
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def study_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scholarly triples, written once per session and kept by predicate."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORES:
+        path = scratch_dir(spark, "study")
+        none = F.lit(None).cast("string")
+        triples = study_triples(spark, sf_dir).withColumns({"o_kind": F.lit("iri"), "dtype": none, "lang": none})
+        write_triples(triples, path, parts=2)
+        _STORES[at] = path
+    return read_triples(spark, _STORES[at])
 
 
 # ------------------------------------------------------------- patterns in SQL
