@@ -211,8 +211,8 @@ check(
 )
 check(
     "language/30", "N30_any_bare_agreement",
-    lambda p: f"""select exists (select 1 from {p.match(NLP + "contribution P181031 ap; ap P181041 ag; ag label agl", told('agl'))} m
-        where ag not in (select ag from {p.match("ag P181042 v; v label vl", told('vl'))}) and ag not in (select ag from {p.match("ag P181044 v; v label vl", told('vl'))})) as answer""",
+    lambda p: f"""select count(*) > 0 as answer from {p.match(NLP + "contribution P181031 ap; ap P181041 ag; ag label agl", told('agl'))} m
+        where ag not in (select ag from {p.match("ag P181042 v; v label vl", told('vl'))}) and ag not in (select ag from {p.match("ag P181044 v; v label vl", told('vl'))})""",
 )
 LANGUAGE, FORMAT = "dt P181025 lang", "dt P181023 f; f label fl"
 DATA_TYPES = NLP + "contribution P181011 ds; ds P181022 dt; "
@@ -231,8 +231,8 @@ check(
 )
 check(
     "language/34", "N33_any_partial_baseline",
-    lambda p: f"""select exists (select 1 from {p.match(NLP + "contribution HAS_EVALUATION ev; ev P181051 b; b label bl", told('bl'))}
-        where b not in (select b from {p.match("b P181052 v; v label vl", told('vl'))}) or b not in (select b from {p.match("b P181053 v", told('v'))})) as answer""",
+    lambda p: f"""select count(*) > 0 as answer from {p.match(NLP + "contribution HAS_EVALUATION ev; ev P181051 b; b label bl", told('bl'))}
+        where b not in (select b from {p.match("b P181052 v; v label vl", told('vl'))}) or b not in (select b from {p.match("b P181053 v", told('v'))})""",
 )
 check(
     "language/36", "N34_several_source_types",
