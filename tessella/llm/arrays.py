@@ -144,9 +144,10 @@ def renumber(*columns: np.ndarray) -> tuple[np.ndarray, int]:
 
 def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices ``start, start+1, ...`` of every run, one run after the other."""
-    total = int(lengths.sum())
-    begin = np.cumsum(lengths) - lengths
-    return np.arange(total) + np.repeat(starts - begin, lengths)
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 2**31 and (not len(starts) or starts.max() < 2**30) else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((starts - ends + lengths).astype(kind), lengths)
 
 
 def sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import quality_rules
+from tessella.llm import byte_pairs, packing, quality_rules, shared, simple8b
 from tessella.llm.registry import documents, query
 
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -41,3 +47,24 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
         quality_rules.passes().alias("kept"),
         "failed",
     )
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf), vocabulary("word_bpe_49k.json"))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+@query("op6_simple8b")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared.folder(spark, "ids")
+    simple8b.write(documents(spark, sf), path, vocabulary("byte_bpe_50k.json"))
+    return simple8b.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op8_byte_pairs")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    rows = byte_pairs.decode(byte_pairs.encode(documents(spark, sf), path), path)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
