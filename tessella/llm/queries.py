@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_pairs, packing, quality_rules, shared, simple8b
+from tessella.llm import byte_pairs, fingerprints, packing, quality_rules, sharding, shared, simple8b
 from tessella.llm.registry import documents, query
 
 
@@ -68,3 +68,40 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
     rows = byte_pairs.decode(byte_pairs.encode(documents(spark, sf), path), path)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+SHARD_WEIGHTS = {f"shard-{k:03d}": 2 if k % 16 == 0 else 1 for k in range(sharding.SHARDS)}
+_FEWER = dict(list(SHARD_WEIGHTS.items())[:-1])
+
+
+def _owners(weights: dict[str, int]) -> str:
+    return f"select unnest({sharding.fill(weights)}) as shard, unnest(range({sharding.SLOTS})) as slot"
+
+
+@query(
+    "op3_sharding",
+    f"""
+    with a as ({_owners(SHARD_WEIGHTS)}), b as ({_owners(_FEWER)}),
+    d as (select doc_id, (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint % {sharding.SLOTS}) as slot from documents)
+    select doc_id, a.shard::int as shard, b.shard::int as shard_with_one_fewer from d join a using (slot) join b using (slot)""",
+)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    placed = sharding.place(documents(spark, sf).select("doc_id"), "doc_id", SHARD_WEIGHTS)
+    return sharding.place(placed, "doc_id", _FEWER, name="shard_with_one_fewer")
+
+
+@query("op5_fingerprints")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fingerprints.with_next(documents(spark, sf))
+    rows = rows.withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
+    rows = fingerprints.with_sketch(rows, "edited", "edited_sketch")
+    near = fingerprints.resemblance
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        near(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        near(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
