@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_pairs, fingerprints, packing, quality_rules, sharding, shared, simple8b
+from tessella.llm import byte_pairs, fingerprints, near_duplicates, packing, quality_rules, sharding, shared, simple8b
 from tessella.llm.registry import documents, query
 
 
@@ -105,3 +105,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
         near(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         near(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
+
+
+@query("op7_near_duplicates")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf), size=2, percent=80)
