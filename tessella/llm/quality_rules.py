@@ -74,19 +74,19 @@ def measured(table: pa.Table) -> dict[str, np.ndarray]:
         "n_words": np.bincount(doc, minlength=n)[:n],
         "word_chars": np.diff(inside[off].astype(np.int64)),
         "n_symbols": per(marks),
-        "n_repeat_words": repeated_words(code, doc, n),
+        "n_repeat_words": arrays.sums(repeated(code, doc), doc, n),
         "n_upper": per(np.flatnonzero((data >= 65) & (data <= 90))),
         "n_marked_words": np.bincount(doc[marked], minlength=n)[:n],
     } | line_counts(data, off, inside)
 
 
-def repeated_words(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Words inside windows of WINDOW words that the same text holds twice or more.
+def repeated(code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Marks the words inside windows of WINDOW words that the same text holds twice or more.
 
     Only windows whose every word comes twice in the text are compared.
     """
     if len(code) < WINDOW:
-        return np.zeros(n, np.int64)
+        return np.zeros(len(code), bool)
     word, found = arrays.renumber(doc, code)
     again = np.bincount(word, minlength=found)[word] > 1
     last = len(code) - WINDOW + 1
@@ -94,14 +94,13 @@ def repeated_words(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     for k in range(WINDOW):
         whole &= again[k : last + k]
     whole = np.flatnonzero(whole)
-    if not len(whole):
-        return np.zeros(n, np.int64)
-    window, found = arrays.renumber(*(word[whole + k] for k in range(WINDOW)))
-    twice = whole[np.bincount(window, minlength=found)[window] > 1]
     change = np.zeros(len(code) + 1, np.int32)
-    np.add.at(change, twice, 1)
-    np.add.at(change, twice + WINDOW, -1)
-    return arrays.sums(np.cumsum(change[:-1]) > 0, doc, n)
+    if len(whole):
+        window, found = arrays.renumber(*(word[whole + k] for k in range(WINDOW)))
+        twice = whole[np.bincount(window, minlength=found)[window] > 1]
+        np.add.at(change, twice, 1)
+        np.add.at(change, twice + WINDOW, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def line_counts(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> dict[str, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_pairs, fingerprints, near_duplicates, packing, quality_rules, sharding, shared, simple8b
+from tessella.llm import byte_pairs, fingerprints, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b
 from tessella.llm.registry import documents, query
 
 
@@ -110,3 +110,18 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_near_duplicates")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf), size=2, percent=80)
+
+
+def quality_model(spark: SparkSession, sf: str, docs: DataFrame) -> quality_classifier.Model:
+    """The classifier fitted on labelled rows outside the held-out fifth."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return quality_classifier.fit(docs, labels.filter(~quality_classifier.held_out(5)))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    rows = quality_classifier.scored(docs, quality_model(spark, sf, docs), F.col("doc_id"))
+    rows = rows.withColumnRenamed("key", "doc_id")
+    predicted = (F.col("score") >= quality_classifier.THRESHOLD).cast("int")
+    return rows.select("doc_id", quality_classifier.held_out(5).alias("held_out"), "score", predicted.alias("predicted"), "n_passages")
