@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm import arrays, tokens
 
-PAIRS = 1_500_000  # remembered pairs per worker
+PAIRS = 500_000  # remembered pairs per worker
+STRETCHES = 500_000  # remembered stretches per worker
 
 
 class Vocabulary:
@@ -40,7 +41,7 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.automaton.add_word(token[::-1].decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left + 1 and right in one number
         size = max(ranks.values(), default=-1) + 1
         lengths = np.zeros(size, np.int64)
         lengths[list(self.length)] = list(self.length.values())
@@ -66,12 +67,13 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when joined; left -1: none before."""
-        found = self.pairs.get((left, right))
+        pair = (left + 1) << 32 | right
+        found = self.pairs.get(pair)
         if found is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             want = [right] if left < 0 else [left, right]
-            found = self.pairs[left, right] = self.merges(b"".join(self.token[t] for t in want)) == want
+            found = self.pairs[pair] = self.merges(b"".join(self.token[t] for t in want)) == want
         return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -92,7 +94,7 @@ class Vocabulary:
             for k in range(choice, len(options := starting[at])):
                 token = options[k]
                 if not dead[at + length[token]]:
-                    fits = pairs.get((before, token))
+                    fits = pairs.get((before + 1) << 32 | token)
                     if compatible(before, token) if fits is None else fits:
                         out.append(token)
                         tried.append(k)
@@ -128,7 +130,7 @@ def _encoder(path: str) -> tokens.Tokens:
             return one(text.encode("utf-8"))
         return [i for p in find(text) for i in one(p.encode("utf-8"))]
 
-    return tokens.Tokens(lambda texts: list(map(encode, texts)))
+    return tokens.Tokens(lambda texts: list(map(encode, texts)), STRETCHES)
 
 
 _VOCABULARIES: dict[str, Vocabulary] = {}

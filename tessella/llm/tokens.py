@@ -58,8 +58,8 @@ def _room(array: np.ndarray, n: int) -> np.ndarray:
 class Tokens:
     """Ids of texts by ``encode``, which maps new stretches to lists of ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], cache: int = CACHE):
+        self.encode, self.cache = encode, cache
         self.known: dict[bytes, int] = {}
         self.clear()
 
@@ -70,7 +70,7 @@ class Tokens:
 
     def look_up(self, distinct: list[bytes]) -> np.ndarray:
         """The place in the store of each distinct stretch."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.clear()
         known = self.known
         new = [w for w in distinct if w not in known]
