@@ -61,6 +61,11 @@ def offsets_of(array: pa.Array) -> np.ndarray:
     return np.frombuffer(array.buffers()[1], kind, len(array) + 1, array.offset * np.dtype(kind).itemsize).astype(np.int64)
 
 
+def offsets_of_list(array: pa.Array) -> np.ndarray:
+    """Bounds of every list in the flattened values; a null list is empty."""
+    return np.concatenate([[0], np.cumsum(array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
 def text_bytes(array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' UTF-8 bytes in a row, and the offsets of each text in them."""
     array = plain(array)

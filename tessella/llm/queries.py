@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_pairs, fingerprints, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b
+from tessella.llm import byte_pairs, fingerprints, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
 from tessella.llm.registry import documents, query
 
 
@@ -125,3 +125,13 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumnRenamed("key", "doc_id")
     predicted = (F.col("score") >= quality_classifier.THRESHOLD).cast("int")
     return rows.select("doc_id", quality_classifier.held_out(5).alias("held_out"), "score", predicted.alias("predicted"), "n_passages")
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    rows = suffix_dedup.removed(documents(spark, sf).select("doc_id", "text"))
+    cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return rows.select(
+        F.col("rest.doc_id").alias("doc_id"), "n_bytes", cut.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
