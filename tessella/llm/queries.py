@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_pairs, fingerprints, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
+from tessella.llm import byte_pairs, fingerprints, lm_scoring, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
 from tessella.llm.registry import documents, query
 
 
@@ -49,6 +49,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf), vocabulary("word_bpe_49k.json"))
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf), vocabulary("word_bpe_49k.json"))
