@@ -1,12 +1,10 @@
 import pytest
 
 
-@pytest.fixture(scope="session")
-def shared(spark, tmp_path_factory):
-    """A folder for the session's checkpoints, as a cluster would name one."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-    return spark.conf.get("spark.checkpoint.dir")
+@pytest.fixture
+def shared(tmp_path):
+    """A fresh folder for what an operator writes."""
+    return str(tmp_path)
 
 
 @pytest.fixture
