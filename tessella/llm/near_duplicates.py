@@ -9,9 +9,10 @@ exhaustively, first by bit sketches, then on the full sets; independent trees
 repeat this until the chance to miss a pair at the bound is below MISS.
 
 A large node is not compared exhaustively: its members are compared with a few
-of its own members, which links groups of many copies at once; a node whose
-members are one component by then is done, any other branches on.  So nothing is
-capped, and no group emits all its pairs.
+of its own members, which links groups of many copies at once.  Pairs within a
+component need no further comparison; so when few members are outside a node's
+largest component, these are compared with all of the node, and any other node
+branches on.  So nothing is capped, and no group emits all its pairs.
 
 Edge cases: without words a text's set is empty and linked with nothing; a text
 of fewer words than a shingle is one shingle; equal texts are one class however
@@ -36,7 +37,7 @@ from tessella.llm.components import components
 from tessella.llm.shared import written
 
 POSITIONS = 128  # minwise values in a signature; two bits of each make the sketch
-SMALL = 32  # a node of so many classes is compared exhaustively
+SMALL = 32  # a node with so many classes outside its largest component is compared exhaustively
 PIVOTS = 4  # members that all others of a larger node are compared with
 TWICE = 0.25  # share of nodes that branch by two positions
 MISS = 1e-4
@@ -189,26 +190,50 @@ def _alike(a: str, b: str, similarity: float):
     return (differ <= most) & (low >= similarity * high - 1e-6 * high)
 
 
+def _nodes(live: DataFrame, *more) -> DataFrame:
+    """Per node with several components: the largest, ``top``, the number of rows outside it, ``others``, and minima ``p0`` and so on."""
+    parts = live.groupBy("node", "component").agg(F.count("*").alias("rows"), *more)
+    pivots = [f"p{k}" for k in range(len(more))]
+    largest = F.max(F.struct("rows", "component")).alias("l")
+    found = parts.groupBy("node").agg(F.sum("rows").alias("size"), largest, *(F.min(p).alias(p) for p in pivots))
+    return found.select("node", F.col("l.component").alias("top"), (F.col("size") - F.col("l.rows")).alias("others"), *pivots).filter("others > 0")
+
+
 def _candidates(live: DataFrame, similarity: float, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify from nodes with several components, and the rows of large nodes."""
-    member = F.struct("cls", "n", "s0", "s1", "s2", "s3")
-    pivots = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("o"), member.alias("m"))).alias(f"p{k}") for k in range(PIVOTS)]
-    nodes = live.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1"), *pivots)
-    nodes = nodes.filter("c0 <> c1")
-    small = nodes.filter(F.col("size") <= SMALL) if not last else nodes
-    leaves = live.join(small.select("node"), "node")
-    x, y = leaves.alias("x"), leaves.alias("y")
-    test = (F.col("x.node") == F.col("y.node")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-    pairs = x.join(y, test & _alike("x", "y", similarity)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+    """Pairs to verify, and the rows of nodes too large to be compared exhaustively.
+
+    Pairs within a component need no comparison, so it is enough to compare the
+    rows outside a node's largest component with all of the node.
+    """
+    member = F.struct("cls", "n", "s0", "s1", "s2", "s3", "component")
+    nodes = _nodes(live, *(F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("o"), member.alias("m"))).alias(f"p{k}") for k in range(PIVOTS)))
+    small = nodes if last else nodes.filter(F.col("others") <= SMALL)
+    rows = live.join(small.select("node", "top"), "node")
+    x, y = rows.filter("component <> top").alias("x"), rows.alias("y")
+    apart = F.col("x.component") != F.col("y.component")
+    pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
+    pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & apart & _alike("x", "y", similarity)).select(*pair)
     if last:
         return pairs.distinct(), live.limit(0)
-    large = nodes.filter(F.col("size") > SMALL).select("node", F.array(*(f"p{k}.m" for k in range(PIVOTS))).alias("ps"))
+    large = nodes.filter(F.col("others") > SMALL).select("node", F.array(*(f"p{k}.m" for k in range(PIVOTS))).alias("ps"))
     rows = live.join(large, "node")
-    star = rows.select(F.struct(*live.columns).alias("x"), F.explode("ps").alias("y")).filter(F.col("x.cls") != F.col("y.cls"))
-    star = star.filter(_alike("x", "y", similarity)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    star = rows.select(F.struct(*live.columns).alias("x"), F.explode("ps").alias("y"))
+    star = star.filter(apart & _alike("x", "y", similarity)).select(*pair)
     return pairs.unionByName(star).distinct(), rows.select(*live.columns)
 
 
+def _next(large: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Large nodes that have few rows outside one component by now, and the children of the others."""
+    named = found.select(F.col("node").alias("cls"), "component")
+    with_component = lambda rows: rows.join(named, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    columns = [*large.columns, "component"]
+    rows = with_component(large).select(*columns)
+    sized = rows.join(_nodes(rows).select("node", "others"), "node")
+    stay = sized.filter(F.col("others") <= SMALL).select(*columns)
+    go = _deeper(sized.filter(F.col("others") > SMALL).select(*large.columns), classes)
+    return stay.unionByName(with_component(go).select(*columns))
+
+
 def _keys(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     """The two halves of a 128-bit hash of every set, whatever its order."""
     full = np.flatnonzero(np.diff(bounds))
@@ -266,23 +291,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     depth = max(0, math.ceil(math.log(max(1, total / SMALL)) / math.log(20)))
     trees = max(1, math.ceil(math.log(MISS) / math.log(max(missed(similarity, depth + 1), 1e-9)))) if depth else 1
     live = _rooted(classes, trees, depth).withColumn("component", F.col("cls"))
-    links = sets = found = None
+    sets = found = None
     for level in range(depth, DEEPEST + 1):
         pairs, large = _candidates(live, similarity, level == DEEPEST)
         pairs = written(pairs, "pairs")
         large = written(large.drop("component"), "large")
-        more = not large.isEmpty()
         if sets is None:
             wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
             sets = written(_sets(docs, wanted, size), "sets")
-        new = _verified(pairs, sets, percent)
-        links = written(new if links is None else links.unionByName(new), "links")
+        links = _verified(pairs, sets, percent)
+        if found is not None:
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         found = components(links)
-        if not more:
+        if large.isEmpty():
             break
-        live = _deeper(large, classes).join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
-        live = live.withColumn("component", F.coalesce("component", "cls"))
-        live = written(live.select("node", "cls", "n", "s0", "s1", "s2", "s3", "component"), "live")
+        live = written(_next(large, found, classes), "live")
     named = classes.join(found, classes.cls == found.node, "left").select("k1", "k2", F.coalesce("component", "cls").alias("component"))
     named = named.select("k1", "k2", F.when(F.col("component") < _NAMELESS, F.col("component")).alias("component"), F.lit(True).alias("named"))
     out = described.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
