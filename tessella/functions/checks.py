@@ -106,7 +106,7 @@ def with_lexical_issues(df: DataFrame, query: str, out: str = "lexical_issues")
 
 def error_position(message: Column, label: str) -> Column:
     """V7: the number after ``line:``, ``col:`` or ``char `` in a message."""
-    return F.nullif(F.regexp_extract(message, rf"{label}(\d+)", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(message, rf"{label}(\d+)", 1), F.lit("")).try_cast("int")
 
 
 def error_hint(message: Column) -> Column:

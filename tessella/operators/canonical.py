@@ -51,8 +51,8 @@ def english(text: Column) -> Column:
 
 
 def ordinal(text: Column) -> Column:
-    """The leading ``12) `` as an integer; null when there is none."""
-    return F.nullif(F.regexp_extract(text, ORDINAL, 1), F.lit("")).cast("int")
+    """The leading ``12) `` as an integer; null when there is none or it fits no integer."""
+    return F.nullif(F.regexp_extract(text, ORDINAL, 1), F.lit("")).try_cast("int")
 
 
 def drop_ordinal(text: Column) -> Column:

@@ -205,7 +205,7 @@ def same_text(c: Column, text: str) -> Column:
 
 def decade(year: Column) -> Column:
     """Q42, Q53: ``1994`` to ``1990s``."""
-    return F.concat((F.floor(year / 10) * 10).cast("int").cast("string"), F.lit("s"))
+    return F.concat((F.floor(year / 10) * 10).try_cast("bigint").cast("string"), F.lit("s"))
 
 
 def interval(value: Column, bounds: Sequence[tuple[int, int, str]]) -> Column:

@@ -212,7 +212,7 @@ def name_version(name: Column) -> Column:
     """Struct of base and version parsed from ``<base>_v<N>.json|txt``."""
     return F.struct(
         F.regexp_extract(name, texts.VERSIONED_NAME, 1).alias("base"),
-        F.nullif(F.regexp_extract(name, texts.VERSIONED_NAME, 2), F.lit("")).cast("int").alias("version"),
+        F.nullif(F.regexp_extract(name, texts.VERSIONED_NAME, 2), F.lit("")).try_cast("int").alias("version"),
     )
 
 

@@ -195,7 +195,7 @@ def study_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_dir(spark, "study")
         none = F.lit(None).cast("string")
         triples = study_triples(spark, sf_dir).withColumns({"o_kind": F.lit("iri"), "dtype": none, "lang": none})
-        write_triples(triples, path, parts=2)
+        write_triples(triples, path)
         _STORES[at] = path
     return read_triples(spark, _STORES[at])
 

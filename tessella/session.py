@@ -44,13 +44,15 @@ def local_session(cores: int = 8, app: str = "tessella") -> SparkSession:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder the cluster shares for checkpoints.
 
-    ``spark.checkpoint.dir`` names that folder on a cluster.  Only where it is
-    unset, as in local tests, is a temporary folder made and set.
+    That is the context's checkpoint folder or ``spark.checkpoint.dir``.  Without
+    either only a local session may go on, with a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 

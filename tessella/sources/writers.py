@@ -25,16 +25,18 @@ def write_report(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
-def write_triples(triples: DataFrame, path: str, parts: int = 64) -> None:
+TRIPLE_SCHEMA = "s string, o string, o_kind string, dtype string, lang string, p string"
+
+
+def write_triples(triples: DataFrame, path: str) -> None:
     """A store kept by predicate, so that a pattern reads its predicate only.
 
-    Rows go to ``parts`` tasks per predicate by subject: a dominating predicate
-    such as the class or label is split, and files per predicate stay bounded.
+    Rows are rebalanced by predicate: a dominating one, such as the class or the
+    label, is split by its measured size, and small ones stay in one file each.
     """
-    spread = triples.withColumn("__part", F.pmod(F.xxhash64("s"), F.lit(parts)))
-    spread.repartition("p", "__part").drop("__part").write.mode("errorifexists").partitionBy("p").parquet(path)
+    triples.hint("rebalance", "p").write.mode("errorifexists").partitionBy("p").parquet(path)
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """The triple store; filters on ``p`` prune its folders."""
-    return spark.read.parquet(path).select("s", "p", "o", "o_kind", "dtype", "lang")
+    return spark.read.schema(TRIPLE_SCHEMA).parquet(path).select("s", "p", "o", "o_kind", "dtype", "lang")

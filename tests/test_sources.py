@@ -110,7 +110,7 @@ def test_ntriples_files(spark, tmp_path):
 
 
 def test_store_prunes_to_one_predicate(spark, campus, tmp_path):
-    writers.write_triples(campus, str(tmp_path / "store"), parts=2)
+    writers.write_triples(campus, str(tmp_path / "store"))
     t = writers.read_triples(spark, str(tmp_path / "store"))
     df = g.pattern(t, "livesIn", "x", "city")
     assert df.count() == 13

@@ -102,3 +102,24 @@ def test_supplied_parse_error_overrides(spark):
     assert (b["parse_error_line"], b["parse_error_column"], b["parse_error_char"]) == (2, 3, 8)
     assert b["parse_error_hint"] == checks.HINT_SPACE and b["is_repair_candidate"]
     assert c["parse_error_raw"] == "Empty query" and c["parse_error_hint"] == checks.HINT_EMPTY
+
+
+def test_every_order_line_is_a_template(spark):
+    from tessella.plans.dataset_queries import line_templates
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    made = line_templates(spark, "/root/testdata/sf0.001")
+    assert made.count() == lines == made.select("mapping", "tpos").distinct().count()
+
+
+def test_numbers_that_fit_no_integer_are_null(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions.checks import error_position
+    from tessella.operators.canonical import ordinal
+    from tessella.operators.templates import name_version
+
+    row = spark.sql("select '99999999999) x' as a, 'b_v99999999999.json' as b, 'at line:99999999999' as c").select(
+        ordinal(F.col("a")).alias("a"), name_version(F.col("b"))["version"].alias("b"), error_position(F.col("c"), "line:").alias("c")
+    ).first()
+    assert (row.a, row.b, row.c) == (None, None, None)
