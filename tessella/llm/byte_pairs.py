@@ -146,29 +146,36 @@ def _binary(data: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def encode(docs: DataFrame, path: str, make: Callable[[str], tokens.Tokens] = _encoder) -> DataFrame:
-    """``doc_id, n_tokens, ids`` per document; ids as little-endian 32-bit integers."""
+def encode(docs: DataFrame, path: str, make: Callable[[str], tokens.Tokens] = _encoder, decoded: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids`` per document; ids as little-endian 32-bit integers.
+
+    With ``decoded`` also the bytes that the ids decode to, by the same worker.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.of(make, path)
         for table in arrays.chunks(batches):
             ids, bounds = encoder.ids(*arrays.text_bytes(table["text"]))
             columns = [arrays.plain(table["doc_id"]), pa.array(np.diff(bounds)), _binary(ids.astype("<u4"), bounds * 4)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
+            columns += [_decoded(path, columns[2])] if decoded else []
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary" + ", decoded binary" * decoded)
+
+
+def _decoded(path: str, ids: pa.Array) -> pa.Array:
+    """The bytes of every row's ids."""
+    data, off = arrays.text_bytes(ids)
+    return _binary(*vocabulary(path).decode(np.frombuffer(data.tobytes(), "<u4").astype(np.int64), off // 4))
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` per row of ``encode``; ``decoded`` holds the text's bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(path)
         for batch in batches:
-            data, off = arrays.text_bytes(batch["ids"])
-            ids = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
-            columns = [batch["doc_id"], batch["n_tokens"], batch["ids"], _binary(*own.decode(ids, off // 4))]
+            columns = [batch["doc_id"], batch["n_tokens"], batch["ids"], _decoded(path, batch["ids"])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = coded.select("doc_id", "n_tokens", "ids")

@@ -71,7 +71,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_byte_pairs")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
-    rows = byte_pairs.decode(byte_pairs.encode(documents(spark, sf), path), path)
+    rows = byte_pairs.encode(documents(spark, sf), path, decoded=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

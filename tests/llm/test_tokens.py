@@ -76,6 +76,8 @@ def test_byte_pairs_round_trip(docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = byte_pairs.decode(byte_pairs.encode(docs(rows).selectExpr("*", "1 as ids", "2 as n_tokens"), path), path).collect()
     assert sorted(bytes(r.decoded) for r in out) == sorted((t or "").encode() for _, t in rows)
+    at_once = byte_pairs.encode(docs(rows), path, decoded=True).collect()
+    assert sorted((bytes(r.ids), bytes(r.decoded)) for r in at_once) == sorted((bytes(r.ids), bytes(r.decoded)) for r in out)
     assert byte_pairs.encode(docs([]), path).collect() == []
 
 
