@@ -1,46 +1,41 @@
-"""Joins against side tables whose size is measured, never assumed."""
+"""Joins of a large table with a lookup table of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, functions as F
 
-BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 
 
-def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES, max_rows: int = 100_000) -> bool:
-    """True when the whole table is measured to be within both bounds.
+def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a large table with a lookup table on ``on``.
 
-    Reads at most ``max_rows + 1`` rows, so asking is cheap however large the
-    table is.
+    Nothing is measured while the plan is made.  Spark broadcasts the lookup
+    where its statistics, or the shuffled bytes of its own aggregation, are below
+    the session's threshold; otherwise both sides meet in a sort-merge join whose
+    hot keys adaptive execution splits.  ``salted_join`` splits them beforehand.
     """
-    sizes = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
-    rows, size = sizes.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
-    return rows <= max_rows and size <= max_bytes
+    return df.join(table, on, how)
 
 
-def lookup_join(
-    df: DataFrame, table: DataFrame, on: list[str], how: str = "left", max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Join a large table with a lookup table on ``on``.
-
-    A lookup measured to be small is broadcast, so the large side does not
-    move.  A larger one takes the salted join, where a hot key of the large
-    side is spread over many tasks.
-    """
-    if fits(table, max_bytes):
-        return df.join(F.broadcast(table), on, how)
-    return salted_join(df, table, on, how)
+def _row_number() -> Column:
+    """A number that differs between rows of a partition, equal ones too."""
+    return F.monotonically_increasing_id()
 
 
 def salted_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Equi join that splits every key of ``df`` into ``salts`` parts.
 
-    The salt comes from the row's own content, so a recomputed task places
-    each row as before.  Rows of ``table`` are repeated once per salt.
+    Rows are dealt to the salts in turn within their task, so equal rows part
+    and columns of any type may be there.  A recomputed task may deal rows anew;
+    the salt decides only where a row meets its partner, so the result is the
+    same.  Rows of ``table`` are repeated once per salt.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"A salted join cannot be {how}.")
-    spread = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "__salt"], how).drop("__salt")
+    salt = f"salt_{uuid.uuid4().hex}"
+    spread = df.withColumn(salt, F.pmod(_row_number(), F.lit(salts)).cast("int"))
+    copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [*on, salt], how).drop(salt)

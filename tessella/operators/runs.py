@@ -41,17 +41,22 @@ def score_run(entries: DataFrame, outputs: DataFrame) -> DataFrame:
 
     ``outputs`` has ``benchmark_entry_id, raw_model_output,
     response_time_seconds`` and may have ``error`` and ``prompt``.  An entry
-    without an output is an error row.
+    without an output is an error row.  Where both sides have ``run`` or ``pos``
+    these belong to the key, so several runs and repeated ids stay apart; of
+    outputs that share a key one is taken, so no entry is ever repeated.
     """
     keyed = entries.withColumn("benchmark_entry_id", entry_id(entries)).withColumn("gold", gold_query(entries))
+    key = ["benchmark_entry_id", *(c for c in ("run", "pos") if c in entries.columns and c in outputs.columns)]
     made = outputs.select(
-        "benchmark_entry_id",
+        *key,
         "raw_model_output",
         F.col("response_time_seconds"),
         (F.col("error") if "error" in outputs.columns else F.lit(None).cast("string")).alias("run_error"),
         (F.col("prompt") if "prompt" in outputs.columns else F.lit(None).cast("string")).alias("prompt"),
     )
-    joined = keyed.join(made, "benchmark_entry_id", "left")
+    fields = [c for c in made.columns if c not in key]
+    made = made.groupBy(*key).agg(F.min(F.struct(*fields)).alias("made")).select(*key, "made.*")
+    joined = keyed.join(made, key, "left")
     error = F.coalesce(
         entry_problem(F.col("benchmark_entry_id"), F.col("family"), F.col("question")),
         F.col("run_error"),
@@ -63,6 +68,7 @@ def score_run(entries: DataFrame, outputs: DataFrame) -> DataFrame:
     ok = F.col("error").isNull()
     return extract_queries(marked, F.col("raw_model_output")).select(
         F.when(ok, "ok").otherwise("error").alias("status"),
+        *[c for c in ("run", "pos") if c in key],
         "benchmark_entry_id",
         *[F.col(c) if c in entries.columns else F.lit(None).cast("string").alias(c) for c in ("uid", "source_id", "source_dataset")],
         "family",

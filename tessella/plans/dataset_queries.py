@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessella.functions.text import BLANK, WS
 from tessella.operators import canonical, export, prompts, templates
 from tessella.operators import prompt_texts as texts
+from tessella.operators.lookup import salted_join
 from tessella.plans.outputs import CELLS_SQL, cells
 from tessella.plans.registry import query, sql_text, table
 from tessella.plans.shop import iri, money, shop_graph
@@ -322,6 +323,20 @@ def c7(spark, sf):
     return canonical.attach_registry(rows, registry(spark, sf)).select("c_custkey", "dataset", "source_dataset", "family", "uid_prefix")
 
 
+@query(
+    "C07_salted_registry",
+    """with rows as (select c_custkey, case when c_custkey % 10 > 0 then 'BUILDING' else c_mktsegment end as dataset from customer)
+       select c_custkey, dataset, c_custkey % 3 as extra, case when dataset <> 'MACHINERY' then 'set-' || dataset end as source_dataset from rows""",
+)
+def c7_salted(spark, sf):
+    """The join of a registry that may be large, with a key that nine rows of ten share and a map column."""
+    dataset = F.when(F.col("c_custkey") % 10 > 0, "BUILDING").otherwise(F.col("c_mktsegment"))
+    extra = F.create_map(F.lit("third"), F.col("c_custkey") % 3).alias("extra")
+    rows = table(spark, sf, "customer").select("c_custkey", dataset.alias("dataset"), extra)
+    found = salted_join(rows, registry(spark, sf), ["dataset"])
+    return found.select("c_custkey", "dataset", F.col("extra")["third"].alias("extra"), "source_dataset")
+
+
 @query(
     "C07_canonicalise",
     f"""with {CELLS_SQL}, q as (select *, regexp_replace(question_text, {sql_text(ORDINAL)}, '') as value, try_cast(nullif(regexp_extract(question_text, {sql_text(ORDINAL)}, 1), '') as int) as n,

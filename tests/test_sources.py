@@ -124,7 +124,10 @@ def test_salted_join_is_the_plain_join(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         a, b = lookup.salted_join(left, right, ["k"], how), left.join(right, ["k"], how)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert lookup.fits(right) and not lookup.fits(left, max_rows=10) and not lookup.fits(right, max_bytes=5)
+    same = spark.range(1000).select(F.lit("hot").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    assert lookup.salted_join(same, right, ["k"]).filter("v = 1 and m['a'] = 1").count() == 1000
+    salted = same.withColumn("s", F.pmod(lookup._row_number(), F.lit(lookup.SALTS)))
+    assert salted.select("s").distinct().count() == lookup.SALTS
 
 
 def test_sinks_keep_text_as_it_is(spark, tmp_path):
