@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessella.functions.text import BLANK, WS
 from tessella.operators import canonical, export, prompts, templates
@@ -59,14 +59,14 @@ def s2(spark, sf):
     lists = rows.groupBy(F.floor(F.col("source_id") / 200).alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
     out = scratch_dir(spark, "canonical")
     lists.write.partitionBy("part").text(out)
-    return readers.read_canonical_json(spark, f"{out}/*")
+    return readers.read_canonical_json(spark, f"{out}/*")[0]
 
 
 @query("S03_jsonl_scan", CANONICAL_SQL)
 def s3(spark, sf):
     out = scratch_dir(spark, "lines")
     writers.write_jsonl(canonical_documents(spark, sf), out)
-    return readers.read_jsonl(spark, out)
+    return readers.read_jsonl(spark, out)[0]
 
 
 @query(
@@ -89,7 +89,7 @@ def s4(spark, sf):
     meta = F.struct(F.concat(F.lit("model-"), F.col("part").cast("string")).alias("model_name"))
     out = scratch_dir(spark, "runs")
     payload.select(meta.alias("run_metadata"), "results").write.json(out)
-    rows = readers.run_entries(spark.read.schema(readers.RUN_SCHEMA).json(out))
+    rows, _ = readers.run_scan(spark.read.text(out).select(F.input_file_name().alias("file"), "value"))
     return rows.select("run", "pos", "benchmark_entry_id", "family", "raw_model_output", "response_time_seconds")
 
 
@@ -106,7 +106,83 @@ def s5(spark, sf):
     configs = n.groupBy("r_name").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_name"), value)))).alias("value"))
     out = scratch_dir(spark, "registry")
     configs.select("value").write.text(out)
-    return readers.registry_rows(spark.read.text(out))
+    return readers.registry_scan(spark.read.text(out).select(F.input_file_name().alias("file"), "value"))[0]
+
+
+def spoiled(key: Column, value: Column, head: str, tail: str) -> Column:
+    """Of four texts one is cut short and one wrapped, so that its top level is another."""
+    return F.when(key % 4 == 1, F.expr("left(value, length(value) - 1)")).when(key % 4 == 2, F.concat(F.lit(head), value, F.lit(tail))).otherwise(value)
+
+
+def outcome(scan: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """How many rows a scan accepted, and how many texts it refused for each reason."""
+    rows, bad = scan
+    refused = bad.groupBy("reason").agg(F.count("*").alias("n"))
+    return rows.agg(F.count("*").alias("n")).select(F.lit("accepted").alias("reason"), "n").unionByName(refused)
+
+
+def outcome_sql(accepted: str, refused: str, why: str) -> str:
+    return f"select 'accepted' as reason, ({accepted}) as n union all select '{why}', ({refused})"
+
+
+@query(
+    "S01_notebook_refusals",
+    f"with {CELLS_SQL} " + outcome_sql("select count(*) from cells where file % 4 in (0, 3)", "select count(distinct file) from cells where file % 4 in (1, 2)", readers.NOT_A_LIST),
+)
+def s1_refused(spark, sf):
+    c = cells(spark, sf)
+    cell = F.struct("pos", "kind", F.lit("x").alias("language"), "value")
+    books = c.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(cell))).alias("value"))
+    return outcome(readers.notebook_scan(books.select(F.col("file").cast("string").alias("file"), spoiled(F.col("file"), F.col("value"), '{"cells": ', "}").alias("value"))))
+
+
+@query(
+    "S02_canonical_refusals",
+    outcome_sql("select count(*) from documents where (doc_id // 20) % 4 in (0, 3)", "select count(distinct doc_id // 20) from documents where (doc_id // 20) % 4 in (1, 2)", readers.NOT_A_LIST),
+)
+def s2_refused(spark, sf):
+    rows = canonical_documents(spark, sf)
+    part = F.floor(F.col("source_id") / 20).alias("part")
+    lists = rows.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    return outcome(readers.canonical_scan(lists.select(F.col("part").cast("string").alias("file"), spoiled(F.col("part"), F.col("value"), '{"all": ', "}").alias("value"))))
+
+
+@query(
+    "S03_jsonl_refusals",
+    outcome_sql("select count(*) from documents where doc_id % 4 in (0, 3)", "select count(*) from documents where doc_id % 4 in (1, 2)", readers.NOT_AN_OBJECT),
+)
+def s3_refused(spark, sf):
+    rows = canonical_documents(spark, sf)
+    lines_of = rows.select(F.col("uid").alias("file"), "source_id", F.to_json(F.struct(*rows.columns)).alias("value"))
+    return outcome(readers.jsonl_scan(lines_of.select("file", spoiled(F.col("source_id"), F.col("value"), "[", "]").alias("value"))))
+
+
+@query(
+    "S04_run_refusals",
+    """with p as (select doc_id // 20 as part, count(*) as n from documents group by 1)
+       select 'accepted' as reason, sum(n)::bigint as n from p where part % 4 in (0, 3)
+       union all select 'not a JSON list', count(*) from p where part % 4 = 1
+       union all select 'no ''results'' list', count(*) from p where part % 4 = 2""",
+)
+def s4_refused(spark, sf):
+    """Runs as objects and as plain lists, some cut short, some without results."""
+    d = table(spark, sf, "documents").withColumn("part", F.floor(F.col("doc_id") / 20))
+    result = F.struct(F.lit("ok").alias("status"), F.col("doc_id").cast("string").alias("benchmark_entry_id"), F.col("text").alias("raw_model_output"))
+    runs = d.groupBy("part").agg(F.collect_list(result).alias("results"))
+    whole = F.to_json(F.struct(F.struct(F.lit("m").alias("model_name")).alias("run_metadata"), "results"))
+    k = F.col("part") % 4
+    value = F.when(k == 0, whole).when(k == 1, F.substring_index(whole, "}", -1)).when(k == 2, F.lit('{"run_metadata": {}}')).otherwise(F.to_json("results"))
+    return outcome(readers.run_scan(runs.select(F.col("part").cast("string").alias("file"), value.alias("value"))))
+
+
+@query(
+    "S05_config_refusals",
+    outcome_sql("select count(*) from customer where c_custkey % 4 in (0, 3)", "select count(*) from customer where c_custkey % 4 in (1, 2)", readers.NOT_AN_OBJECT),
+)
+def s5_refused(spark, sf):
+    value = F.struct(F.col("c_mktsegment").alias("source_dataset"), F.lit("f").alias("family"), F.lit("u").alias("uid_prefix"))
+    configs = table(spark, sf, "customer").select("c_custkey", F.to_json(F.create_map(F.col("c_name"), value)).alias("value"))
+    return outcome(readers.registry_scan(configs.select(F.col("c_custkey").cast("string").alias("file"), spoiled(F.col("c_custkey"), F.col("value"), "[", "]").alias("value"))))
 
 
 @query(

@@ -42,55 +42,122 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
-def notebook_cells(texts: DataFrame) -> DataFrame:
-    """Notebook cells in order, ``file, pos, kind, language, value``.
+Scan = tuple[DataFrame, DataFrame]  # the accepted rows, and ``file, reason`` of what was refused
+
+
+def _refused(df: DataFrame, reason: Column) -> DataFrame:
+    """``file, reason`` of the rows that have a reason."""
+    return df.select("file", reason.alias("reason")).filter("reason is not null")
+
 
-    ``texts`` holds one notebook per row: files read whole, or many small
-    notebooks packed one per line, which splits and avoids small files.
+def _items(texts: DataFrame, json: Column, schema: str, *keep: Column) -> tuple[DataFrame, DataFrame]:
+    """Texts with ``raw``, the items of the JSON list in ``json`` (null where it isn't one), and one row per item.
+
+    ``schema`` is an array of structs; an item that is no object is null.
     """
-    cells = texts.select("file", F.posexplode(F.from_json("value", CELL_SCHEMA)).alias("pos", "cell"))
-    return cells.select("file", "pos", "cell.kind", "cell.language", "cell.value")
+    lists = texts.withColumn("raw", F.when(F.json_array_length(json).isNotNull(), F.from_json(json, "array<string>")))
+    each = lists.select("file", *keep, F.posexplode("raw").alias("pos", "raw"))
+    item = F.from_json("raw", schema.removeprefix("array<").removesuffix(">"))
+    return lists, each.withColumn("item", F.when(F.rlike("raw", F.lit(r"\A\s*\{")), item)).drop("raw")
+
+
+# Why a text is refused.
+NOT_A_LIST, NOT_AN_OBJECT, NO_RESULTS, ITEM = "not a JSON list", "not a JSON object", "no 'results' list", "item %d is not an object"
 
 
-def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
-    """The cells of every notebook file below ``path``."""
-    return notebook_cells(whole_texts(spark, path))
+def _list_scan(texts: DataFrame, json: Column, schema: str, why: str | Column, *keep: Column) -> Scan:
+    """One row ``file, pos, item`` per object of each list; other items and texts are refused."""
+    lists, items = _items(texts, json, schema, *keep)
+    bad = _refused(lists, F.when(F.col("raw").isNull(), why))
+    bad = bad.unionByName(_refused(items, F.when(F.col("item").isNull(), F.format_string(ITEM, "pos"))))
+    return items.filter("item is not null"), bad
 
 
-def read_canonical_json(spark: SparkSession, path: str) -> DataFrame:
+def notebook_scan(texts: DataFrame) -> Scan:
+    """Notebook cells in order, ``file, pos, kind, language, value``, and the refused notebooks.
+
+    ``texts`` holds one notebook per row ``file, value``: files read whole, or many
+    small notebooks packed one per line, which splits and avoids small files.
+    """
+    items, bad = _list_scan(texts, F.col("value"), CELL_SCHEMA, NOT_A_LIST)
+    return items.select("file", "pos", "item.kind", "item.language", "item.value"), bad
+
+
+def notebook_cells(texts: DataFrame) -> DataFrame:
+    """The cells of the accepted notebooks."""
+    return notebook_scan(texts)[0]
+
+
+def read_notebooks(spark: SparkSession, path: str) -> Scan:
+    """The cells of every notebook file below ``path``, and the refused files."""
+    return notebook_scan(whole_texts(spark, path))
+
+
+def _fields(schema: str) -> str:
+    """A column list as an array of structs."""
+    return f"array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in schema.split(','))}>>"
+
+
+def canonical_scan(texts: DataFrame) -> Scan:
+    """The objects of one JSON list per text, and the refused texts and items."""
+    items, bad = _list_scan(texts, F.col("value"), _fields(CANONICAL_SCHEMA), NOT_A_LIST)
+    return items.select("item.*"), bad
+
+
+def read_canonical_json(spark: SparkSession, path: str) -> Scan:
     """Files whose top level is one JSON list of canonical entries."""
-    return spark.read.schema(CANONICAL_SCHEMA).json(path, multiLine=True)
+    return canonical_scan(whole_texts(spark, path))
+
+
+def jsonl_scan(lines: DataFrame, schema: str = CANONICAL_SCHEMA) -> Scan:
+    """S3: one JSON object per line of ``file, value``; blank lines are skipped, others refused."""
+    full = lines.filter(~F.rlike("value", F.lit(r"\A\s*\z")))
+    options = {"columnNameOfCorruptRecord": "__broken"}
+    object_ = F.rlike("value", F.lit(r"\A\s*\{"))
+    rows = full.select("file", object_.alias("object"), F.from_json("value", f"{schema}, __broken string", options).alias("r"))
+    good = F.col("object") & F.col("r.__broken").isNull() & F.col("r").isNotNull()
+    return rows.filter(good).select("r.*").drop("__broken"), _refused(rows, F.when(~good, NOT_AN_OBJECT))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = CANONICAL_SCHEMA) -> DataFrame:
-    """S3: one JSON object per line, the form that splits."""
-    return spark.read.schema(schema).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str = CANONICAL_SCHEMA) -> Scan:
+    """S3: JSON lines, the form that splits."""
+    return jsonl_scan(spark.read.text(path).select(F.input_file_name().alias("file"), "value"), schema)
 
 
-def run_entries(runs: DataFrame) -> DataFrame:
-    """One row per result of every run, with the run's model and position."""
-    rows = runs.select(F.col("run_metadata.model_name").alias("run"), F.posexplode("results").alias("at", "r"))
-    return rows.select("run", (F.col("at") + 1).alias("pos"), "r.*")
+def run_scan(texts: DataFrame) -> Scan:
+    """One row per result of every run, with the run's model and position, and the refused texts.
+
+    A run is an object with a ``results`` list, or a plain list of results.
+    """
+    plain = F.json_array_length("value").isNotNull()
+    results = F.when(plain, F.col("value")).otherwise(F.get_json_object("value", "$.results"))
+    run = F.when(~plain, F.get_json_object("value", "$.run_metadata.model_name")).alias("run")
+    why = F.when(F.rlike("value", F.lit(r"\A\s*\{")) & F.get_json_object("value", "$").isNotNull(), NO_RESULTS).otherwise(NOT_A_LIST)
+    items, bad = _list_scan(texts, results, _fields(RESULT_SCHEMA), why, run)
+    return items.select("run", (F.col("pos") + 1).alias("pos"), "item.*"), bad
 
 
-def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """Run files, objects with a ``results`` list."""
-    return run_entries(spark.read.schema(RUN_SCHEMA).json(path, multiLine=True))
+def read_runs(spark: SparkSession, path: str) -> Scan:
+    """Run files of either shape."""
+    return run_scan(whole_texts(spark, path))
 
 
-def read_run_list(spark: SparkSession, path: str) -> DataFrame:
-    """The other accepted shape, a plain list of results."""
-    return spark.read.schema(RESULT_SCHEMA).json(path, multiLine=True)
+def _config(texts: DataFrame, schema: str) -> Scan:
+    """``file, c``: one JSON object per text, and the refused texts."""
+    parsed = texts.select("file", F.when(F.rlike("value", F.lit(r"\A\s*\{")), F.from_json("value", schema)).alias("c"))
+    return parsed.filter("c is not null"), _refused(parsed, F.when(F.col("c").isNull(), NOT_AN_OBJECT))
 
 
-def registry_rows(texts: DataFrame) -> DataFrame:
-    """The dataset registry, one row per dataset key."""
-    return texts.select(F.explode(F.from_json("value", REGISTRY_SCHEMA)).alias("dataset", "v")).select("dataset", "v.*")
+def registry_scan(texts: DataFrame) -> Scan:
+    """The dataset registry, one row per dataset key, and the refused texts."""
+    config, bad = _config(texts, REGISTRY_SCHEMA)
+    return config.select(F.explode("c").alias("dataset", "v")).select("dataset", "v.*"), bad
 
 
-def profile_rows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Prompt profiles with defaults filled in, and the family mapping."""
-    config = texts.select(F.from_json("value", PROFILES_SCHEMA).alias("c")).select("c.*")
+def profile_scan(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prompt profiles with defaults filled in, the family mapping, and the refused texts."""
+    found, bad = _config(texts, f"struct<{PROFILES_SCHEMA}>")
+    config = found.select("c.*")
     profiles = config.select("default_query_language", "default_prefix_profile", F.explode("profiles").alias("profile", "v")).select(
         "profile", "v.*", "default_query_language", "default_prefix_profile"
     )
@@ -100,15 +167,13 @@ def profile_rows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             "prefix_profile": F.coalesce("prefix_profile", "default_prefix_profile", F.lit("orkg_default")),
         }
     ).drop("default_query_language", "default_prefix_profile")
-    families = config.select(F.explode("family_to_profile").alias("family", "profile"))
-    return profiles, families
+    return profiles, config.select(F.explode("family_to_profile").alias("family", "profile")), bad
 
 
-def template_rows(texts: DataFrame, mapping: Column) -> DataFrame:
-    """Template files, one row per template with its place in the list."""
-    return texts.select(mapping.alias("mapping"), F.posexplode(F.from_json("value", TEMPLATES_SCHEMA)).alias("tpos", "t")).select(
-        "mapping", "tpos", "t.*"
-    )
+def template_scan(texts: DataFrame, mapping: Column) -> Scan:
+    """Template files, one row per template with its place in the list, and the refused texts."""
+    items, bad = _list_scan(texts, F.col("value"), TEMPLATES_SCHEMA, NOT_A_LIST, mapping.alias("mapping"))
+    return items.select("mapping", F.col("pos").alias("tpos"), "item.*"), bad
 
 
 # -------------------------------------------------------------------- triples

@@ -25,8 +25,8 @@ def test_notebook_to_canonical(spark, tmp_path):
     (tmp_path / "nb" / "one.book").write_text(notebook(*cells))
     reg = tmp_path / "reg.json"
     reg.write_text(json.dumps(REGISTRY, indent=2))
-    cells = readers.read_notebooks(spark, str(tmp_path / "nb")).withColumn("dataset", F.lit("a"))
-    rows = canonical.canonicalise(cells, readers.registry_rows(readers.whole_texts(spark, str(reg)))).orderBy("source_id").collect()
+    cells = readers.read_notebooks(spark, str(tmp_path / "nb"))[0].withColumn("dataset", F.lit("a"))
+    rows = canonical.canonicalise(cells, readers.registry_scan(readers.whole_texts(spark, str(reg)))[0]).orderBy("source_id").collect()
     assert [(r["uid"], r["question"], r["question_fallback"]) for r in rows] == [
         ("fam-0001", "What?", False), ("fam-0002", "Wie?", True), ("fam-0003", "Plain", False),
     ]
@@ -38,9 +38,27 @@ def test_run_shapes(spark, tmp_path):
     results = [{"status": "ok", "benchmark_entry_id": "a", "extracted_query": "ASK {}"}, {"status": "error", "error": "no"}]
     (tmp_path / "run.json").write_text(json.dumps({"run_metadata": {"model_name": "m"}, "results": results}, indent=1))
     (tmp_path / "list.json").write_text(json.dumps(results, indent=1))
-    rows = readers.read_run(spark, str(tmp_path / "run.json")).orderBy("pos").collect()
-    assert [(r["run"], r["pos"], r["status"], r["error"]) for r in rows] == [("m", 1, "ok", None), ("m", 2, "error", "no")]
-    assert readers.read_run_list(spark, str(tmp_path / "list.json")).count() == 2
+    (tmp_path / "empty.json").write_text('{"run_metadata": {}}')
+    (tmp_path / "cut.json").write_text(json.dumps(results)[:-3])
+    (tmp_path / "odd.json").write_text(json.dumps([results[0], "text"]))
+    rows, bad = readers.read_runs(spark, str(tmp_path))
+    got = sorted((r["run"] or "", r["pos"], r["status"], r["error"] or "") for r in rows.collect())
+    assert got == [("", 1, "ok", ""), ("", 1, "ok", ""), ("", 2, "error", "no"), ("m", 1, "ok", ""), ("m", 2, "error", "no")]
+    assert sorted((r.file.split("/")[-1], r.reason) for r in bad.collect()) == [
+        ("cut.json", "not a JSON list"), ("empty.json", "no 'results' list"), ("odd.json", "item 1 is not an object"),
+    ]
+
+
+def test_refused_entries(spark, tmp_path):
+    entry = {"uid": "a-1", "source_id": 1, "question": "?"}
+    (tmp_path / "ok.json").write_text(json.dumps([entry], indent=1))
+    (tmp_path / "object.json").write_text(json.dumps(entry))
+    rows, bad = readers.read_canonical_json(spark, str(tmp_path))
+    assert [r.uid for r in rows.collect()] == ["a-1"]
+    assert [(r.file.split("/")[-1], r.reason) for r in bad.collect()] == [("object.json", "not a JSON list")]
+    (tmp_path / "l.jsonl").write_text(json.dumps(entry) + "\n\n" + json.dumps(entry)[:-4] + "\n[1]\n")
+    rows, bad = readers.read_jsonl(spark, str(tmp_path / "l.jsonl"))
+    assert [r.uid for r in rows.collect()] == ["a-1"] and bad.count() == 2
 
 
 def test_profiles(spark, tmp_path):
@@ -49,7 +67,7 @@ def test_profiles(spark, tmp_path):
         "family_to_profile": {"f": "p", "g": "q"},
     }
     (tmp_path / "p.json").write_text(json.dumps(config, indent=1))
-    profiles, families = readers.profile_rows(readers.whole_texts(spark, str(tmp_path / "p.json")))
+    profiles, families, _ = readers.profile_scan(readers.whole_texts(spark, str(tmp_path / "p.json")))
     assert {r["profile"]: r["query_language"] for r in profiles.collect()} == {"p": "sparql", "q": "sparql"}
     versions = spark.createDataFrame([("b", 1, "old"), ("b", 2, "Ask [Research Question]")], "base string, version int, prompt_text string")
     entries = spark.createDataFrame([("f", " why? "), ("g", "x"), ("h", "x"), (None, "x"), ("f", " ")], "family string, question string")
@@ -77,7 +95,7 @@ def test_templates(spark, tmp_path):
         {"id": "R4", "label": "none", "target_class": {"id": "C4", "label": "c"}},
     ]
     (tmp_path / "t.json").write_text(json.dumps(data, indent=1))
-    rows = templates.template_mapping(readers.template_rows(readers.whole_texts(spark, str(tmp_path / "t.json")), F.lit("m")))
+    rows = templates.template_mapping(readers.template_scan(readers.whole_texts(spark, str(tmp_path / "t.json")), F.lit("m"))[0])
     got = sorted((r["pos"], r["level"], r["path1"], r["path2"], r["path3"], r["label"], r["cardinality"], r["description"], r["subtemplate_id"]) for r in rows.collect())
     assert [g[1:] for g in got] == [
         (1, "P1", None, None, "class C2", "one to many", "first", "R2"),
