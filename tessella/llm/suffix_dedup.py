@@ -421,27 +421,36 @@ def _sorted_intervals(around: DataFrame) -> DataFrame:
 
 
 def _hashed_intervals(around: DataFrame) -> DataFrame:
-    """Intervals of anchors with very many surroundings, window by window."""
-    schema = f"w1 bigint, w2 bigint, {_KEYS}, s bigint"
+    """Intervals of anchors with very many surroundings, window by window.
+
+    A window that its own batch has earlier is known to be a repetition; only each
+    batch's first occurrences meet those of other batches.
+    """
+    schema = f"w1 bigint, w2 bigint, {_KEYS}, s bigint, later boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (left, before), (right, after) = _matrix(batch["left"], SIDE), _matrix(batch["right"], LENGTH)
             data = np.concatenate([left[:, ::-1], right], 1).astype(np.uint8) - np.uint8(1)
             flat, width = data.ravel(), SIDE + LENGTH
+            doc, tie, pos = (batch[c].to_numpy() for c in ("doc", "tie", "pos"))
             for back in range(SIDE + 1):
                 able = np.flatnonzero((before >= back) & (after >= LENGTH - back))
                 start = able * width + SIDE - back
-                one = arrays.hash_spans(flat, start, start + LENGTH)
-                two = arrays.hash_spans(flat ^ np.uint8(0x5A), start, start + LENGTH)
-                at = pa.array(able)
-                columns = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch["doc"].take(at), batch["tie"].take(at), pa.array(batch["pos"].to_numpy()[able] - back)]
-                yield pa.RecordBatch.from_arrays(columns, [n.split(" ")[0] for n in schema.split(", ")])
+                one = arrays.hash_spans(flat, start, start + LENGTH).view(np.int64)
+                two = arrays.hash_spans(flat ^ np.uint8(0x5A), start, start + LENGTH).view(np.int64)
+                order = np.lexsort((pos[able], tie[able], doc[able], two, one))
+                one, two, able = one[order], two[order], able[order]
+                later = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))[: len(one)]
+                columns = [one, two, doc[able], tie[able], pos[able] - back, later]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [n.split(" ")[0] for n in schema.split(", ")])
 
     windows = around.filter("hot").select("doc", "tie", "pos", "left", "right").mapInArrow(run, schema)
-    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tie", "s")).alias("o"))
-    later = windows.join(firsts, ["w1", "w2"]).filter(F.struct("doc", "tie", "s") > F.col("o"))
-    return later.select("doc", "tie", "s", (F.col("s") + LENGTH).alias("e"))
+    firsts = windows.filter("not later").drop("later")
+    least = firsts.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tie", "s")).alias("o"))
+    others = firsts.join(least, ["w1", "w2"]).filter(F.struct("doc", "tie", "s") > F.col("o"))
+    found = windows.filter("later").select("doc", "tie", "s").unionByName(others.select("doc", "tie", "s"))
+    return found.select("doc", "tie", "s", (F.col("s") + LENGTH).alias("e"))
 
 
 def removed(docs: DataFrame, characters: bool = False) -> DataFrame:
