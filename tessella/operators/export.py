@@ -9,6 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.text import has_text, strip
+from tessella.operators.prompts import build_prompts
+from tessella.sources import writers
 
 REQUIRED = ("family", "question", "gold_query")
 FORMATS = ("prompt_completion", "messages")
@@ -190,28 +192,55 @@ def split_examples(
 
 
 def export_metadata(
-    split: DataFrame,
+    examples: DataFrame,
     export_format: str = "prompt_completion",
     seed: int = 42,
     ratios: tuple[float, float, float] = (0.8, 0.1, 0.1),
 ) -> DataFrame:
-    """E5: one row with the counts per split and the settings."""
+    """E5: one row with the counts and the settings.
+
+    Examples with a ``split`` are counted per split, others as ``all_examples``.
+    """
+    split = "split" in examples.columns
     n = lambda name: F.count_if(F.col("split") == name)
-    return split.agg(
-        F.count("*").alias("total_examples"),
-        n("train").alias("train_examples"),
-        n("dev").alias("dev_examples"),
-        n("test").alias("test_examples"),
-    ).withColumns(
-        {
-            "export_format": F.lit(export_format),
-            "split_enabled": F.lit(True),
-            "seed": F.lit(seed),
-            "train_ratio": F.lit(ratios[0]),
-            "dev_ratio": F.lit(ratios[1]),
-            "test_ratio": F.lit(ratios[2]),
-        }
-    )
+    parts = [n(name).alias(f"{name}_examples") for name in ("train", "dev", "test")] if split else [F.count("*").alias("all_examples")]
+    settings = {"export_format": F.lit(export_format), "split_enabled": F.lit(split), "seed": F.lit(seed)}
+    if split:
+        settings |= {f"{name}_ratio": F.lit(ratio) for name, ratio in zip(("train", "dev", "test"), ratios, strict=True)}
+    return examples.agg(F.count("*").alias("total_examples"), *parts).withColumns(settings)
+
+
+def export_dataset(
+    entries: DataFrame,
+    table: DataFrame,
+    path: str,
+    scratch: str,
+    export_format: str = "prompt_completion",
+    split: bool = True,
+    seed: int = 42,
+    ratios: tuple[float, float, float] = (0.8, 0.1, 0.1),
+) -> DataFrame:
+    """E1, P11, E2 or E3, E4, S9 and S10 as one run: entries to files below ``path``.
+
+    ``table`` is the per-family prompt table.  The first bad entry or missing
+    prompt fails the run, before anything is written below ``path``.  The examples
+    are written to ``scratch`` once, so that the split's counts and its rows read
+    the same input.  Returns the metadata row.
+    """
+    built = build_prompts(require_valid(entries), table)
+    bad = built.filter("prompt_error is not null").select("uid", "prompt_error").orderBy("uid").first()
+    if bad:
+        raise ValueError(f"{bad[0]}: {bad[1]}")
+    build_examples(built, export_format).write.parquet(scratch)
+    examples = entries.sparkSession.read.parquet(scratch)
+    if split:
+        examples = split_examples(examples, ratios=ratios, seed=seed)
+        writers.write_splits(examples, f"{path}/examples")
+    else:
+        writers.write_all(examples, f"{path}/examples")
+    report = export_metadata(examples, export_format, seed, ratios)
+    writers.write_report(report, f"{path}/metadata")
+    return report
 
 
 # ------------------------------------------------------- E6, E7: token arrays

@@ -74,9 +74,19 @@ def star(df: DataFrame, t: Triples, var: str, wanted: Mapping[str, str]) -> Data
 
 
 def wide(t: Triples, var: str, wanted: Mapping[str, str]) -> DataFrame:
-    """Q3: a star of single-valued predicates in one pass and one shuffle."""
+    """Q3: a star of single-valued predicates in one pass and one shuffle.
+
+    A subject with two values of a predicate fails the job; ``star`` gives all
+    combinations.
+    """
     rows = pattern(t, list(wanted), var, "__o", tag="__p")
-    packed = rows.groupBy(var).agg(*[F.max(F.when(F.col("__p") == p, F.col("__o"))).alias(c) for p, c in wanted.items()])
+
+    def single(p: str, c: str) -> Column:
+        value = F.when(F.col("__p") == p, F.col("__o"))
+        several = F.raise_error(F.concat(F.lit(f"several values of {p} for "), F.col(var)))
+        return F.when(F.min(value) != F.max(value), several).otherwise(F.max(value)).alias(c)
+
+    packed = rows.groupBy(var).agg(*[single(p, c) for p, c in wanted.items()])
     return packed.dropna(subset=list(wanted.values()))
 
 

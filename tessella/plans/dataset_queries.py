@@ -760,6 +760,64 @@ def e5(spark, sf):
     return export.export_metadata(export.split_examples(canonical_documents(spark, sf)))
 
 
+def exportable(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the families that have an enabled profile with a prompt, as entries."""
+    number = F.regexp_extract("source_dataset", r"(\d+)$", 1).cast("int")
+    rows = canonical_documents(spark, sf).withColumn("family", F.col("source_dataset"))
+    return rows.filter((number % 5 < 3) & ~number.isin(10, 11)).withColumn("pos", F.col("source_id"))
+
+
+def exported(spark: SparkSession, sf: str, export_format: str, split: bool) -> tuple[DataFrame, str]:
+    families, profiles = family_profiles(spark, sf)
+    found, out = prompts.prompt_table(profiles, families, versions(spark, sf)), scratch_dir(spark, "export")
+    return export.export_dataset(exportable(spark, sf), found, out, scratch_dir(spark, "examples"), export_format, split), out
+
+
+EXPORT_SQL = f"""{VERSIONS_SQL}, chosen as (select doc_id, 'doc-' || doc_id as uid, {injected('prompt_text', 'text')} as prompt, 'ASK {{ ?x ?y "' || lang || '" }}' as completion
+    from documents join latest on base = source where {NUMBER} % 5 < 3 and {NUMBER} not in (10, 11)),
+numbered as (select *, row_number() over (order by md5('42:' || uid)) as r, count(*) over () as n from chosen),
+exported as (select *, case when r <= floor(n * 0.8::double) then 'train' when r <= floor(n * 0.8::double) + floor(n * 0.1::double) then 'dev' else 'test' end as split from numbered)"""
+
+
+@query("E08_export", f"with {EXPORT_SQL} select uid, prompt, completion, split from exported")
+def e8(spark, sf):
+    """Entries to files as one run, read back."""
+    _, out = exported(spark, sf, "prompt_completion", True)
+    return spark.read.schema("uid string, prompt string, completion string, split string").json(f"{out}/examples")
+
+
+@query(
+    "E08_export_messages",
+    f"with {EXPORT_SQL} select uid, split, 0 as turn, 'user' as role, prompt as content from exported union all select uid, split, 1, 'assistant', completion from exported",
+)
+def e8_messages(spark, sf):
+    _, out = exported(spark, sf, "messages", True)
+    rows = spark.read.schema("uid string, messages array<struct<role: string, content: string>>, split string").json(f"{out}/examples")
+    return rows.select("uid", "split", F.posexplode("messages").alias("turn", "m")).select("uid", "split", "turn", "m.role", "m.content")
+
+
+@query(
+    "E08_export_no_split",
+    f"with {EXPORT_SQL} select count(*) as total_examples, count(*) as all_examples, 'prompt_completion' as export_format, false as split_enabled, 42 as seed, count(*) as written from exported",
+)
+def e8_all(spark, sf):
+    """The metadata of a run without a split, with the number of rows it wrote."""
+    _, out = exported(spark, sf, "prompt_completion", False)
+    report = spark.read.json(f"{out}/metadata").withColumn("seed", F.col("seed").cast("int"))
+    rows = spark.read.schema("uid string, split string").json(f"{out}/examples").filter("split = 'all'")
+    written = rows.agg(F.count("uid").alias("total_examples"))
+    return report.join(written.withColumn("written", F.col("total_examples")), "total_examples")
+
+
+@query(
+    "E08_export_metadata",
+    f"""with {EXPORT_SQL} select count(*) as total_examples, count_if(split = 'train')::bigint as train_examples, count_if(split = 'dev')::bigint as dev_examples, count_if(split = 'test')::bigint as test_examples,
+        'messages' as export_format, true as split_enabled, 42 as seed, 0.8::double as train_ratio, 0.1::double as dev_ratio, 0.1::double as test_ratio from exported""",
+)
+def e8_metadata(spark, sf):
+    return exported(spark, sf, "messages", True)[0]
+
+
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Word lengths as token ids: the first two hundred and the rest of a text."""
     words = F.transform(F.split("text", " "), lambda w: F.length(w))

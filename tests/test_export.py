@@ -83,3 +83,31 @@ def test_tokens(spark):
     short = min(padded, key=lambda r: sum(r["attention_mask"]))
     assert short["input_ids"] == [1, 2, 0, 0, 0, 0] and short["labels"] == [-100, 2, -100, -100, -100, -100]
     assert short["attention_mask"] == [1, 1, 0, 0, 0, 0]
+
+
+def test_a_bad_entry_stops_the_export(spark, tmp_path):
+    import pytest
+
+    from tessella.operators import export
+
+    table = spark.createDataFrame([("f", "p", "Ask [Research Question]", None), ("g", "p", None, "no prompt")], "family string, profile string, template_text string, profile_error string")
+    make = lambda rows: spark.createDataFrame(rows, "uid string, source_id int, source_dataset string, family string, question string, gold_query string, pos int")
+    good = ("u", 1, "d", "f", "why?", "ASK {}", 1)
+    for bad, message in ((("v", 2, "d", "f", " ", "ASK {}", 2), "Entry 2"), (("v", 2, "d", "g", "x", "ASK {}", 2), "v: no prompt")):
+        with pytest.raises(ValueError, match=message):
+            export.export_dataset(make([good, bad]), table, str(tmp_path / "out"), str(tmp_path / "s"))
+    assert not (tmp_path / "out").exists()
+    report = export.export_dataset(make([good]), table, str(tmp_path / "out"), str(tmp_path / "t"), split=False).first()
+    assert (report.total_examples, report.all_examples, report.split_enabled) == (1, 1, False)
+
+
+def test_a_subject_with_two_values_stops_the_wide_star(spark):
+    import pytest
+
+    from tessella.operators import graph as g
+    from tessella.sources.readers import melt
+
+    rows = spark.createDataFrame([("s", "a"), ("s", "b")], "s string, o string")
+    t = melt(rows, F.col("s"), literals={"p": F.col("o")})
+    with pytest.raises(Exception, match="several values of p for s"):
+        g.wide(t, "x", {"p": "v"}).collect()
