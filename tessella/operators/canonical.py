@@ -114,8 +114,8 @@ def canonical_findings(df: DataFrame) -> DataFrame:
     """One row per finding, ``severity, rule, uid, n``.
 
     A required field without text is an error; a uid or question occurring more
-    than once is a warning with its count.  Duplicates are counted, so only one
-    number per value moves, however often the value occurs.
+    than once is a warning with its count.  Values are grouped by their hash, so
+    one hash and one number per value move, however long and frequent it is.
     """
     missing = F.array_compact(
         F.array(*[F.when(~has_text(F.col(c)), F.lit(f"missing_{c}")) for c in REQUIRED])
@@ -127,7 +127,7 @@ def canonical_findings(df: DataFrame) -> DataFrame:
     def repeated(column: str) -> DataFrame:
         return (
             df.filter(has_text(F.col(column)))
-            .groupBy(column)
+            .groupBy(F.sha2(F.col(column), 256))
             .agg(F.min("uid").alias("first_uid"), F.count("*").alias("n"))
             .filter("n > 1")
             .select(F.lit("warning").alias("severity"), F.lit(f"duplicate_{column}").alias("rule"), F.col("first_uid").alias("uid"), "n")
