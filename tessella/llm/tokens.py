@@ -166,7 +166,7 @@ def word_level(path: str) -> Tokens:
     def lower(text: str) -> str:
         return text.lower() if text.isascii() else normal(text)
 
-    return Tokens(_by_piece(own.model, WORD_PATTERN, "", lower))
+    return Tokens(_by_piece(own.model, WORD_PATTERN, "", lower), CACHE // 2)
 
 
 _MADE: dict[tuple, Tokens] = {}
