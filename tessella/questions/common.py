@@ -81,6 +81,17 @@ def counted(df: DataFrame, by: str, *order: str | Column, name: str = "paper_cou
     return g.count_per(df, by.split(), of, name).orderBy(*order)
 
 
+def counted_named(df: DataFrame, t: g.Triples, by: str, variables: str, *order: str | Column, name: str = "paper_count", of: str = "paper") -> DataFrame:
+    """``counted`` with the optional labels of some of the group's variables.
+
+    Papers are counted per ids, and labels joined to the few groups, so a label
+    shared by very many facts moves once per group.
+    """
+    shown = [f"{v}Label" for v in variables.split()]
+    groups = g.count_per(df, [k for k in by.split() if k not in shown], of, name)
+    return named(groups, t, *variables.split()).select(*by.split(), name).orderBy(*order)
+
+
 def joined(df: DataFrame, by: str, *order: str | Column, sep: str = " | ", **values: str) -> DataFrame:
     """Per group the texts of several columns, given as ``name="column"``."""
     return g.group_concats(df, by.split(), {c: n for n, c in values.items()}, sep).orderBy(*order)

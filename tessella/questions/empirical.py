@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessella.operators import graph as g
 from tessella.questions.common import (
-    contributions, counted, differs, follow, has, in_decade, joined, labelled, listed, named, question,
+    contributions, counted, counted_named, differs, follow, has, in_decade, joined, labelled, listed, named, question,
 )
 
 # The class, the venue and the predicates of the template.
@@ -249,34 +249,34 @@ def untyped_hypotheses(t):
 @question(uid(25))
 def subquestion_counts(t):
     part = follow(g.pattern(t, RQ, "contribution", "rq"), t, "rq", f"{SUBQUESTION} subquestion").select("contribution", "subquestion")
-    df = named(g.optional(at_conference(t), part, "contribution"), t, "paper")
-    return counted(df, "paper paperLabel", F.desc("subquestionCount"), "paperLabel", name="subquestionCount", of="subquestion")
+    df = g.optional(at_conference(t), part, "contribution")
+    return counted_named(df, t, "paper paperLabel", "paper", F.desc("subquestionCount"), "paperLabel", name="subquestionCount", of="subquestion")
 
 
 @question(uid(26))
 def url_counts(t):
-    df = named(with_data(collected(t), t, f"{URL} url"), t, "paper")
-    return counted(df, "paper paperLabel", F.desc("number_of_reported_urls"), "paperLabel", name="number_of_reported_urls", of="url")
+    df = with_data(collected(t), t, f"{URL} url")
+    return counted_named(df, t, "paper paperLabel", "paper", F.desc("number_of_reported_urls"), "paperLabel", name="number_of_reported_urls", of="url")
 
 
 @question(uid(27))
 def collection_method_counts(t):
-    df = named(follow(collected(t), t, "data_collection", f"{METHOD} dc_method"), t, "paper")
+    df = follow(collected(t), t, "data_collection", f"{METHOD} dc_method")
     name = "number_of_reported_data_collection_methods"
-    return counted(df, "paper paperLabel", F.desc(name), "paperLabel", name=name, of="dc_method")
+    return counted_named(df, t, "paper paperLabel", "paper", F.desc(name), "paperLabel", name=name, of="dc_method")
 
 
 @question(uid(28))
 def method_type_counts(t):
     name = "number_of_different_reported_method_types"
-    return counted(named(with_methods(collected(t), t), t, "paper"), "paper paperLabel", F.desc(name), "paperLabel", name=name, of="method_type")
+    return counted_named(with_methods(collected(t), t), t, "paper paperLabel", "paper", F.desc(name), "paperLabel", name=name, of="method_type")
 
 
 @question(uid(29))
 def hypothesis_counts(t):
-    df = named(follow(analysed(t), t, "data_analysis", f"{INFERENTIAL} inferential", f"{HYPOTHESIS} hypothesis"), t, "paper")
+    df = follow(analysed(t), t, "data_analysis", f"{INFERENTIAL} inferential", f"{HYPOTHESIS} hypothesis")
     name = "number_of_reported_hypotheses"
-    return counted(df, "paper paperLabel", F.desc(name), "paperLabel", name=name, of="hypothesis")
+    return counted_named(df, t, "paper paperLabel", "paper", F.desc(name), "paperLabel", name=name, of="hypothesis")
 
 
 def with_paradigm(t: g.Triples, year: bool = False) -> DataFrame:
@@ -309,7 +309,7 @@ def data_types_over_years(t):
 def algorithms_over_decades(t):
     df = follow(analysed(t, True), t, "data_analysis", f"{LEARNING} machine_learning", f"{ALGORITHM} ml_algorithm")
     by = "decade ml_algorithm ml_algorithmLabel"
-    return counted(in_decade(named(df, t, "ml_algorithm")), by, "decade", F.desc("paper_count"), "ml_algorithmLabel")
+    return counted_named(in_decade(df), t, by, "ml_algorithm", "decade", F.desc("paper_count"), "ml_algorithmLabel")
 
 
 @question(uid(34))
@@ -319,8 +319,8 @@ def collection_and_analysis(t):
 
 @question(uid(35))
 def paradigms_over_decades(t):
-    df = in_decade(named(with_paradigm(t, True), t, "research_paradigm"))
-    return counted(df, "decade research_paradigm research_paradigmLabel", "decade", F.desc("paper_count"), "research_paradigmLabel")
+    df = in_decade(with_paradigm(t, True))
+    return counted_named(df, t, "decade research_paradigm research_paradigmLabel", "research_paradigm", "decade", F.desc("paper_count"), "research_paradigmLabel")
 
 
 @question(uid(36))
@@ -330,8 +330,8 @@ def questions_per_year(t):
 
 @question(uid(37))
 def question_types_per_year(t):
-    df = named(with_question_type(t, True), t, "question_type")
-    return counted(df, "year question_type question_typeLabel", "year", F.desc("paper_count"), "question_typeLabel")
+    df = with_question_type(t, True)
+    return counted_named(df, t, "year question_type question_typeLabel", "question_type", "year", F.desc("paper_count"), "question_typeLabel")
 
 
 @question(uid(38))
@@ -360,14 +360,14 @@ def questions_or_answers(t):
 def paradigm_and_question_type(t):
     df = follow(with_paradigm(t), t, "contribution", f"{RQ} research_question", f"{QUESTION_TYPE} question_type")
     by = "research_paradigm research_paradigmLabel question_type question_typeLabel"
-    return counted(named(df, t, "research_paradigm", "question_type"), by, F.desc("paper_count"), "research_paradigmLabel", "question_typeLabel")
+    return counted_named(df, t, by, "research_paradigm question_type", F.desc("paper_count"), "research_paradigmLabel", "question_typeLabel")
 
 
 @question(uid(42))
 def data_and_method_type(t):
-    df = named(with_methods(with_data(collected(t), t, f"{DATA_TYPE} data_type"), t), t, "data_type", "method_type")
+    df = with_methods(with_data(collected(t), t, f"{DATA_TYPE} data_type"), t)
     by = "data_type data_typeLabel method_type method_typeLabel"
-    return counted(df, by, F.desc("paper_count"), "data_typeLabel", "method_typeLabel")
+    return counted_named(df, t, by, "data_type method_type", F.desc("paper_count"), "data_typeLabel", "method_typeLabel")
 
 
 @question(uid(43))
@@ -396,11 +396,11 @@ def leading_paradigms(t):
 def metrics_with_algorithms(t):
     df = follow(analysed(t), t, "data_analysis", f"{LEARNING} machine_learning")
     df = g.star(df, t, "machine_learning", {ALGORITHM: "ml_algorithm", METRIC: "metric"})
-    df = named(df.join(g.tagged(t, METRICS, "metric", None, "metric_value"), ["metric"]), t, "ml_algorithm")
+    df = df.join(g.tagged(t, METRICS, "metric", None, "metric_value"), ["metric"])
     df = g.exists_flag(df, g.pattern(t, INFERENTIAL, "data_analysis", None), "data_analysis", "inferential")
     group = F.when(F.col("inferential"), "with inferential statistics").otherwise("without inferential statistics")
     by = "inferential_statistics_group ml_algorithm ml_algorithmLabel metric_value"
-    return counted(df.withColumn("inferential_statistics_group", group), by, "inferential_statistics_group", F.desc("paper_count"), "ml_algorithmLabel", "metric_value")
+    return counted_named(df.withColumn("inferential_statistics_group", group), t, by, "ml_algorithm", "inferential_statistics_group", F.desc("paper_count"), "ml_algorithmLabel", "metric_value")
 
 
 @question(uid(47))
@@ -510,8 +510,8 @@ def mixed_data_many_methods(t, more_than: int = 2):
 
 def methods_with(t: g.Triples, kind: str) -> DataFrame:
     df = has(with_data(collected(t, True), t, f"{DATA_TYPE} data_type"), t, "data_type", kind)
-    df = in_decade(named(with_methods(df, t), t, "method_type"))
-    return counted(df, "decade method_type method_typeLabel", "decade", F.desc("paper_count"), "method_typeLabel")
+    df = in_decade(with_methods(df, t))
+    return counted_named(df, t, "decade method_type method_typeLabel", "method_type", "decade", F.desc("paper_count"), "method_typeLabel")
 
 
 @question(uid(56))
@@ -549,12 +549,11 @@ def strategies_over_years(t):
     df = analysed(t, df=with_data(collected(t, df=with_paradigm(t, True)), t, f"{DATA_TYPE} data_type"))
     df = df.join(g.tagged(t, tags, "data_analysis", None, "analysis_strategy"), ["data_analysis"])
     by = "year research_paradigm research_paradigmLabel data_type data_typeLabel analysis_strategy"
-    df = named(df, t, "research_paradigm", "data_type")
-    return counted(df, by, "year", F.desc("paper_count"), "research_paradigmLabel", "data_typeLabel", "analysis_strategy")
+    return counted_named(df, t, by, "research_paradigm data_type", "year", F.desc("paper_count"), "research_paradigmLabel", "data_typeLabel", "analysis_strategy")
 
 
 @question(uid(61))
 def question_and_method_type(t):
     df = with_methods(collected(t, df=with_question_type(t)), t)
     by = "question_type question_typeLabel method_type method_typeLabel"
-    return counted(named(df, t, "question_type", "method_type"), by, F.desc("paper_count"), "question_typeLabel", "method_typeLabel")
+    return counted_named(df, t, by, "question_type method_type", F.desc("paper_count"), "question_typeLabel", "method_typeLabel")
