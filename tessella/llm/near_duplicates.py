@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ MISS = 1e-4
 DEEPEST = 24
 SPREAD = 4.5  # standard deviations by which a sketch may fall short
 
+SKETCH = ["s0", "s1", "s2", "s3"]
+
 _NAMELESS = 1 << 62  # classes without any id are numbered from here
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -78,11 +81,13 @@ def _constants(count: int, seed: int) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """POSITIONS minwise values per text; texts must not be empty."""
+    """POSITIONS minwise values per text, hashed to 16 bits; texts must not be empty."""
     starts = bounds[:-1]
-    out = np.empty((len(starts), POSITIONS), np.uint32)
+    out = np.empty((len(starts), POSITIONS), np.uint16)
     for k, (a, b) in enumerate(zip(_constants(POSITIONS, 11), _constants(POSITIONS, 977_777), strict=True)):
-        out[:, k] = np.minimum.reduceat(((hashes ^ b) * a >> np.uint64(32)).astype(np.uint32), starts) if len(starts) else 0
+        if len(starts):
+            least = np.minimum.reduceat(((hashes ^ b) * a >> np.uint64(32)).astype(np.uint32), starts)
+            out[:, k] = arrays.mix(least) >> np.uint64(48)
     return out
 
 
@@ -120,7 +125,7 @@ def missed(similarity: float, depth: int) -> float:
 
 
 def _described(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, k1, k2, signature``: set size, a 128-bit hash of the set, minwise values."""
+    """``doc_id, n, k1, k2, s0..s3, signature``: set size, a 128-bit hash of the set, its sketch and minwise values."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in arrays.chunks(batches):
@@ -130,51 +135,51 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
             starts = bounds[:-1][full]
             keys = map(pa.array, _keys(hashes, bounds))
             signature = signatures(hashes, np.append(starts, len(hashes)))
-            width = signature.shape[1] * 4
+            sketch = np.zeros((len(n), 4), np.int64)
+            sketch[full] = sketches(signature)
+            width = signature.shape[1] * signature.itemsize
             off = np.zeros(len(n) + 1, np.int32)
             off[1:] = np.cumsum(np.where(n > 0, width, 0))
             coded = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(signature.tobytes())])
-            yield pa.RecordBatch.from_arrays([arrays.plain(table["doc_id"]), pa.array(n), *keys, coded], ["doc_id", "n", "k1", "k2", "signature"])
+            columns = [arrays.plain(table["doc_id"]), pa.array(n), *keys, *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)), coded]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", *SKETCH, "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, signature binary")
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, signature binary")
 
 
 def _signature_of(column) -> np.ndarray:
     data, _ = arrays.text_bytes(column)
-    return np.frombuffer(data.tobytes(), np.uint32).reshape(-1, POSITIONS)
+    return np.frombuffer(data.tobytes(), np.uint16).reshape(-1, POSITIONS)
 
 
 def _rooted(classes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``node, cls, n, s0..s3`` of every class at a depth of every tree."""
+    """``node, cls`` of every class at a depth of every tree."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signature = _signature_of(batch["signature"])
-            sketch = sketches(signature)
             for tree in range(trees):
                 row = np.arange(len(signature))
                 node = np.full(len(row), arrays.mix(np.array([tree + 1], np.uint64))[0], np.uint64).view(np.int64)
                 for _ in range(depth):
                     moved, node = branch(node, signature[row])
                     row = row[moved]
-                columns = [pa.array(node), batch["cls"].take(pa.array(row)), batch["n"].take(pa.array(row)), *(pa.array(sketch[row, k]) for k in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "cls", "n", "s0", "s1", "s2", "s3"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), batch["cls"].take(pa.array(row))], ["node", "cls"])
 
-    return classes.select("cls", "n", "signature").mapInArrow(run, "node bigint, cls bigint, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return classes.select("cls", "signature").mapInArrow(run, "node bigint, cls bigint")
 
 
-def _deeper(live: DataFrame, classes: DataFrame) -> DataFrame:
+def _deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The children of the rows' nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cls", "n", "s0", "s1", "s2", "s3"]
         for batch in batches:
             row, node = branch(np.array(batch["node"].to_numpy()), _signature_of(batch["signature"]))
-            yield pa.RecordBatch.from_arrays([pa.array(node), *(batch[c].take(pa.array(row)) for c in names)], ["node", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(node), batch["cls"].take(pa.array(row))], ["node", "cls"])
 
-    joined = live.join(classes.select("cls", "signature"), "cls").select(*live.columns, "signature")
-    return joined.mapInArrow(run, live.schema)
+    joined = rows.select("node", "cls").join(classes.select("cls", "signature"), "cls").select("node", "cls", "signature")
+    return joined.mapInArrow(run, "node bigint, cls bigint")
 
 
 def _alike(a: str, b: str, similarity: float):
@@ -190,48 +195,53 @@ def _alike(a: str, b: str, similarity: float):
     return (differ <= most) & (low >= similarity * high - 1e-6 * high)
 
 
-def _nodes(live: DataFrame, *more) -> DataFrame:
-    """Per node with several components: the largest, ``top``, the number of rows outside it, ``others``, and minima ``p0`` and so on."""
-    parts = live.groupBy("node", "component").agg(F.count("*").alias("rows"), *more)
-    pivots = [f"p{k}" for k in range(len(more))]
-    largest = F.max(F.struct("rows", "component")).alias("l")
-    found = parts.groupBy("node").agg(F.sum("rows").alias("size"), largest, *(F.min(p).alias(p) for p in pivots))
-    return found.select("node", F.col("l.component").alias("top"), (F.col("size") - F.col("l.rows")).alias("others"), *pivots).filter("others > 0")
+def _nodes(live: DataFrame) -> DataFrame:
+    """Nodes with several components: the largest, ``top``, and the number of rows outside it, ``others``."""
+    parts = live.groupBy("node", "component").agg(F.count("*").alias("rows"))
+    found = parts.groupBy("node").agg(F.sum("rows").alias("size"), F.max(F.struct("rows", "component")).alias("l"))
+    return found.select("node", F.col("l.component").alias("top"), (F.col("size") - F.col("l.rows")).alias("others")).filter("others > 0")
+
+
+def _crowded(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of nodes with several components, with their sizes and sketches."""
+    rows = live.join(_nodes(live), "node")
+    return rows.join(classes.select("cls", "n", *SKETCH), "cls").select("node", "cls", "component", "top", "others", "n", *SKETCH)
 
 
-def _candidates(live: DataFrame, similarity: float, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify, and the rows of nodes too large to be compared exhaustively.
+def _candidates(crowded: DataFrame, similarity: float, last: bool) -> DataFrame:
+    """``a, b``: the pairs to verify.
 
     Pairs within a component need no comparison, so it is enough to compare the
-    rows outside a node's largest component with all of the node.
+    rows outside a node's largest component with all of the node.  Nodes with too
+    many such rows compare all with a few members.
     """
-    member = F.struct("cls", "n", "s0", "s1", "s2", "s3", "component")
-    nodes = _nodes(live, *(F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("o"), member.alias("m"))).alias(f"p{k}") for k in range(PIVOTS)))
-    small = nodes if last else nodes.filter(F.col("others") <= SMALL)
-    rows = live.join(small.select("node", "top"), "node")
-    x, y = rows.filter("component <> top").alias("x"), rows.alias("y")
     apart = F.col("x.component") != F.col("y.component")
     pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
+    small = crowded if last else crowded.filter(F.col("others") <= SMALL)
+    x, y = small.filter("component <> top").alias("x"), small.alias("y")
     pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & apart & _alike("x", "y", similarity)).select(*pair)
     if last:
-        return pairs.distinct(), live.limit(0)
-    large = nodes.filter(F.col("others") > SMALL).select("node", F.array(*(f"p{k}.m" for k in range(PIVOTS))).alias("ps"))
-    rows = live.join(large, "node")
-    star = rows.select(F.struct(*live.columns).alias("x"), F.explode("ps").alias("y"))
-    star = star.filter(apart & _alike("x", "y", similarity)).select(*pair)
-    return pairs.unionByName(star).distinct(), rows.select(*live.columns)
+        return pairs.distinct()
+    large = crowded.filter(F.col("others") > SMALL).select("node", "cls", "component", "n", *SKETCH)
+    member = F.struct("cls", "n", *SKETCH, "component")
+    pivots = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("o"), member.alias("m")))["m"] for k in range(PIVOTS)]
+    met = large.join(large.groupBy("node").agg(F.array(*pivots).alias("ps")), "node")
+    star = met.select(F.struct(*large.columns).alias("x"), F.explode("ps").alias("y")).filter(apart & _alike("x", "y", similarity))
+    return pairs.unionByName(star.select(*pair)).distinct()
+
+
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    named = found.select(F.col("node").alias("cls"), "component")
+    return rows.select("node", "cls").join(named, "cls", "left").select("node", "cls", F.coalesce("component", "cls").alias("component"))
 
 
 def _next(large: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
     """Large nodes that have few rows outside one component by now, and the children of the others."""
-    named = found.select(F.col("node").alias("cls"), "component")
-    with_component = lambda rows: rows.join(named, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    columns = [*large.columns, "component"]
-    rows = with_component(large).select(*columns)
+    rows = _with_component(large, found)
     sized = rows.join(_nodes(rows).select("node", "others"), "node")
-    stay = sized.filter(F.col("others") <= SMALL).select(*columns)
-    go = _deeper(sized.filter(F.col("others") > SMALL).select(*large.columns), classes)
-    return stay.unionByName(with_component(go).select(*columns))
+    stay = sized.filter(F.col("others") <= SMALL).select("node", "cls", "component")
+    go = _deeper(sized.filter(F.col("others") > SMALL), classes)
+    return stay.unionByName(_with_component(go, found))
 
 
 def _keys(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -275,6 +285,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
+def _joined(pairs: DataFrame, found: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` after verifying the pairs that can join components.
+
+    First each class's pair with its smallest partner is verified; of the other
+    pairs only those whose components still differ.
+    """
+    known = [] if found is None else [found.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = components(reduce(DataFrame.unionByName, [_verified(first, sets, percent), *known]))
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for c in "ab":
+        of = found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        rest = rest.join(of, c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    rest = written(rest.filter("of_a <> of_b").select("a", "b"), "pairs")
+    if rest.isEmpty():
+        return found
+    return components(_verified(rest, sets, percent).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs``.
 
@@ -285,25 +314,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     described = written(_described(docs, size), "described")
     full = described.filter("n > 0")
     name = F.coalesce(F.min("doc_id"), F.lit(_NAMELESS) + F.shiftrightunsigned(F.first("k1"), 3))
-    classes = full.groupBy("k1", "k2").agg(name.alias("cls"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = full.groupBy("k1", "k2").agg(name.alias("cls"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "signature")))
     classes = written(classes, "classes")
     total = classes.count()
-    depth = max(0, math.ceil(math.log(max(1, total / SMALL)) / math.log(20)))
+    # Unlike sets share about one minwise value in twenty at most, so a tree this deep parts them.
+    depth = round(math.log(max(1, total)) / math.log(20)) if total > SMALL else 0
     trees = max(1, math.ceil(math.log(MISS) / math.log(max(missed(similarity, depth + 1), 1e-9)))) if depth else 1
     live = _rooted(classes, trees, depth).withColumn("component", F.col("cls"))
     sets = found = None
     for level in range(depth, DEEPEST + 1):
-        pairs, large = _candidates(live, similarity, level == DEEPEST)
-        pairs = written(pairs, "pairs")
-        large = written(large.drop("component"), "large")
+        crowded = written(_crowded(live, classes), "crowded")
+        pairs = written(_candidates(crowded, similarity, level == DEEPEST), "pairs")
+        large = crowded.filter(F.col("others") > SMALL).select("node", "cls")
         if sets is None:
             wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
             sets = written(_sets(docs, wanted, size), "sets")
-        links = _verified(pairs, sets, percent)
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found = components(links)
-        if large.isEmpty():
+        found = _joined(pairs, found, sets, percent)
+        if level == DEEPEST or large.isEmpty():
             break
         live = written(_next(large, found, classes), "live")
     named = classes.join(found, classes.cls == found.node, "left").select("k1", "k2", F.coalesce("component", "cls").alias("component"))
