@@ -19,12 +19,13 @@ from tessella.llm.queries import quality_model, vocabulary
 from tessella.llm.registry import documents
 from tessella.llm.shared import folder
 
+POLICY = "v3"
 NAMELESS = 1 << 61  # below the numbers that near_duplicates gives to classes without ids
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy keeps."""
-    return quality_rules.keep(docs)
+    """Documents that the policy for corpora keeps: short texts stay, as the classifier judges them too."""
+    return quality_rules.keep(docs, POLICY)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ RULES: dict[str, str] = {
     "shouting": "100 * n_upper > 45 * word_chars",
     "long_words": "word_chars > 25 * n_words",
     "short_words": "word_chars < 2 * n_words",
+    "mostly_repeated": "100 * n_repeat_words > 85 * n_words",
+    "no_words": "n_words < 1",
 }
 BITS = {name: 1 << r for r, name in enumerate(RULES)}
 
@@ -52,7 +54,9 @@ def mask(*names: str) -> int:
 POLICIES: dict[str, int] = {
     "base": mask("few_words", "repeated_windows"),
     "v1": mask("few_words", "repeated_windows", "symbol_words", "symbols", "repeated_lines"),
-    "v2": mask(*RULES),
+    "v2": mask("few_words", "repeated_windows", "symbol_words", "symbols", "repeated_lines", "shouting", "long_words", "short_words"),
+    # Leaves short texts, and texts that repeat a passage, alone.
+    "v3": mask("symbol_words", "symbols", "repeated_lines", "shouting", "long_words", "short_words", "mostly_repeated", "no_words"),
 }
 POLICY = "v2"
 

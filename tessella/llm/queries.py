@@ -36,8 +36,9 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
     f as (select *, (case when n_words < 10 then 1 else 0 end + case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end
           + case when 100 * n_marked_words > 30 * n_words then 4 else 0 end + case when 100 * n_symbols > 10 * word_chars then 8 else 0 end
           + case when n_dup_lines >= 4 and 100 * n_dup_lines > 50 * n_lines then 16 else 0 end + case when 100 * n_upper > 45 * word_chars then 32 else 0 end
-          + case when word_chars > 25 * n_words then 64 else 0 end + case when word_chars < 2 * n_words then 128 else 0 end)::bigint as failed from x)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed from f""",
+          + case when word_chars > 25 * n_words then 64 else 0 end + case when word_chars < 2 * n_words then 128 else 0 end
+          + case when 100 * n_repeat_words > 85 * n_words then 256 else 0 end + case when n_words < 1 then 512 else 0 end)::bigint as failed from x)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed & 255 = 0 as kept, failed from f""",
 )
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     rows = quality_rules.ledger(documents(spark, sf))
