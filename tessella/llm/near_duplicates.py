@@ -42,6 +42,7 @@ SMALL = 32  # a node with so many classes outside its largest component is compa
 PIVOTS = 4  # members that all others of a larger node are compared with
 TWICE = 0.25  # share of nodes that branch by two positions
 MISS = 1e-4
+STEP = 3  # levels that a large node branches at once
 DEEPEST = 24
 SPREAD = 4.5  # standard deviations by which a sketch may fall short
 
@@ -171,11 +172,15 @@ def _rooted(classes: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 def _deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The children of the rows' nodes."""
+    """The rows' nodes STEP levels down."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, node = branch(np.array(batch["node"].to_numpy()), _signature_of(batch["signature"]))
+            signature = _signature_of(batch["signature"])
+            row, node = np.arange(batch.num_rows), np.array(batch["node"].to_numpy())
+            for _ in range(STEP):
+                moved, node = branch(node, signature[row])
+                row = row[moved]
             yield pa.RecordBatch.from_arrays([pa.array(node), batch["cls"].take(pa.array(row))], ["node", "cls"])
 
     joined = rows.select("node", "cls").join(classes.select("cls", "signature"), "cls").select("node", "cls", "signature")
@@ -236,7 +241,7 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _next(large: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Large nodes that have few rows outside one component by now, and the children of the others."""
+    """Large nodes that have few rows outside one component by now, and what the others branch to."""
     rows = _with_component(large, found)
     sized = rows.join(_nodes(rows).select("node", "others"), "node")
     stay = sized.filter(F.col("others") <= SMALL).select("node", "cls", "component")
@@ -321,16 +326,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     depth = round(math.log(max(1, total)) / math.log(20)) if total > SMALL else 0
     trees = max(1, math.ceil(math.log(MISS) / math.log(max(missed(similarity, depth + 1), 1e-9)))) if depth else 1
     live = _rooted(classes, trees, depth).withColumn("component", F.col("cls"))
-    sets = found = None
-    for level in range(depth, DEEPEST + 1):
+    sets = found = tried = None
+    for level in range(depth, DEEPEST + 1, STEP):
+        last = level + STEP > DEEPEST
         crowded = written(_crowded(live, classes), "crowded")
-        pairs = written(_candidates(crowded, similarity, level == DEEPEST), "pairs")
+        pairs = _candidates(crowded, similarity, last)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         large = crowded.filter(F.col("others") > SMALL).select("node", "cls")
         if sets is None:
             wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
             sets = written(_sets(docs, wanted, size), "sets")
-        found = _joined(pairs, found, sets, percent)
-        if level == DEEPEST or large.isEmpty():
+        if found is None or not pairs.isEmpty():
+            found = _joined(pairs, found, sets, percent)
+        if last or large.isEmpty():
             break
         live = written(_next(large, found, classes), "live")
     named = classes.join(found, classes.cls == found.node, "left").select("k1", "k2", F.coalesce("component", "cls").alias("component"))
