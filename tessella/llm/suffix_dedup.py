@@ -39,7 +39,8 @@ from tessella.llm.shared import written
 LENGTH = 100
 GRAM = 24
 GROUP = 1000
-SORT_ROWS = 40_000  # rows that a task sorts at once; groups are never split
+SORT_ROWS = 20_000  # rows that a task sorts at once; groups are never split
+CHUNK_BYTES = 2 << 20  # text whose anchors a task finds at once
 
 SIDE = LENGTH - GRAM
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -52,19 +53,18 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    power = {1: data.astype(np.uint64) + np.uint64(1)}
-    size = 1
-    while size * 2 <= GRAM:
-        h = power[size]
-        power[size * 2] = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
-        size *= 2
-    out, done = None, 0
-    while size:
+    out = None
+    part, size, filled = data.astype(np.uint64) + np.uint64(1), 1, 0
+    # Hashes of sizes that double; those that make up GRAM are put together as they come.
+    while True:
         if GRAM & size:
-            part = power[size][done : done + n]
-            out = part if out is None else out * np.uint64(pow(_BASE, size, 1 << 64)) + part
-            done += size
-        size //= 2
+            piece = part[filled : filled + n]
+            out = piece if out is None else out * np.uint64(pow(_BASE, size, 1 << 64)) + piece
+            filled += size
+        if size * 2 > GRAM:
+            break
+        part = part[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + part[size:]
+        size *= 2
     return arrays.mix(out)
 
 
@@ -155,7 +155,7 @@ def _first_anchors(rows: DataFrame) -> DataFrame:
     """Each chunk's first occurrence of every anchor and surroundings."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in arrays.chunks(batches):
+        for table in arrays.chunks(batches, most=CHUNK_BYTES):
             found = _chunk_anchors(table)
             yield _batch({k: v[found["first"]] for k, v in found.items()}, _ANCHORS)
 
@@ -166,7 +166,7 @@ def _within_chunks(rows: DataFrame) -> DataFrame:
     """Intervals that repeat something of their own chunk with its surroundings."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in arrays.chunks(batches):
+        for table in arrays.chunks(batches, most=CHUNK_BYTES):
             found = _chunk_anchors(table)
             again = ~found["first"] & (found["e"] - found["s"] >= LENGTH)
             yield from _merged({k: v[again] for k, v in found.items()})
