@@ -171,22 +171,32 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans that are the same in every task."""
+    return _hashed(data, starts, ends, (0x9E3779B97F4A7C15,))[0]
+
+
+def wide_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """The two halves of 128-bit hashes of byte spans; the first are ``hash_spans``."""
+    return _hashed(data, starts, ends, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, factors: tuple[int, ...]) -> list[np.ndarray]:
+    """One hash of every span per factor; the factors share the reading of the bytes."""
     lengths = ends - starts
     if not len(lengths):
-        return np.zeros(0, np.uint64)
-    h = mix(lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        return [np.zeros(0, np.uint64) for _ in factors]
+    factors = [np.uint64(f) for f in factors]
+    out = [mix(lengths.astype(np.uint64) + f) for f in factors]
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
     left = np.arange(len(lengths))
     done = 0
     while len(left):
-        at = starts[left] + done
-        word = np.zeros(len(left), np.uint64)
-        for k in range(8):
-            word |= padded[np.minimum(at + k, len(padded) - 1)].astype(np.uint64) << np.uint64(8 * k)
+        word = words[starts[left] + done]
         keep = np.minimum(lengths[left] - done, 8).astype(np.uint64)
         word &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.maximum(keep, 1).astype(np.uint64))
         word[keep == 0] = 0
-        h[left] = mix(h[left] * np.uint64(0x9E3779B97F4A7C15) + word)
+        for h, f in zip(out, factors, strict=True):
+            h[left] = mix(h[left] * f + word)
         done += 8
         left = left[lengths[left] > done]
-    return h
+    return out

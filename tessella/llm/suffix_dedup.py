@@ -6,7 +6,8 @@ earlier: in a row of smaller id, or earlier in the same row.
 Strings meet by anchors: of every LENGTH-byte window the GRAM-byte substring of
 least hash, leftmost among equals, is an anchor, so equal windows have equal
 anchors at equal places.  An anchor's surroundings are the bytes that any window
-with it can have.  Of occurrences with equal surroundings only the first is of
+with it can have.  Surroundings with the same 128-bit hash, beside the anchor's own,
+are taken as equal.  Of occurrences with equal surroundings only the first is of
 interest, the others are removed with their surroundings as a whole; that is done
 within each chunk before anything is shuffled.  The first ones of an anchor are
 then sorted as suffixes, and by their reversed left sides, with a mergesort whose
@@ -103,6 +104,8 @@ def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 _KEYS = "doc bigint, tie bigint"
+_AROUND = ("h", "c", "c2")  # an anchor and the 128-bit hash of its surroundings
+_OCCURRENCE = (*_AROUND, "doc", "tie", "pos")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -121,25 +124,29 @@ def _chunk_anchors(table: pa.Table) -> dict[str, np.ndarray]:
     at, h = anchors(data, off)
     row = arrays.owner(at, off)
     a, b = np.maximum(at - SIDE, off[row]), np.minimum(at + LENGTH, off[row + 1])
-    around = arrays.mix(arrays.hash_spans(data, a, b) + (at - a).astype(np.uint64))
+    around = [arrays.mix(x + (at - a).astype(np.uint64)).view(np.int64) for x in arrays.wide_hashes(data, a, b)]
     found = {
-        "h": h.view(np.int64), "c": (around >> np.uint64(32)).astype(np.int64), "doc": arrays.plain(table["doc"]).to_numpy()[row],
+        "h": h.view(np.int64), "c": around[0], "c2": around[1], "doc": arrays.plain(table["doc"]).to_numpy()[row],
         "tie": arrays.plain(table["tie"]).to_numpy()[row], "pos": at - off[row], "s": a - off[row], "e": b - off[row],
     }
-    order = np.lexsort([found[k] for k in ("pos", "tie", "doc", "c", "h")])
+    order = np.lexsort([found[k] for k in ("pos", "tie", "doc", "c2", "c", "h")])
     found = {k: v[order] for k, v in found.items()}
     found = {k: v[_new(found)] for k, v in found.items()}
-    same = (found["h"][1:] == found["h"][:-1]) & (found["c"][1:] == found["c"][:-1])
-    return found | {"first": np.append(True, ~same)[: len(found["h"])]}
+    return found | {"first": ~_equal(found, _AROUND)}
 
 
-def _new(rows: dict[str, np.ndarray], last: tuple | None = None) -> np.ndarray:
-    """Marks rows that aren't the same occurrence as the one before, as those of equal rows are."""
+def _equal(rows: dict[str, np.ndarray], names: tuple[str, ...], last: tuple | None = None) -> np.ndarray:
+    """Marks rows that have the same values as the one before; ``last`` holds those before the first."""
     same = np.ones(len(rows["h"]), bool)
-    for k, name in enumerate(("h", "c", "doc", "tie", "pos")):
+    for k, name in enumerate(names):
         same[1:] &= rows[name][1:] == rows[name][:-1]
         same[:1] &= last is not None and rows[name][:1] == last[k]
-    return ~same
+    return same
+
+
+def _new(rows: dict[str, np.ndarray], last: tuple | None = None) -> np.ndarray:
+    """Marks rows that aren't the same occurrence as the one before, as those of equal rows are."""
+    return ~_equal(rows, _OCCURRENCE, last)
 
 
 def _batch(columns: dict[str, np.ndarray], names: str) -> pa.RecordBatch:
@@ -147,7 +154,7 @@ def _batch(columns: dict[str, np.ndarray], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k]) for k in keys], keys)
 
 
-_ANCHORS = f"h bigint, c bigint, {_KEYS}, pos bigint, s bigint, e bigint"
+_ANCHORS = f"h bigint, c bigint, c2 bigint, {_KEYS}, pos bigint, s bigint, e bigint"
 _INTERVALS = f"{_KEYS}, s bigint, e bigint"
 
 
@@ -205,9 +212,9 @@ def _marks(firsts: DataFrame) -> DataFrame:
             rows = {k: v[new] for k, v in rows.items()}
             if not len(rows["h"]):
                 continue
-            same = np.append(last is not None and last[:2] == (rows["h"][0], rows["c"][0]), (rows["h"][1:] == rows["h"][:-1]) & (rows["c"][1:] == rows["c"][:-1]))
+            same = _equal(rows, _AROUND, last)
             known = rows["h"][0] if last is None else known
-            last = tuple(rows[k][-1] for k in ("h", "c", "doc", "tie", "pos"))
+            last = tuple(rows[k][-1] for k in _OCCURRENCE)
             again = same & (rows["e"] - rows["s"] >= LENGTH)
             yield _marked({k: v[again] for k, v in rows.items()}, False)
             firsts = {k: v[~same] if held is None else np.concatenate([held[k], v[~same]]) for k, v in rows.items()}
@@ -222,7 +229,7 @@ def _marks(firsts: DataFrame) -> DataFrame:
         if held is not None:
             yield _marked(held, True)
 
-    dealt = firsts.repartitionByRange("h", "c").sortWithinPartitions("h", "c", "doc", "tie", "pos")
+    dealt = firsts.repartitionByRange("h", "c").sortWithinPartitions(*_OCCURRENCE)
     return dealt.mapInArrow(run, _MARKS)
 
 

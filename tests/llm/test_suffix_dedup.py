@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tessella.llm import suffix_dedup as sd
+from tessella.llm import arrays, suffix_dedup as sd
 
 
 def brute(rows):
@@ -107,3 +107,21 @@ def test_collisions_are_found(monkeypatch):
     symbols = np.array([[3, 1], [2, 2], [2, 1]], np.uint16)
     order, match = sd.suffix_sort(np.zeros(3, np.int64), symbols)
     assert order.tolist() == [2, 1, 0] and match.tolist() == [-1, 1, 0]
+
+
+def test_surroundings_that_agree_in_32_bits_of_their_hash_are_different(docs, shared):
+    rng = np.random.default_rng(1)
+    letters = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    at = int(sd.gram_hashes(letters).argmin())  # of so low a hash that it is the anchor of every window
+    n = 300_000
+    text = np.tile(rng.integers(97, 123, 2 * sd.SIDE + sd.GRAM).astype(np.uint8), (n, 1))
+    text[:, sd.SIDE : sd.LENGTH] = letters[at : at + sd.GRAM]
+    for k in range(sd.SIDE):
+        if k % 2:
+            text[:, [k, k + sd.LENGTH]] = rng.integers(97, 123, (n, 2))
+    ends = np.arange(1, n + 1) * text.shape[1]
+    around = arrays.mix(arrays.hash_spans(text.ravel(), ends - text.shape[1], ends) + np.uint64(sd.SIDE)) >> np.uint64(32)
+    order = np.argsort(around, kind="stable")
+    pairs = np.flatnonzero(around[order][1:] == around[order][:-1])
+    assert len(pairs)
+    check(docs, [(k, text[row].tobytes().decode()) for k, row in enumerate(order[np.concatenate([pairs, pairs + 1])])])
