@@ -20,7 +20,8 @@ An anchor with more than GROUP different surroundings isn't sorted in one task:
 its windows are hashed to 128 bits each and grouped by that.
 
 Edge cases: a null text is empty; a null id comes after all others; rows that
-repeat an id with other columns are ordered by a hash of the row; rows that are
+repeat an id with other columns are ordered by a 64-bit hash of the row, those
+without an id by one of 126 bits; rows that are
 the same in all columns are one document and share their result; empty tables
 give no rows; columns may have any names.
 """
@@ -113,8 +114,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rest = F.struct(*others)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tie = F.shiftrightunsigned(F.xxhash64(text, F.to_json(rest)), 33)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    tie = F.xxhash64(text, F.to_json(rest))
+    # Rows without an id share no number either: theirs is another hash of 62 bits, above the ids.
+    nameless = F.lit(_NO_ID).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(1), text, F.to_json(rest)), 2))
+    doc = F.coalesce(F.col("doc_id").cast("long"), nameless)
     return docs.select(doc.alias("doc"), tie.alias("tie"), text.alias("text"), rest.alias("rest"))
 
 

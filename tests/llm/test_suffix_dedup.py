@@ -125,3 +125,14 @@ def test_surroundings_that_agree_in_32_bits_of_their_hash_are_different(docs, sh
     pairs = np.flatnonzero(around[order][1:] == around[order][:-1])
     assert len(pairs)
     check(docs, [(k, text[row].tobytes().decode()) for k, row in enumerate(order[np.concatenate([pairs, pairs + 1])])])
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_whose_hashes_agree_in_31_bits_stay_apart(spark, docs, shared, doc_id):
+    rows = spark.range(300_000).selectExpr(f"cast({doc_id if doc_id else 'null'} as long) as doc_id", "concat('text ', id) as text")
+    tie = F.shiftrightunsigned(F.xxhash64("text", F.to_json(F.struct("doc_id"))), 33)
+    met = rows.groupBy(tie.alias("tie")).agg(F.collect_set("text").alias("texts")).filter("size(texts) > 1").collect()
+    texts = sorted(t for r in met for t in r.texts)
+    assert texts
+    got = sd.removed(docs([(doc_id, t) for t in texts]).select("doc_id", "text")).collect()
+    assert sorted(bytes(r.kept).decode() for r in got) == texts
