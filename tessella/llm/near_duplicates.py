@@ -12,7 +12,8 @@ A large node is not compared exhaustively: its members are compared with a few
 of its own members, which links groups of many copies at once.  Pairs within a
 component need no further comparison; so when few members are outside a node's
 largest component, these are compared with all of the node, and any other node
-branches on.  So nothing is capped, and no group emits all its pairs.
+branches on, in several independent subtrees, as a pair is the more easily parted
+the deeper a tree gets.  The trees are as many as the greatest depth needs.  So nothing is capped, and no group emits all its pairs.
 
 Edge cases: without words a text's set is empty and linked with nothing; a text
 of fewer words than a shingle is one shingle; equal texts are one class however
@@ -116,15 +117,54 @@ def branch(node: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), np.concatenate(children)
 
 
-def missed(similarity: float, depth: int) -> float:
-    """The chance that a pair at the bound shares no node of one tree at a depth."""
-    lost = 0.0
+def subtrees(node: np.ndarray, signature: np.ndarray, copies: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes STEP levels down in every independent subtree: the member's row, and the node."""
+    row = np.tile(np.arange(len(node)), copies)
+    seed = np.repeat(np.arange(copies, dtype=np.uint64), len(node))
+    node = arrays.mix(np.tile(node.view(np.uint64), copies) + (seed + np.uint64(5)) * _GOLDEN).view(np.int64)
+    for _ in range(STEP):
+        moved, node = branch(node, signature[row])
+        row = row[moved]
+    return row, node
+
+
+def copies_of(similarity: float) -> int:
+    """Subtrees of a large node: a pair at the bound is expected in twice as many nodes after STEP levels as before."""
+    return math.ceil(2 / (similarity * (1 + TWICE)) ** STEP - 1e-6)
+
+
+def missed(similarity: float, depth: int, lost: float = 0.0) -> float:
+    """The chance that a pair at the bound shares no node of one tree at a depth; of a shared one ``lost`` is missed."""
     for _ in range(depth):
         one = 1 - similarity + similarity * lost
         lost = (1 - TWICE) * one + TWICE * one * one
     return lost
 
 
+def missed_by(trees: int, similarity: float, depth: int) -> float:
+    """The chance that all trees miss a pair at the bound, if its nodes are large down to DEEPEST.
+
+    Over all numbers of positions that its signatures may have in common.
+    """
+    equal = np.arange(POSITIONS + 1)
+    often = np.array([math.comb(POSITIONS, k) for k in equal], float) * similarity**equal * (1 - similarity) ** (POSITIONS - equal)
+    lost = np.zeros(POSITIONS + 1)
+    for _ in range(depth, DEEPEST + 1 - STEP, STEP):
+        lost = missed(equal / POSITIONS, STEP, lost) ** copies_of(similarity)
+    return float((often * missed(equal / POSITIONS, depth, lost) ** trees).sum())
+
+
+def trees_for(similarity: float, depth: int) -> int:
+    """The fewest trees whose chance to miss a pair at the bound is at most MISS."""
+    low, high = 0, 1
+    while missed_by(high, similarity, depth) > MISS:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed_by(middle, similarity, depth) > MISS else (low, middle)
+    return high
+
+
 def _described(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, k1, k2, s0..s3, signature``: set size, a 128-bit hash of the set, its sketch and minwise values."""
 
@@ -171,16 +211,13 @@ def _rooted(classes: DataFrame, trees: int, depth: int) -> DataFrame:
     return classes.select("cls", "signature").mapInArrow(run, "node bigint, cls bigint")
 
 
-def _deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _deeper(rows: DataFrame, classes: DataFrame, copies: int) -> DataFrame:
     """The rows' nodes STEP levels down."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signature = _signature_of(batch["signature"])
-            row, node = np.arange(batch.num_rows), np.array(batch["node"].to_numpy())
-            for _ in range(STEP):
-                moved, node = branch(node, signature[row])
-                row = row[moved]
+            row, node = subtrees(batch["node"].to_numpy(), signature, copies)
             yield pa.RecordBatch.from_arrays([pa.array(node), batch["cls"].take(pa.array(row))], ["node", "cls"])
 
     joined = rows.select("node", "cls").join(classes.select("cls", "signature"), "cls").select("node", "cls", "signature")
@@ -240,12 +277,12 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("node", "cls").join(named, "cls", "left").select("node", "cls", F.coalesce("component", "cls").alias("component"))
 
 
-def _next(large: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+def _next(large: DataFrame, found: DataFrame, classes: DataFrame, copies: int) -> DataFrame:
     """Large nodes that have few rows outside one component by now, and what the others branch to."""
     rows = _with_component(large, found)
     sized = rows.join(_nodes(rows).select("node", "others"), "node")
     stay = sized.filter(F.col("others") <= SMALL).select("node", "cls", "component")
-    go = _deeper(sized.filter(F.col("others") > SMALL), classes)
+    go = _deeper(sized.filter(F.col("others") > SMALL), classes, copies)
     return stay.unionByName(_with_component(go, found))
 
 
@@ -324,7 +361,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     total = classes.count()
     # Unlike sets share about one minwise value in twenty at most, so a tree this deep parts them.
     depth = round(math.log(max(1, total)) / math.log(20)) if total > SMALL else 0
-    trees = max(1, math.ceil(math.log(MISS) / math.log(max(missed(similarity, depth + 1), 1e-9)))) if depth else 1
+    trees = trees_for(similarity, depth) if depth else 1
     live = _rooted(classes, trees, depth).withColumn("component", F.col("cls"))
     sets = found = tried = None
     for level in range(depth, DEEPEST + 1, STEP):
@@ -341,7 +378,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             found = _joined(pairs, found, sets, percent)
         if last or large.isEmpty():
             break
-        live = written(_next(large, found, classes), "live")
+        live = written(_next(large, found, classes, copies_of(similarity)), "live")
     named = classes.join(found, classes.cls == found.node, "left").select("k1", "k2", F.coalesce("component", "cls").alias("component"))
     named = named.select("k1", "k2", F.when(F.col("component") < _NAMELESS, F.col("component")).alias("component"), F.lit(True).alias("named"))
     out = described.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessella.llm import near_duplicates as nd
@@ -87,3 +88,35 @@ def test_missed_pairs_shrink_with_trees():
 def test_components(spark, shared, links, want):
     found = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     assert {r.node: r.component for r in found} == want
+
+
+def test_pairs_at_the_bound_are_found_below_large_nodes():
+    depth, pairs, trees = 5, 400, nd.trees_for(0.8, 5)
+    assert nd.missed_by(trees, 0.8, depth) <= nd.MISS < nd.missed_by(trees - 1, 0.8, depth)
+    rng = np.random.default_rng(6)
+    one, other = rng.integers(0, 1 << 16, (2, pairs, nd.POSITIONS)).astype(np.uint16)
+    signature = np.concatenate([one, np.where(rng.random(one.shape) < 0.8, one, other)])
+    found = np.zeros(pairs, bool)
+    for tree in range(trees):
+        row, node = np.arange(2 * pairs), np.full(2 * pairs, tree + 1)
+        for _ in range(depth):
+            moved, node = nd.branch(node, signature[row])
+            row = row[moved]
+        for _ in range(3):
+            moved, node = nd.subtrees(node, signature[row], nd.copies_of(0.8))
+            row = row[moved]
+        left, right = (set(zip((row[k] % pairs).tolist(), node[k].tolist())) for k in (row < pairs, row >= pairs))
+        found[[k for k, _ in left & right]] = True
+    assert found.all()
+
+
+def test_close_pairs_in_a_large_family_of_unlike_texts(docs, shared):
+    pick = random.Random(5)
+    shared_words = [f"s{k}" for k in range(100)]
+    rows = []
+    for k in range(200):
+        words = shared_words + [f"u{k}_{i}" for i in range(100)]
+        near = words[:-22] + [f"v{k}_{i}" for i in range(22)]  # 177 of 221 pairs of words in common
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    pick.shuffle(rows)
+    check(docs, rows)
