@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_pairs, fingerprints, lm_scoring, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
+from tessella.llm import byte_pairs, exact_dedup, fingerprints, lm_scoring, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
 from tessella.llm.registry import documents, query
 
 
@@ -141,3 +141,14 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
         F.col("rest.doc_id").alias("doc_id"), "n_bytes", cut.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op13_exact_dedup",
+    r"""
+    with d as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents),
+    g as (select *, first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id) as keep_id, count(*) over (partition by text_sha256) as group_size from d)
+    select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g""",
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf))
