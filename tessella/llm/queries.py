@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_pairs, exact_dedup, fingerprints, lm_scoring, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
+from tessella.llm import byte_pairs, exact_dedup, fingerprints, lm_scoring, merkle, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
 from tessella.llm.registry import documents, query
 
 
@@ -152,3 +152,60 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf))
+
+
+_CRC = [0, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C, 0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C]
+
+
+def crc32_sql(number: str) -> str:
+    """DuckDB SQL for the CRC-32 of a decimal number, four bits at a time."""
+    codes = f"list_transform(string_split({number}::varchar, ''), lambda c: ascii(c))"
+    halves = f"flatten(list_transform({codes}, lambda b: [(b & 15)::bigint, (b >> 4)::bigint]))"
+    table = "[" + ", ".join(f"{v}::bigint" for v in _CRC) + "]"
+    return f"xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, {halves}), lambda c, x: xor(c >> 4, {table}[(xor(c, x) & 15) + 1])))"
+
+
+def _merkle_sql(levels: int = 24, top_levels: int = 6) -> str:
+    """Tables ``t0, t1, ...`` of a group's nodes level by level, then ``u0, u1, ...`` of the subroots' tree."""
+    enc = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda n: f"sha256({enc('doc_id')} || {enc('source')} || {enc('lang')} || {enc(n)} || {enc('text')})"
+    steps = [
+        f"""leaves as materialized (select doc_id, lang, {leaf('n_chars')} as h, case when {crc32_sql('doc_id')} % 7 = 0 then {leaf('(n_chars + 1)')} else {leaf('n_chars')} end as v,
+        row_number() over (partition by lang order by doc_id) - 1 as i, count(*) over (partition by lang) as n from documents)""",
+        "t0 as materialized (select lang, i, h, n from leaves)",
+        "p0 as materialized (select doc_id, lang, i, h as leaf, v, '' as proof, n from leaves)",
+    ]
+
+    def up(nodes: str, paths: str, k: int, by: str) -> None:
+        # A level of a group that is down to one node hands it on as it is.
+        steps.append(
+            f"""{nodes}{k} as materialized (select {by}, i // 2 as i, case when n = 1 then min(h) else sha256(string_agg(h, '' order by i)) end as h, (n + 1) // 2 as n
+            from {nodes}{k - 1} group by {by}, i // 2, n)"""
+        )
+        steps.append(
+            f"""{paths}{k} as materialized (select p.* exclude (i, v, proof, n), p.i // 2 as i, (p.n + 1) // 2 as n, p.proof || coalesce(s.h, '') as proof,
+            case when p.n = 1 then p.v when s.h is null then sha256(p.v) when p.i % 2 = 0 then sha256(p.v || s.h) else sha256(s.h || p.v) end as v
+            from {paths}{k - 1} p left join {nodes}{k - 1} s on p.{by} is not distinct from s.{by} and s.i = xor(p.i, 1))"""
+        )
+
+    for k in range(1, levels + 1):
+        up("t", "p", k, "lang")
+    steps.append(f"u0 as materialized (select 0 as one, lang, h, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from t{levels})")
+    steps.append(f"q0 as materialized (select 0 as one, p.* exclude (i, n), u.h as subroot, u.i, u.n from p{levels} p join u0 u on p.lang is not distinct from u.lang)")
+    for k in range(1, top_levels + 1):
+        up("u", "q", k, "one")
+    return f"""with {', '.join(steps)} select doc_id, leaf, subroot, r.h as root, sha256(proof) as proof_sha256, v as folded_root, v = r.h as verified
+    from q{top_levels} cross join (select h from u{top_levels}) r"""
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in columns]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf(*tampered))
+    rows = documents(spark, sf).select("doc_id", F.col("lang").alias("grp"), merkle.leaf(*(F.col(c) for c in columns)).alias("leaf"), changed.alias("changed"))
+    found = merkle.manifest(rows)
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
