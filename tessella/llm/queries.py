@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import byte_pairs, exact_dedup, fingerprints, lm_scoring, merkle, near_duplicates, packing, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
+from tessella.llm import byte_pairs, exact_dedup, fingerprints, lm_scoring, merkle, near_duplicates, packing, prefix_trie, quality_classifier, quality_rules, sharding, shared, simple8b, suffix_dedup
 from tessella.llm.registry import documents, query
 
 
@@ -209,3 +209,47 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each conversation c as the first h turns of c - c % 5, then its own after its first h; and all conversations."""
+    convs = turns.groupBy("conv_id").agg(F.count("*").alias("length"))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    convs = convs.select("conv_id", "length", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 5).alias("source"))
+    sources = convs.select(F.col("conv_id").alias("source"), F.col("length").alias("source_length"))
+    convs = shared.written(convs.join(sources, "source", "left").withColumn("taken", F.least("h", F.coalesce("source_length", F.lit(0)))), "conversations")
+    rest = ["a", "b", "bytes"]
+    own = turns.join(convs, "conv_id").filter("pos >= h").select("conv_id", (F.col("taken") + F.col("pos") - F.col("h") + 1).alias("depth"), *rest)
+    heads = turns.filter("pos < 8").withColumnRenamed("conv_id", "source").join(convs, "source").filter("pos < h")  # h is at most 8
+    return own.unionByName(heads.select("conv_id", (F.col("pos") + 1).alias("depth"), *rest)), convs.select("conv_id")
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first) - 1 as i
+      from conversations where conv_id is not null),
+    k as (select c, count(*) as len, {crc32_sql('c')} % 9 as h, c - c % 5 as b from t group by c),
+    m as (select k.c, k.h, k.b, least(k.h, coalesce(s.len, 0)) as m from k left join k s on s.c = k.b),
+    r as (select m.c, t.i + 1 as d, role, text from m join t on t.c = m.b where t.i < m.h
+      union all select m.c, m.m + t.i - m.h + 1, role, text from m join t on t.c = m.c where t.i >= m.h),
+    x as (select c, d, strlen(text) as bytes,
+      sha256(string_agg(strlen(role) || ':' || role || ':' || strlen(text) || ':' || text, '') over (partition by c order by d)) as key from r),
+    p as (select c, 0 as d, 0 as bytes, '' as key from k union all select c, d, bytes, key from x),
+    q as materialized (select *, lag(key) over (partition by c order by d) as up, d = max(d) over (partition by c) as ends from p),
+    n as materialized (select d, key, any_value(up) as up, min(c) as c, count(*) as n_convs, max(bytes) as bytes,
+      sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ends), '')) as ends_sha256 from q group by d, key),
+    f as (select d - 1 as d, up as key, count(*) as n from n where d > 0 group by d, up),
+    v as materialized (select n.*, coalesce(f.n, 0) as n_children from n left join f using (d, key)),
+    s as (select q.d, q.key, count(*) filter (where v.n_children = 0) as n_leaves, sum((v.n_convs - 1) * v.bytes)::bigint as saved_tokens
+      from v join q on q.c = v.c and q.d <= v.d group by q.d, q.key)
+    select v.c as conv_id, v.d::bigint as depth, u.c as parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+    from v join s using (d, key) left join n u on u.d = v.d - 1 and u.key = v.up""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    turns = prefix_trie.turns(spark.read.parquet(f"{sf}/conversations.parquet"))
+    found = prefix_trie.trie(*rebuilt(turns))
+    ends = F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256")
+    return found.nodes.join(prefix_trie.id_digests(found.ends), "id", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", ends
+    )
