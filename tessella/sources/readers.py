@@ -8,6 +8,8 @@ from functools import cache, partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField
 
+from tessella.sources import json_lists
+
 CELL_SCHEMA = "array<struct<kind: int, language: string, value: string>>"
 CANONICAL_SCHEMA = (
     "uid string, source_dataset string, source_id int, family string, question string, "
@@ -73,6 +75,21 @@ def _list_scan(texts: DataFrame, json: Column, schema: str, why: str | Column, *
     return items.filter("item is not null"), bad
 
 
+def _objects(items: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Items with ``item`` as a struct, and the refused ones; ``schema`` is an array of structs."""
+    item = F.from_json("raw", schema.removeprefix("array<").removesuffix(">"))
+    found = items.withColumn("item", F.when(F.rlike("raw", F.lit(r"\A\s*\{")), item)).drop("raw")
+    return found.filter("item is not null"), _refused(found, F.when(F.col("item").isNull(), F.format_string(ITEM, "pos")))
+
+
+def _read_lists(spark: SparkSession, path: str, schema: str, key: str | None = None, run: str | None = None) -> Scan:
+    """One row ``file, pos, run, item`` per object of the files' lists, read by as many tasks as the files have splits."""
+    lists = json_lists.scan(spark, path, key, run)
+    items, bad = _objects(lists.items, schema)
+    why = F.when((F.col("shape") == "{") & F.col("valid"), NO_RESULTS).otherwise(NOT_A_LIST)
+    return items, bad.unionByName(_refused(lists.files, F.when(~F.col("good"), why)))
+
+
 def notebook_scan(texts: DataFrame) -> Scan:
     """Notebook cells in order, ``file, pos, kind, language, value``, and the refused notebooks.
 
@@ -89,8 +106,9 @@ def notebook_cells(texts: DataFrame) -> DataFrame:
 
 
 def read_notebooks(spark: SparkSession, path: str) -> Scan:
-    """The cells of every notebook file below ``path``, and the refused files."""
-    return notebook_scan(whole_texts(spark, path))
+    """The cells of every notebook file below ``path``, and the refused files; a large notebook is read by many tasks."""
+    items, bad = _read_lists(spark, path, CELL_SCHEMA)
+    return items.select("file", "pos", "item.kind", "item.language", "item.value"), bad
 
 
 def _fields(schema: str) -> str:
@@ -105,8 +123,9 @@ def canonical_scan(texts: DataFrame) -> Scan:
 
 
 def read_canonical_json(spark: SparkSession, path: str) -> Scan:
-    """Files whose top level is one JSON list of canonical entries."""
-    return canonical_scan(whole_texts(spark, path))
+    """Files whose top level is one JSON list of canonical entries, of any size and however laid out."""
+    items, bad = _read_lists(spark, path, _fields(CANONICAL_SCHEMA))
+    return items.select("item.*"), bad
 
 
 def jsonl_scan(lines: DataFrame, schema: str = CANONICAL_SCHEMA) -> Scan:
@@ -138,8 +157,9 @@ def run_scan(texts: DataFrame) -> Scan:
 
 
 def read_runs(spark: SparkSession, path: str) -> Scan:
-    """Run files of either shape."""
-    return run_scan(whole_texts(spark, path))
+    """Run files of either shape, of any size; in an object, the list must end after an object or be empty."""
+    items, bad = _read_lists(spark, path, _fields(RESULT_SCHEMA), "results", "$.run_metadata.model_name")
+    return items.select("run", (F.col("pos") + 1).alias("pos"), "item.*"), bad
 
 
 def _config(texts: DataFrame, schema: str) -> Scan:
