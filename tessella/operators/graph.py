@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessella.session import written
 from tessella.sources.readers import TripleTables
 
 Triples = DataFrame | TripleTables
@@ -90,6 +91,41 @@ def wide(t: Triples, var: str, wanted: Mapping[str, str]) -> DataFrame:
     return packed.dropna(subset=list(wanted.values()))
 
 
+MOST_VALUES = 10_000  # rows of a subject that one task may hold
+
+
+def star_once(t: Triples, var: str, wanted: Mapping[str, str], most: int = MOST_VALUES) -> DataFrame:
+    """Q3: a star of predicates with any number of values, its rows moved once.
+
+    Every subject's values are gathered as one array per predicate, and their
+    product comes out of one generator after the other.  A sketch of frequent
+    subjects finds those with more than ``most`` rows; the values of such a one's largest predicate are dealt
+    over blocks, each with all values of the others, so no task holds the subject.
+    """
+    rows = pattern(t, list(wanted), var, "__o", tag="__p")
+    heavy = _heavy_subjects(rows, var, most)
+    largest = rows.join(F.broadcast(heavy), [var]).groupBy(var, "__blocks", "__p").agg(F.count("*").alias("__n"))
+    largest = largest.groupBy(var, "__blocks").agg(F.max_by("__p", "__n").alias("__dealt"))
+    dealt = F.array(F.pmod(F.xxhash64("__o"), F.col("__blocks")))
+    block = F.when(F.col("__blocks").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("__p") == F.col("__dealt"), dealt)
+    block = block.otherwise(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))
+    rows = rows.join(F.broadcast(largest), [var], "left").select(var, "__p", "__o", F.explode(block).alias("__block"))
+    values = {c: F.collect_list(F.when(F.col("__p") == p, F.col("__o"))).alias(c) for p, c in wanted.items()}
+    packed = rows.groupBy(var, "__block").agg(*values.values())
+    for c in wanted.values():
+        packed = packed.filter(F.size(c) > 0)
+    for c in wanted.values():
+        packed = packed.withColumn(c, F.explode(c))
+    return packed.drop("__block")
+
+
+def _heavy_subjects(rows: DataFrame, var: str, most: int, tracked: int = 1 << 16, named: int = 4096) -> DataFrame:
+    """At most ``named`` subjects that may have more than ``most`` rows, with the number of blocks for each."""
+    found = rows.agg(F.call_function("approx_top_k", F.col(var), F.lit(named), F.lit(tracked)).alias("found")).select(F.explode("found").alias("f"))
+    blocks = F.ceil(F.col("f.count") / most).cast("long")
+    return found.filter(F.col("f.count") > most).select(F.col("f.item").alias(var), blocks.alias("__blocks"))
+
+
 def path(df: DataFrame, t: Triples, start: str, hops: Sequence[tuple[str, str]]) -> DataFrame:
     """Q4: follow ``(predicate, variable)`` hops from column ``start``."""
     for p, var in hops:
@@ -98,6 +134,34 @@ def path(df: DataFrame, t: Triples, start: str, hops: Sequence[tuple[str, str]])
     return df
 
 
+def reduced_path(
+    df: DataFrame, t: Triples, start: str, hops: Sequence[tuple[str, str]], where: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Q4: ``path`` whose variables have conditions, without rows that lead nowhere.
+
+    Before any wide row is made, each hop is cut to what goes on: from the last hop back to
+    triples whose object starts one of the next, and from ``start`` on to triples
+    whose subject ends one of the last.  ``where`` has a condition for any variable.
+    What each pass keeps is written to the scratch folder.
+    """
+    conditions = dict(where or {})
+    df = df.filter(conditions[start]) if start in conditions else df
+    names = [start, *(var for _, var in hops)]
+    found: list[DataFrame] = []
+    for k in reversed(range(len(hops))):
+        hop = pattern(t, hops[k][0], names[k], names[k + 1])
+        for var in {names[k], names[k + 1]} & conditions.keys():
+            hop = hop.filter(conditions[var])
+        if found:
+            hop = hop.join(found[0].select(names[k + 1]).distinct(), [names[k + 1]], "left_semi")
+        found.insert(0, written(hop.select(names[k], names[k + 1]), f"back-{k}"))
+    reached = df.select(start).distinct()
+    for k, hop in enumerate(found):
+        found[k] = written(hop.join(reached, [names[k]], "left_semi"), f"forth-{k}")
+        reached = found[k].select(names[k + 1]).distinct()
+    return reduce(lambda d, k: d.join(found[k], [names[k]]), range(len(hops)), df)
+
+
 # ----------------------------------------------------------- optional, exists
 
 
@@ -154,6 +218,27 @@ def with_all_values(t: Triples, p: str, values: Sequence[str], var: str = "s") -
     return rows.groupBy(var).agg(F.count_distinct("__o").alias("__n")).filter(F.col("__n") == len(set(values))).select(var)
 
 
+def divided(rows: DataFrame, divisor: DataFrame, subject: str, value: str, by: str | Sequence[str] = ()) -> DataFrame:
+    """Q7: subjects that have every value of ``divisor``, or of each of its groups ``by``.
+
+    The divisor's different values are counted once; the subjects' values that are in it
+    are counted per subject and group and compared with that.  Without groups an empty
+    divisor asks for nothing, so every subject has it; a group is there by its values, so none is empty.
+    A null value is had by none: a divisor with one has no subjects.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    asked = divisor.select(*keys, value).distinct()
+    needed = asked.groupBy(*keys).agg(F.count("*").alias("__needed"))
+    has = rows.select(subject, value).join(asked, [value]).groupBy(*keys, subject).agg(F.count_distinct(value).alias("__has"))
+    if keys:
+        same = [F.col(f"has.{k}").eqNullSafe(F.col(f"needed.{k}")) for k in keys]
+        met = has.alias("has").join(needed.alias("needed"), [*same, F.col("__has") == F.col("__needed")], "left_semi")
+        return met.select(*keys, subject)
+    wanted = needed.select("__needed").scalar()
+    everyone = rows.select(subject).distinct().filter(wanted == 0)
+    return has.filter(F.col("__has") == wanted).select(subject).unionByName(everyone)
+
+
 def with_several(df: DataFrame, var: str, value: str, at_least: int = 2) -> DataFrame:
     """Q44: keys with at least so many different values, without any pairs."""
     if at_least == 2:
@@ -223,6 +308,40 @@ def interval(value: Column, bounds: Sequence[tuple[int, int, str]]) -> Column:
     return reduce(lambda w, b: w.when(value.between(b[0], b[1]), b[2]), bounds[1:], F.when(value.between(*bounds[0][:2]), bounds[0][2]))
 
 
+def pieces_of(low: Column, high: Column) -> Column:
+    """The aligned pieces of a closed interval of whole numbers, as ``level, piece``: 2**level numbers from piece * 2**level on.
+
+    At most two pieces of each size are needed, one at either end.
+    """
+    from_, to = low.cast("long"), high.cast("long") + 1
+
+    def at(level: Column) -> Column:
+        first, end = -F.call_function("shiftright", -from_, level), F.call_function("shiftright", to, level)
+        piece = lambda n: F.struct(level.alias("level"), n.alias("piece"))
+        left = F.when((first < end) & (first % 2 != 0), piece(first))
+        right = F.when((first < end) & (end % 2 != 0), piece(end - 1))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), at))
+
+
+def interval_join(df: DataFrame, value: str, bounds: DataFrame, low: str, high: str, how: str = "inner") -> DataFrame:
+    """Q43: rows with every interval of a table that holds their value.
+
+    Intervals are cut into aligned pieces of sizes that are powers of two, and a value lies in one
+    piece of each size, so that the condition is an equality.  Only the different
+    values are looked up, in the sizes that occur.  Intervals may overlap; a value in none is left out, or
+    with ``how="left"`` kept with nulls.  An interval without a bound or that ends before it begins holds nothing.
+    """
+    cut = bounds.filter(F.col(low) <= F.col(high)).select("*", F.explode(pieces_of(F.col(low), F.col(high))).alias("__c"))
+    cut = cut.select(*bounds.columns, F.col("__c.level").alias("__level"), F.col("__c.piece").alias("__piece"))
+    levels = cut.agg(F.collect_set("__level").alias("l")).scalar()
+    values = df.select(value).filter(F.col(value).isNotNull()).distinct().select(value, F.explode(levels).alias("__level"))
+    values = values.withColumn("__piece", F.expr(f"shiftright(cast(`{value}` as bigint), __level)"))
+    found = values.join(cut, ["__level", "__piece"]).drop("__level", "__piece")
+    return df.join(found, [value], how)
+
+
 def classify(cases: Sequence[tuple[Column, str]], otherwise: str | None = None) -> Column:
     """Q41: the first case that applies."""
     chain = reduce(lambda w, c: w.when(c[0], c[1]), cases[1:], F.when(*cases[0]))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessella.operators import graph as g
-from tessella.plans.registry import query
-from tessella.plans.shop import shop_graph
+from tessella.plans.registry import query, table
+from tessella.plans.shop import iri, shop_graph
+from tessella.sources.clustered import SubjectStore, write_clustered
 
 OF_ORDER = "'order/' || o_orderkey"
 OF_CUST = "'customer/' || c_custkey"
@@ -558,3 +561,99 @@ def q56(spark, sf):
     facts = g.pattern(t, "placedBy", "ord", "cust").join(g.pattern(t, "status", "ord", None, obj="P"), ["ord"])
     facts = facts.join(g.pattern(t, "priority", "ord", "priority"), ["ord"])
     return g.coverage(g.instances(t, "Customer", "cust"), facts, "cust", "priority")
+
+
+# ------------------------------------------------- clustered stores, reduced joins
+
+
+def clustered(spark: SparkSession, sf: str, *predicates: str) -> SubjectStore:
+    """The shop graph's predicates in a store clustered by subject."""
+    return write_clustered(shop_graph(spark, sf).only(predicates), f"triples_{uuid.uuid4().hex[:12]}")
+
+
+@query("S07_clustered_store", "select 'part/' || p_partkey as s, p_brand as o from part union all select 'part/' || p_partkey, p_name from part")
+def s7_clustered(spark, sf):
+    brands = clustered(spark, sf, "brand", g.LABEL).only(["brand", g.LABEL])
+    return brands.filter(F.startswith("s", F.lit("part/"))).select("s", "o")
+
+
+@query("Q03_star_clustered", STAR_SQL)
+def q3_clustered(spark, sf):
+    """Class and three predicates of a subject, joined bucket by bucket."""
+    t = clustered(spark, sf, g.TYPE, "placedBy", "status", "priority")
+    wanted = {"placedBy": "cust", "status": "status", "priority": "priority"}
+    return t.each(lambda half: g.star(g.instances(half, "Order", "ord"), half, "ord", wanted))
+
+
+@query(
+    "Q03_star_many_values",
+    """select 'order/' || a.l_orderkey as ord, 'part/' || a.l_partkey as part, 'supplier/' || b.l_suppkey as supp, c.o_orderstatus as status
+       from lineitem a join lineitem b using (l_orderkey) join orders c on c.o_orderkey = a.l_orderkey""",
+)
+def q3_many(spark, sf):
+    return g.star_once(shop_graph(spark, sf), "ord", {"hasPart": "part", "shippedBy": "supp", "status": "status"})
+
+
+@query(
+    "Q04_path_clustered",
+    f"""select {OF_ORDER} as ord, 'customer/' || c_custkey as cust, 'nation/' || n_nationkey as nation, 'region/' || n_regionkey as region
+        from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
+)
+def q4_clustered(spark, sf):
+    t = clustered(spark, sf, g.TYPE, "placedBy", "inNation", "inRegion")
+    return g.path(g.instances(t, "Order", "ord"), t, "ord", [("placedBy", "cust"), ("inNation", "nation"), ("inRegion", "region")])
+
+
+@query(
+    "Q04_reduced_path",
+    f"""select {OF_ORDER} as ord, 'customer/' || c_custkey as cust, 'nation/' || n_nationkey as nation, 'region/' || r_regionkey as region, r_name as label
+        from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+        where r_name = 'ASIA' and o_orderpriority = '1-URGENT'""",
+)
+def q4_reduced(spark, sf):
+    """A path with a selective end: each hop is cut to what reaches it before rows get wide."""
+    t = shop_graph(spark, sf)
+    hops = [("placedBy", "cust"), ("inNation", "nation"), ("inRegion", "region"), (g.LABEL, "label")]
+    start = g.pattern(t, "priority", "ord", None, obj="1-URGENT")
+    return g.reduced_path(start, t, "ord", hops, {"label": F.col("label") == "ASIA"})
+
+
+@query(
+    "Q06_constant_subject_clustered",
+    "select 'nation/' || c_nationkey as nation, c_mktsegment as segment from customer where c_custkey = 7",
+)
+def q6_clustered(spark, sf):
+    t = clustered(spark, sf, "inNation", "segment")
+    of = lambda p, var: g.pattern(t, p, "cust", var, subject="customer/7")
+    return of("inNation", "nation").join(of("segment", "segment"), ["cust"]).select("nation", "segment")
+
+
+@query(
+    "Q07_all_values_of_a_table",
+    """with h as (select distinct o_custkey as c, o_orderpriority as v from orders),
+       d as (select distinct s_nationkey as n, o_orderpriority as v from supplier join orders on o_orderkey % 1000 = s_suppkey % 1000)
+       select 'nation/' || d.n as nation, 'customer/' || h.c as cust from h join d using (v) group by d.n, h.c
+       having count(*) = (select count(*) from d e where e.n = d.n)""",
+)
+def q7_table(spark, sf):
+    """Customers whose orders have all priorities asked for, by nation: a divisor for each group from a table."""
+    t = shop_graph(spark, sf)
+    has = g.pattern(t, "placedBy", "ord", "cust").join(g.pattern(t, "priority", "ord", "priority"), ["ord"])
+    place = lambda c: F.regexp_extract(c, r"\d+", 0).cast("long") % 1000
+    suppliers = g.of_class(g.pattern(t, "inNation", "supp", "nation"), t, "supp", "Supplier").withColumn("place", place("supp"))
+    asked = g.pattern(t, "priority", "ord", "priority").withColumn("place", place("ord")).join(suppliers, ["place"])
+    return g.divided(has, asked, "cust", "priority", "nation")
+
+
+@query(
+    "Q43_interval_table",
+    """select 'order/' || o_orderkey as ord, 'supplier/' || s_suppkey as interval from orders left join supplier
+       on floor(o_totalprice)::bigint between 1000 * (s_suppkey % 400) and 1000 * (s_suppkey % 400) + 1 + s_suppkey % 3000""",
+)
+def q43_table(spark, sf):
+    """Totals in as many overlapping intervals as there are suppliers, and those in none."""
+    supplier = table(spark, sf, "supplier")
+    low = (1000 * (F.col("s_suppkey") % 400)).cast("long")
+    bounds = supplier.select(iri("supplier", "s_suppkey").alias("interval"), low.alias("low"), (low + 1 + F.col("s_suppkey") % 3000).alias("high"))
+    totals = g.pattern(shop_graph(spark, sf), "total", "ord", "total").select("ord", F.floor(g.as_decimal(F.col("total"))).cast("long").alias("total"))
+    return g.interval_join(totals, "total", bounds, "low", "high", "left").select("ord", "interval")
