@@ -30,7 +30,7 @@ from tessella.llm.ordering import scan
 from tessella.llm.shared import written
 
 LEVELS = 10  # of a block
-CHUNK = 16  # versions go up in chunks of 2**CHUNK leaf positions
+CHUNK = 12  # versions go up in chunks of 2**CHUNK leaf positions
 HELD = 4096  # versions whose nodes a task keeps at once
 
 
