@@ -20,11 +20,13 @@ from tessella.llm.registry import documents
 from tessella.llm.shared import folder
 
 POLICY = "v3"
+BATCH = 1000  # rows of whole texts that go to a task's Python at once
 NAMELESS = 1 << 61  # below the numbers that near_duplicates gives to classes without ids
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy for corpora keeps: short texts stay, as the classifier judges them too."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return quality_rules.keep(docs, POLICY)
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tessella.llm import arrays, quality_rules
+from tessella.llm.shared import beside
 
 PASSAGE = 48
 SAMPLE = 2000
@@ -183,7 +184,8 @@ def scored(docs: DataFrame, model: Model, key: Column) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score ``threshold`` or more, with their columns."""
-    return scored(docs, model, F.struct("*")).filter(F.col("score") >= threshold).select("key.*")
+    rows, (score,) = beside(docs, lambda table: [pa.array(model.scores(*passages(table)))], [StructField("score", DoubleType())])
+    return rows.filter(F.col(score) >= threshold).drop(score)
 
 
 def held_out(parts: int) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessella.llm import arrays
+from tessella.llm.shared import beside
 
 # What counts as a symbol, and the length of a repeated window.
 SYMBOLS = "#*$%&|<>"
@@ -152,9 +153,17 @@ def passes(policy: str = POLICY, bits: str = "failed") -> Column:
 
 
 def keep(docs: DataFrame, policy: str = POLICY) -> DataFrame:
-    """The documents that a policy version keeps, with their columns."""
-    rows = measured_rows(docs, F.struct("*")).select("key", failed_bits().alias("failed"))
-    return rows.filter(passes(policy)).select("key.*")
+    """The documents that a policy version keeps, with their columns; ``text`` is a string."""
+    fields = [StructField(m, LongType()) for m in MEASURES]
+    rows, names = beside(docs, lambda table: [pa.array(found, pa.int64()) for found in _in_order(measured(table))], fields)
+    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    row, told = F.struct(*quoted), F.struct(*(F.col(n).alias(m) for n, m in zip(names, MEASURES)))
+    rows = rows.select(row.alias("row"), told.alias("told")).select("row", "told.*").select("row", failed_bits().alias("failed"))
+    return rows.filter(passes(policy)).select("row.*")
+
+
+def _in_order(found: dict) -> list:
+    return [found[m] for m in MEASURES]
 
 
 def ablation(rows: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
