@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 from typing import NamedTuple
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions.text import has_text, strip
 from tessella.operators.prompts import build_prompts
+from tessella.session import written
 from tessella.sources import writers
 
 REQUIRED = ("family", "question", "gold_query")
@@ -78,35 +80,49 @@ def shuffle_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
-def _cell_counts(hashes: DataFrame, prefix: str) -> list[tuple[str, int]]:
-    """Rows per next ``STEP_DIGITS`` hex digits below ``prefix``, in order.
+@dataclass
+class Search:
+    """A 1-based rank, and the cell of the ordered hashes known to hold it: its prefix, the rows before it and in it."""
 
-    At most ``16 ** STEP_DIGITS`` counts come back, whatever the table size.
+    rank: int
+    prefix: str = ""
+    before: int = 0
+    size: int = 0
+
+    def ends(self) -> bool:
+        """Whether the rank is the cell's last row."""
+        return self.before + self.size == self.rank
+
+
+def _cell_counts(hashes: DataFrame, prefixes: list[str]) -> dict[str, list[tuple[str, int]]]:
+    """Rows per next ``STEP_DIGITS`` hex digits below each of the prefixes, which are of one length, in order.
+
+    At most ``16 ** STEP_DIGITS`` counts for each prefix come back, whatever the table size.
     """
-    inside = hashes.filter(F.startswith(F.col("h"), F.lit(prefix))) if prefix else hashes
-    cells = inside.groupBy(F.substring("h", len(prefix) + 1, STEP_DIGITS).alias("cell")).agg(F.count("*").alias("n"))
-    return sorted((r["cell"], r["n"]) for r in cells.collect())
+    length = len(prefixes[0])
+    head, cell = F.substring("h", 1, length).alias("head"), F.substring("h", length + 1, STEP_DIGITS).alias("cell")
+    inside = hashes.filter(F.substring("h", 1, length).isin(prefixes)) if length else hashes
+    found: dict[str, list[tuple[str, int]]] = {prefix: [] for prefix in prefixes}
+    for r in inside.groupBy(head, cell).agg(F.count("*").alias("n")).collect():
+        found[r["head"]].append((r["cell"], r["n"]))
+    return {prefix: sorted(cells) for prefix, cells in found.items()}
 
 
-def _search(hashes: DataFrame, rank: int, top: list[tuple[str, int]] | None = None) -> tuple[str, int, int]:
-    """Find the cell of column ``h`` in which the 1-based ``rank`` lies.
+def _search(hashes: DataFrame, searches: list[Search], digits: int, top: list[tuple[str, int]] | None = None) -> None:
+    """Narrow all searches down to cells of ``digits`` hex digits of column ``h``, or until they end.
 
-    Returns its prefix, the rows sorting before it and the rows in it.  Each
-    step counts rows per next few hex digits and looks on inside one cell, until
-    the rank is the last row of the cell or the digits are used up.  Nothing is
+    One aggregate a step serves every search that goes on.  Each looks on inside one cell of its own; nothing is
     sorted or moved but the counts.
     """
-    prefix, before, size = "", 0, 0
-    while len(prefix) < KEY_DIGITS:
-        cells = top if top is not None and not prefix else _cell_counts(hashes, prefix)
-        for cell, n in cells:
-            if before + n >= rank:
-                prefix, size = prefix + cell, n
-                break
-            before += n
-        if before + size == rank:
-            break
-    return prefix, before, size
+    while going := [s for s in searches if len(s.prefix) < digits and not (s.size and s.ends())]:
+        prefixes = sorted({s.prefix for s in going})
+        cells = {"": top} if top is not None and prefixes == [""] else _cell_counts(hashes, prefixes)
+        for s in going:
+            for cell, n in cells[s.prefix]:
+                if s.before + n >= s.rank:
+                    s.prefix, s.size = s.prefix + cell, n
+                    break
+                s.before += n
 
 
 def _content_hash(columns: list[str]) -> Column:
@@ -132,15 +148,25 @@ class Cut(NamedTuple):
         return (F.col("__h") < self.key) | ((F.col("__h") == self.key) & tied)
 
 
-def _find_cut(keyed: DataFrame, columns: list[str], rank: int, top: list[tuple[str, int]]) -> Cut:
-    h, before, n = _search(keyed.select(F.col("__h").alias("h")), rank, top)
-    if before + n == rank:
-        return Cut(h)
-    # the cut falls inside one key: go on by content, read for these rows only
-    same = keyed.filter(F.col("__h") == h).select(_content_hash(columns).alias("h"))
-    c, c_before, c_n = _search(same, rank - before)
-    taken = rank - before - c_before
-    return Cut(h, c) if taken == c_n else Cut(h, c, taken)
+def _find_cuts(keyed: DataFrame, keys: DataFrame, columns: list[str], ranks: list[int], top: list[tuple[str, int]]) -> list[Cut | None]:
+    """A cut for each rank, none for 0: all ranks are looked for at once, and those within one key then go on by content."""
+    searches = [Search(rank) for rank in ranks if rank]
+    _search(keys, searches, KEY_DIGITS, top)
+    within = {id(s): Search(s.rank, s.prefix, s.before) for s in searches if not s.ends()}
+    if within:
+        tied = keyed.filter(F.col("__h").isin(sorted({s.prefix for s in within.values()})))
+        contents = written(tied.select(F.concat("__h", _content_hash(columns)).alias("h")), "split-contents")
+        _search(contents, list(within.values()), 2 * KEY_DIGITS)
+
+    def cut(s: Search) -> Cut:
+        if id(s) not in within:
+            return Cut(s.prefix)
+        c = within[id(s)]
+        key, content = c.prefix[:KEY_DIGITS], c.prefix[KEY_DIGITS:]
+        return Cut(key, content) if c.ends() else Cut(key, content, c.rank - c.before)
+
+    cuts = iter([cut(s) for s in searches])
+    return [next(cuts) if rank else None for rank in ranks]
 
 
 def _number_copies(keyed: DataFrame, columns: list[str], groups: list[tuple[str, str]]) -> DataFrame:
@@ -167,10 +193,10 @@ def split_examples(
     """Add ``split`` with exactly ``int(n*train)`` and ``int(n*dev)`` rows.
 
     Rows are ordered by the seeded hash of their key and cut at two ranks.  The
-    hash values at the cuts are found by counting, after which every row decides
-    its own split in a map over the input: nothing is sorted or shuffled.  Rows
-    sharing a key are told apart by their content; if a cut falls among
-    identical rows, those alone are counted and dealt out.
+    hashes are written once, and the values at both cuts are found by the same counts over them, a few
+    digits a time; then every row decides its own split in a map over the input:
+    nothing is sorted or shuffled.  Rows sharing a key are told apart by their
+    content; if a cut falls among identical rows, those alone are counted and dealt out.
 
     The result depends only on row contents, so a recomputed task agrees with
     the counts as long as the input plan is deterministic.
@@ -178,11 +204,12 @@ def split_examples(
     check_ratios(*ratios)
     columns = examples.columns
     keyed = examples.withColumn("__h", shuffle_key(F.col(key), seed))
-    top = _cell_counts(keyed.select(F.col("__h").alias("h")), "")
+    keys = written(keyed.select(F.col("__h").alias("h")), "split-keys")
+    top = _cell_counts(keys, [""])[""]
     total = sum(n for _, n in top)
     train_end = int(total * ratios[0])
     dev_end = train_end + int(total * ratios[1])
-    cuts = [_find_cut(keyed, columns, rank, top) if rank else None for rank in (train_end, dev_end)]
+    cuts = _find_cuts(keyed, keys, columns, [train_end, dev_end], top)
 
     shared = sorted({(c.key, c.content) for c in cuts if c and c.copies is not None})
     rows = _number_copies(keyed, columns, shared) if shared else keyed

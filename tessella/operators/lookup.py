@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessella.session import written
+
 SALTS = 32
 
 
@@ -29,13 +31,13 @@ def salted_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left
     """Equi join that splits every key of ``df`` into ``salts`` parts.
 
     Rows are dealt to the salts in turn within their task, so equal rows part
-    and columns of any type may be there.  A recomputed task may deal rows anew;
-    the salt decides only where a row meets its partner, so the result is the
-    same.  Rows of ``table`` are repeated once per salt.
+    and columns of any type may be there.  They are written with their salts to the scratch
+    folder first: a map task that is lost and run again reads the salts that
+    it had, so no row meets its partner twice or not at all.  Rows of ``table`` are repeated once per salt.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"A salted join cannot be {how}.")
     salt = f"salt_{uuid.uuid4().hex}"
-    spread = df.withColumn(salt, F.pmod(_row_number(), F.lit(salts)).cast("int"))
+    spread = written(df.withColumn(salt, F.pmod(_row_number(), F.lit(salts)).cast("int")), "salted")
     copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, salt], how).drop(salt)

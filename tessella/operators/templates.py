@@ -11,6 +11,7 @@ from pyspark.sql.types import DataType
 
 from tessella.operators import prompt_texts as texts
 from tessella.operators.lookup import lookup_join
+from tessella.operators.ordered import LINES, ranked, segments
 
 
 def cardinality(max_count: Column) -> Column:
@@ -171,6 +172,26 @@ def sections(rows: DataFrame) -> DataFrame:
     )
 
 
+def section_segments(rows: DataFrame, size: int = LINES) -> DataFrame:
+    """P4, P5 for mappings of any length: ``mapping, section, segment, offset, text``.
+
+    ``section`` is ``schema`` or ``hierarchy``.  Rows are ranked in their mapping across tasks and every segment of
+    ``size`` rows is rendered by its own; a section's heading goes with its first segment and its end with its
+    last, so that the segments in order are the section.
+    """
+    ranked_rows = ranked(rows.withColumn("__order", F.struct("pos")), ["mapping"], ["__order"])
+    sizes = ranked_rows.groupBy("mapping").agg(F.max("rank").alias("__last"))
+    placed = ranked_rows.join(sizes, "mapping")
+    first, last = F.col("rank") == 0, F.col("rank") == F.col("__last")
+    gap = F.when((F.col("level") == 1) & ~first, "\n").otherwise("")
+    schema = F.concat(F.when(first, texts.SCHEMA_HEAD).otherwise(""), schema_line())
+    end = F.when(last, F.lit("\n" + texts.OUTLINE_FOOT)).otherwise("")
+    outline = F.concat(F.when(first, texts.OUTLINE_HEAD).otherwise(""), gap, hierarchy_line(), end)
+    both = F.array(F.struct(F.lit("schema").alias("section"), schema.alias("line")), F.struct(F.lit("hierarchy").alias("section"), outline.alias("line")))
+    lines = placed.select("mapping", "rank", F.explode(both).alias("s")).select("mapping", "rank", "s.section", "s.line")
+    return segments(lines, ["mapping", "section"], "rank", "line", size)
+
+
 def schema_section(rows: DataFrame) -> DataFrame:
     """P4."""
     return sections(rows).select("mapping", "schema_section")

@@ -595,6 +595,19 @@ def p5(spark, sf):
     return templates.hierarchy_section(templates.template_mapping(line_templates(spark, sf)))
 
 
+@query(
+    "P04_P05_section_segments",
+    f"""with {rendered(PROPERTIES_SQL)}, told as (select mapping, place - 1 as r, 'schema' as section, case when place = 1 then {sql_text(texts.SCHEMA_HEAD)} else '' end || row_line as line from drawn
+      union all select mapping, place - 1, 'hierarchy', case when place = 1 then {sql_text(texts.OUTLINE_HEAD)} else '' end || out_line ||
+        case when place = max(place) over (partition by mapping) then chr(10) || {sql_text(texts.OUTLINE_FOOT)} else '' end from drawn),
+    made as (select mapping, section, (r // 8)::bigint as segment, string_agg(line, '' order by r) as text from told group by mapping, section, r // 8)
+    select mapping, section, segment, coalesce(sum(length(text)) over (partition by mapping, section order by segment rows between unbounded preceding and 1 preceding), 0)::bigint as offset, text from made""",
+)
+def p4_segments(spark, sf):
+    """Both sections in segments of eight rows."""
+    return templates.section_segments(templates.template_mapping(line_templates(spark, sf)), 8)
+
+
 GUIDANCE_SQL = "guidance as (select * from (values " + ", ".join("(" + ", ".join(sql_text(v) for v in row) + ")" for row in texts.GUIDANCE) + ") as g(template_id, glabel, a, b, c, d, e))"
 
 
@@ -761,20 +774,25 @@ def e5(spark, sf):
 
 
 def exportable(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of the families that have an enabled profile with a prompt, as entries."""
-    number = F.regexp_extract("source_dataset", r"(\d+)$", 1).cast("int")
-    rows = canonical_documents(spark, sf).withColumn("family", F.col("source_dataset"))
-    return rows.filter((number % 5 < 3) & ~number.isin(10, 11)).withColumn("pos", F.col("source_id"))
+    """All documents as entries; a source is a family."""
+    return canonical_documents(spark, sf).withColumn("family", F.col("source_dataset")).withColumn("pos", F.col("source_id"))
+
+
+def every_profile(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A profile with a prompt for each family."""
+    sources = table(spark, sf, "documents").select(F.col("source").alias("family")).distinct()
+    families = sources.select("family", F.concat(F.lit("p-"), "family").alias("profile"))
+    return families, families.select("profile", "family", F.col("family").alias("output_base_name"), F.lit(True).alias("enabled"))
 
 
 def exported(spark: SparkSession, sf: str, export_format: str, split: bool) -> tuple[DataFrame, str]:
-    families, profiles = family_profiles(spark, sf)
+    families, profiles = every_profile(spark, sf)
     found, out = prompts.prompt_table(profiles, families, versions(spark, sf)), scratch_dir(spark, "export")
     return export.export_dataset(exportable(spark, sf), found, out, scratch_dir(spark, "examples"), export_format, split), out
 
 
 EXPORT_SQL = f"""{VERSIONS_SQL}, chosen as (select doc_id, 'doc-' || doc_id as uid, {injected('prompt_text', 'text')} as prompt, 'ASK {{ ?x ?y "' || lang || '" }}' as completion
-    from documents join latest on base = source where {NUMBER} % 5 < 3 and {NUMBER} not in (10, 11)),
+    from documents join latest on base = source),
 numbered as (select *, row_number() over (order by md5('42:' || uid)) as r, count(*) over () as n from chosen),
 exported as (select *, case when r <= floor(n * 0.8::double) then 'train' when r <= floor(n * 0.8::double) + floor(n * 0.1::double) then 'dev' else 'test' end as split from numbered)"""
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessella.operators import graph as g
+from tessella.operators import graph as g, ordered
 from tessella.plans.registry import query, table
 from tessella.plans.shop import iri, shop_graph
 from tessella.sources.clustered import SubjectStore, write_clustered
@@ -657,3 +657,30 @@ def q43_table(spark, sf):
     bounds = supplier.select(iri("supplier", "s_suppkey").alias("interval"), low.alias("low"), (low + 1 + F.col("s_suppkey") % 3000).alias("high"))
     totals = g.pattern(shop_graph(spark, sf), "total", "ord", "total").select("ord", F.floor(g.as_decimal(F.col("total"))).cast("long").alias("total"))
     return g.interval_join(totals, "total", bounds, "low", "high", "left").select("ord", "interval")
+
+
+# ---------------------------------------------------------- groups in long form
+
+PARTS_OF_SQL = "select distinct c_mktsegment as segment, 'order/' || o_orderkey as ord from orders join customer on o_custkey = c_custkey"
+
+
+def orders_by_segment(t: g.Triples) -> DataFrame:
+    return g.pattern(t, "placedBy", "ord", "cust").join(g.pattern(t, "segment", "cust", "segment"), ["cust"])
+
+
+@query("Q33_group_values", f"select segment, ord, row_number() over (partition by segment order by ord) - 1 as rank from ({PARTS_OF_SQL})")
+def q33_values(spark, sf):
+    """A few large groups, each spread over many tasks."""
+    return ordered.group_values(orders_by_segment(shop_graph(spark, sf)), "segment", "ord")
+
+
+@query(
+    "Q33_group_segments",
+    f"""with v as (select segment, ord, row_number() over (partition by segment order by ord) - 1 as r from ({PARTS_OF_SQL})),
+    made as (select segment, r // 512 as n, string_agg(case when r = 0 then '' else ', ' end || ord, '' order by r) as text from v group by segment, r // 512)
+    select segment, n as part, coalesce(sum(length(text)) over (partition by segment order by n rows between unbounded preceding and 1 preceding), 0)::bigint as offset, text from made""",
+)
+def q33_segments(spark, sf):
+    rows = orders_by_segment(shop_graph(spark, sf)).withColumnRenamed("segment", "group")
+    found = ordered.joined_values(rows, "group", "ord", size=512)
+    return found.select(F.col("group").alias("segment"), F.col("segment").alias("part"), "offset", "text")

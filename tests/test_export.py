@@ -111,3 +111,38 @@ def test_a_subject_with_two_values_stops_the_wide_star(spark):
     t = melt(rows, F.col("s"), literals={"p": F.col("o")})
     with pytest.raises(Exception, match="several values of p for s"):
         g.wide(t, "x", {"p": "v"}).collect()
+
+
+def brute_split(hashes, contents, ratios):
+    """Splits in order of key hash, content hash and nothing else."""
+    order = sorted(range(len(hashes)), key=lambda i: (hashes[i], contents[i]))
+    a = int(len(order) * ratios[0])
+    b = a + int(len(order) * ratios[1])
+    return Counter((hashes[i], contents[i], "train" if k < a else "dev" if k < b else "test") for k, i in enumerate(order))
+
+
+@pytest.mark.parametrize("hot, same", [(0, 1), (9, 1), (9, 4), (5, 400)])
+def test_both_cuts_match_brute_force(spark, hot, same):
+    df = spark.range(600).select(
+        F.when(F.col("id") % 10 < hot, "hot").otherwise((F.col("id") % 97).cast("string")).alias("uid"), F.floor(F.col("id") / same).alias("x")
+    )
+    ratios = (0.3, 0.45, 0.25)
+    rows = export.split_examples(df, ratios=ratios).withColumn("h", export.shuffle_key(F.col("uid"), 42)).withColumn("c", export._content_hash(["uid", "x"])).collect()
+    assert Counter((r.h, r.c, r.split) for r in rows) == brute_split([r.h for r in rows], [r.c for r in rows], ratios)
+
+
+def test_all_cuts_share_their_counts(spark, monkeypatch):
+    seen = []
+    plain = export._cell_counts
+    monkeypatch.setattr(export, "_cell_counts", lambda hashes, prefixes: seen.append(prefixes) or plain(hashes, prefixes))
+    keys = spark.range(3000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("h")).cache()
+    order = sorted(r.h for r in keys.collect())
+    ranks = [1, 2, 700, 701, 1500, 2999, 3000]
+    searches = [export.Search(rank) for rank in ranks]
+    export._search(keys, searches, export.KEY_DIGITS)
+    assert len(seen) <= export.KEY_DIGITS // export.STEP_DIGITS and seen[0] == [""]
+    assert all(order[s.rank - 1].startswith(s.prefix) and s.ends() for s in searches)
+    seen.clear()
+    df = spark.range(3000).select(F.lit("one").alias("uid"), "id")
+    assert split_counts(df) == sizes(3000)
+    assert len(seen) <= 2 * export.KEY_DIGITS // export.STEP_DIGITS
