@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -237,6 +239,15 @@ def export_metadata(
     return examples.agg(F.count("*").alias("total_examples"), *parts).withColumns(settings)
 
 
+def training_metadata(examples: DataFrame, model_id: str, dataset_dir: str, config: Mapping[str, object]) -> DataFrame:
+    """E5, the trainer's side: one row with the model, the folder, how many examples it trains and evaluates on, and its settings."""
+    n = lambda name: F.count_if(F.col("split") == name).alias(f"{name}_examples")
+    told = [F.lit(x) for k, v in config.items() for x in (k, v if isinstance(v, str) else json.dumps(v))]
+    settings = F.create_map(*told) if told else F.create_map().cast("map<string,string>")
+    counts = examples.agg(n("train"), n("dev"))
+    return counts.select(F.lit(model_id).alias("model_id"), F.lit(dataset_dir).alias("dataset_dir"), "train_examples", "dev_examples", settings.alias("training_config"))
+
+
 def export_dataset(
     entries: DataFrame,
     table: DataFrame,

@@ -41,3 +41,25 @@ def salted_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left
     spread = written(df.withColumn(salt, F.pmod(_row_number(), F.lit(salts)).cast("int")), "salted")
     copies = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, salt], how).drop(salt)
+
+
+MOST_ROWS = 100_000  # rows of a key that stay together
+MOST_KEYS = 4096  # keys that are split at most
+
+
+def split_join(df: DataFrame, table: DataFrame, on: list[str], popularity: DataFrame, by: list[str], how: str = "inner", most: int = MOST_ROWS) -> DataFrame:
+    """Join ``df`` on ``on`` with its popular keys split into blocks of about ``most`` rows.
+
+    ``popularity`` counts the rows ``n`` of ``df`` for each key.  Keys with more than ``most``
+    rows and more than one in MOST_KEYS of all are therefore at most MOST_KEYS, and
+    are broadcast; their rows are dealt to blocks by a hash of the columns ``by``, so a
+    recomputed task deals them alike, and the table's rows are repeated once per block.
+    """
+    block, blocks = f"block_{uuid.uuid4().hex}", f"blocks_{uuid.uuid4().hex}"
+    total = popularity.agg(F.sum("n")).scalar()
+    popular = popularity.filter((F.col("n") > most) & (F.col("n") * MOST_KEYS > total))
+    popular = F.broadcast(popular.select(*on, F.ceil(F.col("n") / most).cast("long").alias(blocks)))
+    count = F.coalesce(F.col(blocks), F.lit(1).cast("long"))
+    dealt = df.join(popular, on, "left").withColumn(block, F.pmod(F.xxhash64(*by), count)).drop(blocks)
+    copies = table.join(popular, on, "left").withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).drop(blocks)
+    return dealt.join(copies, [*on, block], how).drop(block)

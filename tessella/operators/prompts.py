@@ -36,17 +36,33 @@ def inject_question(prompt: Column, question: Column) -> Column:
     return filled.otherwise(F.concat(rstrip(prompt), F.format_string(INPUT_SECTION, asked)))
 
 
-def prompt_table(profiles: DataFrame, family_to_profile: DataFrame, prompts: DataFrame) -> DataFrame:
-    """The latest prompt text per family, with the reason when there is none."""
+def prompt_table(profiles: DataFrame, family_to_profile: DataFrame, prompts: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """The latest prompt text per family, with the reason when there is none.
+
+    A profile that names a ``latest_rendered_path`` gets the text of that path in
+    ``rendered`` (``path, prompt_text``), whatever its base name; any other the
+    latest version of its base name in ``prompts``.
+    """
+    if "latest_rendered_path" not in profiles.columns:
+        profiles = profiles.withColumn("latest_rendered_path", F.lit(None).cast("string"))
+    direct = has_text(F.col("latest_rendered_path"))
+    profiles = profiles.withColumn("rendered_path", F.when(direct, F.col("latest_rendered_path")))
     known = family_to_profile.join(profiles.drop("family").withColumn("known", F.lit(True)), "profile", "left")
-    latest = latest_prompts(prompts).select(F.col("base").alias("output_base_name"), "prompt_text")
-    return known.join(latest, "output_base_name", "left").select(
+    latest = latest_prompts(prompts).select(F.col("base").alias("output_base_name"), F.col("prompt_text").alias("of_base"))
+    found = known.join(latest, "output_base_name", "left")
+    if rendered is None:
+        found = found.withColumn("of_path", F.lit(None).cast("string"))
+    else:
+        one = rendered.groupBy(F.col("path").alias("rendered_path")).agg(F.min("prompt_text").alias("of_path"))
+        found = found.join(one, "rendered_path", "left")
+    text = F.when(F.col("rendered_path").isNotNull(), F.col("of_path")).otherwise(F.col("of_base"))
+    return found.withColumn("prompt_text", text).select(
         "family",
         "profile",
         F.col("prompt_text").alias("template_text"),
         F.when(F.col("known").isNull(), F.format_string("Profile '%s' does not exist in prompt_profiles.json.", "profile"))
         .when(~F.coalesce("enabled", F.lit(True)), F.format_string("Profile '%s' is disabled.", "profile"))
-        .when(~has_text(F.col("output_base_name")), F.format_string("Profile '%s' must define a non-empty 'output_base_name'", "profile"))
+        .when(F.col("rendered_path").isNull() & ~has_text(F.col("output_base_name")), F.format_string("Profile '%s' must define a non-empty 'output_base_name'", "profile"))
         .when(~has_text(F.col("prompt_text")), F.format_string("Rendered prompt file not found for family '%s' (profile '%s')", "family", "profile"))
         .alias("profile_error"),
     )

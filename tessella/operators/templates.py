@@ -7,11 +7,11 @@ A run renders any number of mappings at once.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DataType
 
 from tessella.operators import prompt_texts as texts
-from tessella.operators.lookup import lookup_join
+from tessella.operators.lookup import MOST_ROWS, lookup_join, split_join
 from tessella.operators.ordered import LINES, ranked, segments
+from tessella.session import written
 
 
 def cardinality(max_count: Column) -> Column:
@@ -29,36 +29,47 @@ def shown_description(description: Column, label: Column, path_label: Column) ->
     return F.coalesce(F.nullif(description, F.lit("")), F.nullif(label, F.lit("")), path_label)
 
 
+# What a mapping row shows of its property, and of the template that its class stands for.
+SHOWN = ("label", "cardinality", "description", "predicate_label", "class_label", "class_id", "target_id", "target_label", "target")
+
+
 def _own_properties(templates: DataFrame) -> DataFrame:
-    """Add ``own``: the properties of each template with a path, one per path.
+    """One row ``mapping, tpos, path, place`` per template and path, with what is shown.
 
-    The later property wins, in the place where the path first appeared.  The
-    arrays are columns of their own so that a lambda reads them instead of
-    building them again for every property.
+    The later property wins, in the place where the path first appeared.
     """
-    rows = templates.withColumn("__props", F.filter("properties", lambda p: F.length(p["path"]["id"]) > 0))
-    rows = rows.withColumn("__paths", F.transform("__props", lambda p: p["path"]["id"]))
-    rows = rows.withColumn("__back", F.reverse("__paths"))
-
-    def shown(p: Column, i: Column) -> Column:
-        path, cls = p["path"], p["class"]
-        return F.struct(
-            path["id"].alias("path"),
-            (F.array_position("__paths", path["id"]) - 1).cast("int").alias("place"),
-            (F.array_position("__back", path["id"]) == F.size("__paths") - i).alias("last"),
-            shown_label(cls["label"], path["label"]).alias("label"),
-            cardinality(p["max_count"]).alias("cardinality"),
-            shown_description(p["description"], p["label"], path["label"]).alias("description"),
-            path["label"].alias("predicate_label"),
-            cls["label"].alias("class_label"),
-            F.nullif(cls["id"], F.lit("")).alias("class_id"),
-        )
-
-    own = F.filter(F.transform("__props", shown), lambda v: v["last"])
-    return rows.withColumn("own", own).drop("__props", "__paths", "__back")
-
-
-def template_mapping(templates: DataFrame) -> DataFrame:
+    props = F.filter("properties", lambda p: F.length(p["path"]["id"]) > 0)
+    rows = templates.select("mapping", "tpos", F.posexplode_outer(props).alias("place", "p")).filter("p is not null")
+    path, cls = F.col("p.path"), F.col("p.class")
+    shown = F.struct(
+        shown_label(cls["label"], path["label"]).alias("label"),
+        cardinality(F.col("p.max_count")).alias("cardinality"),
+        shown_description(F.col("p.description"), F.col("p.label"), path["label"]).alias("description"),
+        path["label"].alias("predicate_label"),
+        cls["label"].alias("class_label"),
+        F.nullif(cls["id"], F.lit("")).alias("class_id"),
+    )
+    own = rows.groupBy("mapping", "tpos", path["id"].alias("path")).agg(F.max_by(shown, "place").alias("v"), F.min("place").alias("place"))
+    return own.select("mapping", "tpos", "path", "place", "v.*")
+
+
+def _linked(templates: DataFrame, most: int) -> DataFrame:
+    """Properties with ``target``, the place of the last template of their class, and its id and label."""
+    own = written(_own_properties(templates), "properties")
+    targets = (
+        templates.filter(F.length("target_class.id") > 0)
+        .groupBy("mapping", F.col("target_class.id").alias("class_id"))
+        .agg(F.max_by(F.struct(F.col("id").alias("target_id"), F.col("label").alias("target_label"), F.col("tpos").alias("target")), "tpos").alias("t"))
+        .select("mapping", "class_id", "t.*")
+    )
+    classed = own.filter("class_id is not null")
+    popularity = classed.groupBy("mapping", "class_id").agg(F.count("*").alias("n"))
+    found = split_join(classed, targets, ["mapping", "class_id"], popularity, ["tpos", "path"], "left", most)
+    none = own.filter("class_id is null").withColumns({c: F.lit(None).cast(t) for c, t in targets.dtypes if c not in ("mapping", "class_id")})
+    return written(found.unionByName(none), "linked")
+
+
+def template_mapping(templates: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """Property, subtemplate and nested rows of every mapping.
 
     ``templates`` has ``mapping, tpos, id, label, target_class, properties``,
@@ -67,71 +78,49 @@ def template_mapping(templates: DataFrame) -> DataFrame:
     later template wins for a class and the later property for a path, while a
     path keeps the place where it first appeared.
 
-    Both rules are aggregates keyed by mapping and path or class, so a mapping
-    holding most rows still spreads.  One pipeline makes all three levels: each
-    top property travels with its children to the lookup of their templates.
-    Arrays are opened by ``explode_outer``: a plain explode would push a test of
-    the array's size below the projection that builds it, building it again.
+    Each property is linked to its class's template once.  Levels then are joins
+    of rows: those of one level are known by their paths and the template they
+    lead to, and meet that template's properties.  How many rows lead to each
+    template is counted before, so a popular one's rows are split over many tasks.
     """
-    own = _own_properties(templates)
-    by_class = (
-        own.filter(F.length("target_class.id") > 0)
-        .groupBy("mapping", F.col("target_class.id").alias("class_id"))
-        .agg(F.max_by(F.struct("id", "label", F.col("own").alias("below")), "tpos").alias("target"))
-    )
-
-    def with_target(rows: DataFrame, v: Column, *path: str) -> DataFrame:
-        # a row without a class gets a key of its own that matches nothing: null
-        # keys would all meet in one task
-        key = F.coalesce(v["class_id"], F.concat_ws("\x00", F.lit(""), *path))
-        return rows.withColumn("class_id", key).join(by_class, ["mapping", "class_id"], "left").drop("class_id")
-
-    top = (
-        own.select("mapping", "tpos", F.explode_outer("own").alias("v"))
-        .filter("v is not null")
-        .groupBy("mapping", F.col("v.path").alias("path1"))
-        .agg(F.max_by("v", "tpos").alias("v"), F.min(F.struct(F.col("tpos").alias("t"), F.col("v.place").alias("p1"))).alias("at"))
+    linked = _linked(templates, most)
+    top = linked.groupBy("mapping", F.col("path").alias("path1")).agg(
+        F.max_by(F.struct(*SHOWN), "tpos").alias("v"), F.min(F.struct(F.col("tpos").alias("t"), F.col("place").alias("p1"))).alias("at")
     )
-
-    def row(level: int, v: Column, target: Column, path2: Column, path3: Column, p2: Column, p3: Column) -> Column:
-        found = F.lit(False) if level == 3 else target.isNotNull()
+    top = written(top.select("mapping", "path1", "at.t", "at.p1", "v.*"), "top-properties")
+    below = linked.select("mapping", F.col("tpos").alias("target"), F.col("path").alias("path_"), F.col("place").alias("place_"), *(F.col(c).alias(f"{c}_") for c in SHOWN))
+
+    def children(rows: DataFrame, popularity: DataFrame, path: str, place: str) -> DataFrame:
+        """The properties of the templates that ``rows`` lead to."""
+        ids = rows.filter("target is not null").drop(*(c for c in SHOWN if c != "target"))
+        found = split_join(ids, below, ["mapping", "target"], popularity, [c for c in ids.columns if c.startswith("path")], "inner", most)
+        named = {"path_": path, "place_": place} | {f"{c}_": c for c in SHOWN}
+        return found.drop("target").withColumnsRenamed(named)
+
+    first = top.filter("target is not null").groupBy("mapping", "target").agg(F.count("*").alias("n"))
+    step = below.filter("target_ is not null").groupBy("mapping", "target", "target_").agg(F.count("*").alias("k"))
+    second = first.join(step, ["mapping", "target"]).groupBy("mapping", F.col("target_").alias("target")).agg(F.sum(F.col("n") * F.col("k")).alias("n"))
+    subs = children(top, first, "path2", "p2")
+    nested = children(subs, second, "path3", "p3")
+
+    def rows(df: DataFrame, level: int) -> DataFrame:
+        found = F.col("target").isNotNull() if level < 3 else F.lit(False)
+        at = {"t": F.col("t"), "p1": F.col("p1"), "p2": F.col("p2") if level > 1 else F.lit(-1), "p3": F.col("p3") if level > 2 else F.lit(-1)}
         none = F.lit(None).cast("string")
-        return F.struct(
+        return df.select(
+            "mapping",
             F.lit(level).alias("level"),
-            F.col("path1"),
-            path2.alias("path2"),
-            path3.alias("path3"),
-            *[v[c].alias(c) for c in ("label", "cardinality", "description", "predicate_label", "class_label")],
-            F.when(found, v["class_id"]).alias("class_id"),
-            (none if level == 3 else target["id"]).alias("subtemplate_id"),
-            (none if level == 3 else target["label"]).alias("subtemplate_label"),
-            F.struct(F.col("at.t").alias("t"), F.col("at.p1").alias("p1"), p2.alias("p2"), p3.alias("p3")).alias("pos"),
-        )
-
-    none, zero = F.lit(None).cast("string"), F.lit(-1)
-    # the first entry stands for the top property itself, the others for its children
-    heads = with_target(top, F.col("v"), "path1").select(
-        "mapping",
-        "path1",
-        "at",
-        row(1, F.col("v"), F.col("target"), none, none, zero, zero).alias("head"),
-        F.explode_outer(F.concat(F.array(F.lit(None).cast(_child_type(own))), F.coalesce("target.below", F.array()))).alias("child"),
-    )
-    child = F.col("child")
-    found = with_target(heads, child, "path1", "child.path")
-    second = row(2, child, F.col("target"), child["path"], none, child["place"], zero)
-    nested = F.transform(
-        F.coalesce("target.below", F.array()),
-        lambda n: row(3, n, F.col("target"), child["path"], n["path"], child["place"], n["place"]),
-    )
-    out = found.select(
-        "mapping", F.explode_outer(F.when(child.isNull(), F.array("head")).otherwise(F.concat(F.array(second), nested))).alias("r")
-    )
-    return out.select("mapping", "r.*")
-
+            "path1",
+            (F.col("path2") if level > 1 else none).alias("path2"),
+            (F.col("path3") if level > 2 else none).alias("path3"),
+            "label", "cardinality", "description", "predicate_label", "class_label",
+            F.when(found, F.col("class_id")).alias("class_id"),
+            F.when(found, F.col("target_id")).alias("subtemplate_id"),
+            F.when(found, F.col("target_label")).alias("subtemplate_label"),
+            F.struct(*(c.alias(n) for n, c in at.items())).alias("pos"),
+        )
 
-def _child_type(own: DataFrame) -> DataType:
-    return own.schema["own"].dataType.elementType
+    return rows(top, 1).unionByName(rows(subs, 2)).unionByName(rows(nested, 3))
 
 
 def schema_line() -> Column:
@@ -233,7 +222,7 @@ def name_version(name: Column) -> Column:
     """Struct of base and version parsed from ``<base>_v<N>.json|txt``."""
     return F.struct(
         F.regexp_extract(name, texts.VERSIONED_NAME, 1).alias("base"),
-        F.nullif(F.regexp_extract(name, texts.VERSIONED_NAME, 2), F.lit("")).try_cast("int").alias("version"),
+        F.nullif(F.regexp_extract(name, texts.VERSIONED_NAME, 2), F.lit("")).try_cast("decimal(38,0)").alias("version"),
     )
 
 
@@ -242,7 +231,7 @@ def next_versions(bases: DataFrame, names: DataFrame) -> DataFrame:
     parsed = names.select(name_version(F.col("name")).alias("n")).filter("n.version is not null")
     seen = parsed.groupBy(F.col("n.base").alias("base")).agg(F.max("n.version").alias("top"))
     return bases.select("base").distinct().join(seen, "base", "left").select(
-        "base", (F.coalesce("top", F.lit(0)) + 1).alias("next_version")
+        "base", (F.coalesce("top", F.lit(0)).cast("decimal(38,0)") + 1).cast("decimal(38,0)").alias("next_version")
     )
 
 

@@ -640,12 +640,12 @@ def p6(spark, sf):
 
 @query(
     "P07_next_version",
-    """select p_brand as base, coalesce(max(case when p_size % 4 < 2 and p_partkey % 7 <> 0 then p_size end), 0) + 1 as next_version from part group by p_brand""",
+    """select p_brand as base, (coalesce(max(case when p_size % 4 < 2 then case when p_partkey % 7 = 0 then 99999999999 else p_size end end), 0) + 1)::decimal(38,0) as next_version from part group by p_brand""",
 )
 def p7(spark, sf):
     part = table(spark, sf, "part")
     end = F.when(F.col("p_size") % 4 == 0, ".json").when(F.col("p_size") % 4 == 1, ".txt").otherwise("_latest.md")
-    number = F.when(F.col("p_partkey") % 7 == 0, "99999999999").otherwise(F.col("p_size").cast("string"))  # some fit no integer
+    number = F.when(F.col("p_partkey") % 7 == 0, "99999999999").otherwise(F.col("p_size").cast("string"))  # some need more than 32 bits
     names = part.select(F.concat("p_brand", F.lit("_v"), number, end).alias("name"))
     return templates.next_versions(part.select(F.col("p_brand").alias("base")), names)
 
@@ -814,6 +814,32 @@ def e8_messages(spark, sf):
     return rows.select("uid", "split", F.posexplode("messages").alias("turn", "m")).select("uid", "split", "turn", "m.role", "m.content")
 
 
+@query(
+    "E05_training_metadata",
+    f"""with {SPLIT_SQL} select 'model-a' as model_id, 'exports/one' as dataset_dir, count_if(split = 'train')::bigint as train_examples,
+        count_if(split = 'dev')::bigint as dev_examples, map {{'epochs': '3', 'rate': '0.0002', 'name': 'a'}} as training_config from parts""",
+)
+def e5_training(spark, sf):
+    rows = export.split_examples(canonical_documents(spark, sf))
+    return export.training_metadata(rows, "model-a", "exports/one", {"epochs": 3, "rate": 0.0002, "name": "a"})
+
+
+@query(
+    "S11_rendered_path",
+    f"""with {VERSIONS_SQL}, r as (select source as family, 'made/' || source || '.txt' as path, max(text) as text from documents group by source)
+    select family, case when {NUMBER.replace('source', 'family')} % 2 = 0 then r.text else latest.prompt_text end as template_text, null::varchar as profile_error
+    from r join latest on base = family""",
+)
+def s11_rendered(spark, sf):
+    """Families of even number name their prompt's path, which goes before the base name."""
+    families, profiles = every_profile(spark, sf)
+    even = F.regexp_extract("family", r"(\d+)$", 1).try_cast("int") % 2 == 0
+    path = lambda c: F.concat(F.lit("made/"), c, F.lit(".txt"))
+    profiles = profiles.withColumn("latest_rendered_path", F.when(even, path(F.col("family"))).otherwise(" "))
+    rendered = table(spark, sf, "documents").groupBy(path(F.col("source")).alias("path")).agg(F.max("text").alias("prompt_text"))
+    return prompts.prompt_table(profiles, families, versions(spark, sf), rendered).drop("profile")
+
+
 @query(
     "E08_export_no_split",
     f"with {EXPORT_SQL} select count(*) as total_examples, count(*) as all_examples, 'prompt_completion' as export_format, false as split_enabled, 42 as seed, count(*) as written from exported",

@@ -29,7 +29,7 @@ PROFILES_SCHEMA = (
     "version string, default_query_language string, default_prefix_profile string, "
     "profiles map<string, struct<family: string, template_id: string, template_label: string, target_class_id: string, "
     "contribution_class: string, query_language: string, prefix_profile: string, output_base_name: string, "
-    "prompt_generator_source: string, enabled: boolean>>, family_to_profile map<string, string>"
+    "latest_rendered_path: string, prompt_generator_source: string, enabled: boolean>>, family_to_profile map<string, string>"
 )
 _REF = "struct<id: string, label: string>"
 TEMPLATES_SCHEMA = (

@@ -165,3 +165,18 @@ def test_ties_are_kept(spark):
     counts = spark.createDataFrame([("a", "x", 2), ("a", "y", 2), ("a", "z", 1), ("b", "x", 1)], "k string, v string, n bigint")
     assert {tuple(r) for r in g.most_frequent(counts, within="k").select("k", "v").collect()} == {("a", "x"), ("a", "y"), ("b", "x")}
     assert g.most_frequent(counts).count() == 2
+
+
+def test_a_rendered_path_goes_before_the_base_name(spark):
+    profiles = spark.createDataFrame(
+        [("p", "f", "b", "dir/x.txt", True), ("q", "g", None, "gone.txt", None), ("r", "h", "b", " ", True), ("s", "i", "b", "dir/x.txt", False)],
+        "profile string, family string, output_base_name string, latest_rendered_path string, enabled boolean",
+    )
+    families = profiles.select("family", "profile")
+    versions = spark.createDataFrame([("b", 1, "old"), ("b", 2, "new")], "base string, version int, prompt_text string")
+    rendered = spark.createDataFrame([("dir/x.txt", "of the path")], "path string, prompt_text string")
+    found = {r.family: r.profile_error or r.template_text for r in prompts.prompt_table(profiles, families, versions, rendered).collect()}
+    assert found == {
+        "f": "of the path", "g": "Rendered prompt file not found for family 'g' (profile 'q')", "h": "new", "i": "Profile 's' is disabled.",
+    }
+    assert prompts.prompt_table(profiles.drop("latest_rendered_path"), families, versions).filter("family = 'f'").first().template_text == "new"
