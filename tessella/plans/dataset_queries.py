@@ -248,6 +248,14 @@ def s8(spark, sf):
     return spark.read.schema("key bigint, value string").json(out)
 
 
+@query("S08_json_list_sink", CANONICAL_SQL)
+def s8_lists(spark, sf):
+    """Entries as JSON lists of 64, read back by the scan of lists."""
+    out = scratch_dir(spark, "lists")
+    writers.write_json_lists(canonical_documents(spark, sf), out, ["source_id"], 64)
+    return readers.read_canonical_json(spark, f"{out}/*")[0]
+
+
 SPLIT_SQL = """ranked as (select doc_id, source, row_number() over (order by md5('42:' || 'doc-' || doc_id)) as r, count(*) over () as n from documents),
     parts as (select *, case when r <= floor(n * 0.8::double) then 'train' when r <= floor(n * 0.8::double) + floor(n * 0.1::double) then 'dev' else 'test' end as split from ranked)"""
 

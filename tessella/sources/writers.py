@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessella.operators.ordered import ranked
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One UTF-8 JSON object per line; nulls are written, as in the source rows."""
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
+LIST_ROWS = 10_000
+
+
+def write_json_lists(df: DataFrame, path: str, order: Sequence[str], size: int = LIST_ROWS) -> None:
+    """Files ``part=k/*.json`` of one JSON list each, with ``size`` rows in the order given; nulls are written.
+
+    Rows are ranked across tasks and each list is put together by its own, so neither a
+    task nor a file holds more than ``size`` rows.  A table without rows gives no files.
+    """
+    rows = ranked(df, [], list(order), "__rank")
+    part = F.floor(F.col("__rank") / size).cast("long").alias("part")
+    each = rows.select(part, F.struct("__rank", F.struct(*df.columns).alias("row")).alias("r"))
+    lists = each.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("r.__rank", F.to_json("r.row", {"ignoreNullFields": "false"}).alias("json")))), lambda x: x["json"]).alias("rows"))
+    text = F.concat(F.lit("[\n"), F.array_join("rows", ",\n"), F.lit("\n]"))
+    lists.select("part", text.alias("value")).write.mode("errorifexists").partitionBy("part").text(path)
+
+
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     """One folder per split, written by the tasks that hold the rows."""
     df.write.mode("errorifexists").partitionBy(split).option("ignoreNullFields", False).json(path)

@@ -180,3 +180,12 @@ def test_a_rendered_path_goes_before_the_base_name(spark):
         "f": "of the path", "g": "Rendered prompt file not found for family 'g' (profile 'q')", "h": "new", "i": "Profile 's' is disabled.",
     }
     assert prompts.prompt_table(profiles.drop("latest_rendered_path"), families, versions).filter("family = 'f'").first().template_text == "new"
+
+
+def test_json_lists_hold_the_rows_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 3 else f'"{i}}}é\n') for i in range(23)], "k int, t string").repartition(5)
+    writers.write_json_lists(df, str(tmp_path / "l"), ["k"], 10)
+    files = sorted((tmp_path / "l").glob("part=*/*.txt"))
+    lists = [json.loads(p.read_text(encoding="utf8")) for p in files]
+    assert [len(x) for x in lists] == [10, 10, 3]
+    assert [r for x in lists for r in x] == [{"k": i, "t": None if i % 3 else f'"{i}}}é\n'} for i in range(23)]
