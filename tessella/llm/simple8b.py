@@ -40,37 +40,56 @@ HEAD = struct.Struct("<4sIIIII")  # magic, documents, ids, words, blocks, escape
 MAGIC = b"TS8B"
 
 
+def _choices(ids: np.ndarray) -> np.ndarray:
+    """The selector of a word that starts at each id, one row per block; places behind the ids count as zeros."""
+    blocks = -(-len(ids) // BLOCK)
+    behind = max(n for n, _ in LAYOUT)
+    # Bits of each id as one byte, so that the widest of a run is taken over small numbers.
+    bits = np.zeros(blocks * BLOCK, np.uint8)
+    bits[: len(ids)] = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), ids, side="right")
+    bits = np.concatenate([bits.reshape(blocks, BLOCK), np.zeros((blocks, behind), np.uint8)], 1)
+    widest, run, selector = bits, 1, np.full((blocks, BLOCK), ESCAPE, np.uint8)
+    for s, (count, width) in reversed(list(enumerate(LAYOUT, 1))):
+        while 2 * run <= count:
+            widest = np.maximum(widest[:, : widest.shape[1] - run], widest[:, run:])
+            run *= 2
+        # Two runs that overlap cover the word's ids.
+        late = widest[:, count - run : count - run + BLOCK]
+        np.copyto(selector, s, where=np.maximum(widest[:, :BLOCK], late) <= width)
+    return selector
+
+
 def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words, the first word of every block, and the escaped values."""
+    """The words, the first word of every block, and the escaped values.
+
+    All blocks move on by a word at once, so there are as many steps as words in the longest block.
+    """
     ids = ids.astype(np.uint64)
     n = len(ids)
-    at = np.arange(n)
-    block_end = np.minimum((at // BLOCK + 1) * BLOCK, n)
-    room = block_end - at
-    selector, take = np.full(n, ESCAPE, np.uint64), np.ones(n, np.int64)
-    open_ = np.ones(n, bool)
-    for s, (count, bits) in enumerate(LAYOUT, 1):
-        wide = np.where(ids >> np.uint64(bits) > 0, at, n)
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1] if n else wide
-        want = np.minimum(count, room)
-        fits = open_ & (next_wide - at >= want)
-        selector[fits], take[fits] = s, want[fits]
-        open_ &= ~fits
-    jump, heads, i = take.tolist(), [], 0
-    while i < n:
-        heads.append(i)
-        i += jump[i]
-    heads = np.array(heads, np.int64)
-    chosen, length = selector[heads], take[heads]
-    out = chosen << np.uint64(60)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+    choice = _choices(ids)
+    size = np.minimum(BLOCK, n - np.arange(len(choice)) * BLOCK)
+    head = np.zeros(choice.shape, bool)
+    block, at = np.arange(len(choice)), np.zeros(len(choice), np.int64)
+    while len(block):
+        head[block, at] = True
+        at = at + COUNT[choice[block, at]]
+        more = at < size[block]
+        block, at = block[more], at[more]
+    heads = np.flatnonzero(head)
+    chosen = choice.ravel()[heads]
+    length = np.minimum(COUNT[chosen], size[heads // BLOCK] - heads % BLOCK)
+    out = chosen.astype(np.uint64) << np.uint64(60)
     escaped = chosen == ESCAPE
     values = ids[heads[escaped]]
     out[escaped] |= np.arange(len(values), dtype=np.uint64)
+    left = np.flatnonzero(~escaped & (WIDTH[chosen] > 0))
     for k in range(60):
-        more = np.flatnonzero((length > k) & ~escaped & (WIDTH[chosen] > 0))
-        if not len(more):
+        left = left[length[left] > k]
+        if not len(left):
             break
-        out[more] |= ids[heads[more] + k] << (WIDTH[chosen[more]] * k).astype(np.uint64)
+        out[left] |= ids[heads[left] + k] << (WIDTH[chosen[left]] * k).astype(np.uint64)
     firsts = np.searchsorted(heads, np.arange(0, n, BLOCK))
     return out, firsts.astype(np.uint32), values
 
