@@ -5,9 +5,11 @@ its measurements; a gated attention learns from document labels alone how much
 each passage weighs, and the weighted passage representation gives the score.
 The whole text is scored, whatever its length.
 
-The model is fitted with numpy on at most ``sample`` labelled documents (the
-smallest hashes of their ids) and, in fitting only, ``bag`` evenly spaced
-passages of each; it never sees labels, language, source or id as inputs.
+The model is fitted with numpy on a bounded sample of labelled documents, each
+with all of its passages: at most ``sample`` documents by the smallest hashes of
+their ids, of which those with over a tenth of ``most`` passages are passed over
+and the rest is taken in that order while it has at most ``most`` passages in all.
+It never sees labels, language, source or id as inputs.
 
 Edge cases: a text without words is one passage of zeros; labels other than 0
 and 1 and labels of absent documents are ignored; of documents that repeat a
@@ -25,13 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tessella.llm import arrays, quality_rules
 from tessella.llm.shared import beside
 
 PASSAGE = 48
 SAMPLE = 2000
-BAG = 256
+MOST = 200_000
 HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 250, 0.02, 1e-4
 THRESHOLD = 0.3
 
@@ -142,11 +145,11 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, seed: int = 7) -> Mo
     return Model(w | fixed)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG) -> Model:
-    """Fit on at most ``sample`` of the labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model:
+    """Fit on at most ``sample`` of the labelled documents, with ``most`` passages in all.
 
     ``labels`` has ``doc_id`` and ``quality``.  What reaches the driver is at
-    most ``sample * bag`` rows of features.
+    most ``most`` rows of features.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter("doc_id is not null and quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
@@ -155,13 +158,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in arrays.chunks(batches):
             x, bounds = passages(table)
-            kept = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                chosen = np.arange(a, b) if b - a <= bag else np.linspace(a, b - 1, bag).astype(int)
-                kept.append(x[chosen].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([arrays.plain(table["doc_id"]), arrays.plain(table["quality"]), pa.array(kept, pa.binary())], ["doc_id", "quality", "x"])
-
-    found = rows.mapInArrow(run, "doc_id bigint, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
+            fits = np.diff(bounds) <= most // 10
+            kept = [x[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1][fits], bounds[1:][fits], strict=True)]
+            table, n = table.filter(pa.array(fits)), np.diff(bounds)[fits]
+            yield pa.RecordBatch.from_arrays([arrays.plain(table["doc_id"]), arrays.plain(table["quality"]), pa.array(n), pa.array(kept, pa.binary())], ["doc_id", "quality", "n", "x"])
+
+    drawn = rows.mapInArrow(run, "doc_id bigint, quality int, n bigint, x binary").groupBy("doc_id", "quality").agg(F.min(F.struct("n", "x")).alias("m"))
+    # The window is over at most ``sample`` rows.
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").rowsBetween(Window.unboundedPreceding, 0)
+    found = drawn.select("doc_id", "quality", "m.x", F.sum("m.n").over(order).alias("so_far")).filter(F.col("so_far") <= most).collect()
     found.sort(key=lambda r: (r.doc_id, r.quality))
     bags = [np.frombuffer(bytes(r.x), "<f4").reshape(-1, len(FEATURES)).astype(float) for r in found]
     x = np.concatenate(bags) if bags else np.zeros((0, len(FEATURES)))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -54,3 +56,36 @@ def test_passages_cover_every_word():
     x, bounds = qc.passages(pa.table({"text": ["w " * 100, "", None, "\n".join("ab" * 50)]}))
     assert np.diff(bounds).tolist() == [3, 1, 1, 3]
     assert np.allclose(np.add.reduceat(x[:, 0], bounds[:-1]) * qc.PASSAGE, [100, 0, 0, 100])
+
+
+def test_scores_equal_a_loop_over_passages():
+    rng = np.random.default_rng(5)
+    table = pa.table({"text": [" ".join(rng.choice(["a", "Bc", "d!", "###", "efg.", "12\n"], n)) for n in (0, 1, 47, 48, 49, 500)]})
+    x, bounds = qc.passages(table)
+    model = qc.train(x, bounds, np.array([0.0, 1, 0, 1, 1, 0]))
+    w, want = model.weights, []
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        hidden, weight = [], []
+        for p in range(a, b):
+            scaled = [(x[p][f] - w["mean"][f]) / w["scale"][f] for f in range(len(qc.FEATURES))]
+            h = [math.tanh(sum(v * w["encode"][f][k] for f, v in enumerate(scaled)) + w["encode0"][k]) for k in range(qc.HIDDEN)]
+            dot = lambda name, g, h=h: sum(v * w[name][k][g] for k, v in enumerate(h))
+            weight.append(math.exp(sum(math.tanh(dot("attend", g)) * sigmoid(dot("gate", g)) * w["weigh"][g] for g in range(qc.GATE))))
+            hidden.append(h)
+        z = [sum(e * h[k] for e, h in zip(weight, hidden, strict=True)) / sum(weight) for k in range(qc.HIDDEN)]
+        want.append(sigmoid(sum(v * w["out"][k] for k, v in enumerate(z)) + w["out0"][0]))
+    assert np.allclose(model.scores(x, bounds), want)
+
+
+def test_fitting_takes_whole_texts_within_its_bound(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(qc, "train", lambda x, bounds, y: seen.append((len(x), sorted(np.diff(bounds).tolist()))))
+    table = docs([(k, "w " * qc.PASSAGE * n) for k, n in enumerate((300, 80, 90, 70, 1, 2))])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id bigint, quality int")
+    qc.fit(table, labels)
+    qc.fit(table, labels, most=900)
+    qc.fit(table, labels, most=200)
+    assert seen[0] == (543, [1, 2, 70, 80, 90, 300])
+    assert seen[1] == (243, [1, 2, 70, 80, 90])
+    assert seen[2] == (3, [1, 2])
