@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 from tessella.llm import arrays, tokens
 
 BLOCK = 1024
+BEGINNING = 64  # characters of a text that ranges of rows tell apart
 ESCAPE = 0
 # Ids per word and bits per id of selectors 1 to 15.
 LAYOUT = [(120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -169,7 +170,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, kind: Calla
             before += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The beginnings of texts order the rows of one id as their texts do, and spread them over ranges.
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, BEGINNING)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(code, SEGMENTS).write.mode("overwrite").parquet(path)
 
 
