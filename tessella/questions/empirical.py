@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessella.operators import graph as g
 from tessella.questions.common import (
-    contributions, counted, counted_named, differs, follow, has, in_decade, joined, labelled, listed, named, question,
+    VENUE, contributions, counted, counted_named, differs, follow, has, in_decade, joined, labelled, listed, named, question,
 )
 
 # The class, the venue and the predicates of the template.
@@ -69,8 +69,8 @@ def flagged(df: DataFrame, name: str) -> DataFrame:
 
 @question(uid(1))
 def venue_series(t):
-    df = follow(contributions(t, CLASS), t, "contribution", "orkgp:P135046 venue")
-    return listed(named(df, t, "paper", "venue"), "paper paperLabel venue venueLabel", "paperLabel", "venueLabel")
+    df = follow(contributions(t, CLASS), t, "contribution", f"{VENUE} venue")
+    return listed(named(df, t, "paper", venue=VENUE), "paper paperLabel venue venueLabel", "paperLabel", "venueLabel")
 
 
 @question(uid(2))
@@ -87,7 +87,7 @@ def question_wordings(t):
 
 @question(uid(4))
 def question_types(t):
-    df = named(follow(asking(t), t, "research_question", f"{QUESTION_TYPE} type"), t, "paper", "type")
+    df = named(follow(asking(t), t, "research_question", f"{QUESTION_TYPE} type"), t, "paper", type=QUESTION_TYPE)
     return joined(df, "paper paperLabel", "paperLabel", questionTypes="typeLabel")
 
 
@@ -106,7 +106,7 @@ def collection_methods(t):
 
 @question(uid(7))
 def analysis_methods(t):
-    df = named(follow(analysed(t), t, "data_analysis", f"{METHOD} method"), t, "paper", "method")
+    df = named(follow(analysed(t), t, "data_analysis", f"{METHOD} method"), t, "paper", method=METHOD)
     return joined(df.filter(differs(F.col("methodLabel"), "no method")), "paper paperLabel", "paperLabel", dataAnalysisMethods="methodLabel")
 
 
@@ -156,7 +156,7 @@ def several_urls(t, at_least: int = 2):
     df = g.star(with_data(collected(t), t), t, "research_data", {DATA_TYPE: "dataType", URL: "url"})
     by = ["paper", "paperLabel", "dataType", "dataTypeLabel"]
     # the counts follow from the distinct urls that make up the text
-    once = labelled(df, t, "paper", "dataType").select(*by, "url").distinct()
+    once = labelled(df, t, "paper", dataType=DATA_TYPE).select(*by, "url").distinct()
     rows = once.groupBy(*by).agg(F.count("url").alias("urlCount"), F.array_join(F.array_sort(F.collect_list("url")), " | ").alias("urls"))
     return rows.filter(F.col("urlCount") >= at_least).orderBy("paperLabel")
 
@@ -164,7 +164,7 @@ def several_urls(t, at_least: int = 2):
 @question(uid(14))
 def hypotheses_and_techniques(t):
     df = follow(analysed(t), t, "data_analysis", f"{INFERENTIAL} inferential")
-    df = labelled(g.star(df, t, "inferential", {HYPOTHESIS: "hypothesis", TECHNIQUE: "technique"}), t, "technique", "paper")
+    df = labelled(g.star(df, t, "inferential", {HYPOTHESIS: "hypothesis", TECHNIQUE: "technique"}), t, "paper", technique=TECHNIQUE)
     return joined(df, "paper paperLabel", "paperLabel", hypotheses="hypothesis", statisticalTechniques="techniqueLabel")
 
 
@@ -212,7 +212,7 @@ def any_two_hypotheses(t):
 
 def typed(t: g.Triples, var: str) -> DataFrame:
     """Questions whose type has a label."""
-    return has(g.pattern(t, QUESTION_TYPE, var, "type"), t, "type", g.LABEL).select(var)
+    return has(g.pattern(t, QUESTION_TYPE, var, "type"), t, "type", g.LABEL, QUESTION_TYPE).select(var)
 
 
 @question(uid(21))
@@ -240,7 +240,7 @@ def data_without_url(t):
 @question(uid(24))
 def untyped_hypotheses(t):
     df = follow(analysed(t), t, "data_analysis", f"{INFERENTIAL} inferential", f"{HYPOTHESIS} hypothesis", f"{STATEMENT} hypothesisStatement")
-    df = g.optional(df, named(g.pattern(t, HYPOTHESIS_TYPE, "hypothesis", "hypothesisType"), t, "hypothesisType"), "hypothesis")
+    df = g.optional(df, named(g.pattern(t, HYPOTHESIS_TYPE, "hypothesis", "hypothesisType"), t, hypothesisType=HYPOTHESIS_TYPE), "hypothesis")
     label = F.col("hypothesisTypeLabel")
     df = labelled(df.filter(label.isNull() | g.same_text(label, "no type")), t, "paper")
     return listed(df, "paper paperLabel hypothesis hypothesisStatement hypothesisTypeLabel", "paperLabel", "hypothesisStatement")
@@ -301,7 +301,7 @@ def question_type_counts(t):
 
 @question(uid(32))
 def data_types_over_years(t):
-    df = named(with_data(collected(t, True), t, f"{DATA_TYPE} data_type"), t, "paper", "data_type")
+    df = named(with_data(collected(t, True), t, f"{DATA_TYPE} data_type"), t, "paper", data_type=DATA_TYPE)
     return df.select("paper", "paperLabel", "year", "data_type", "data_typeLabel").orderBy("year", "paperLabel", "data_typeLabel")
 
 
@@ -309,7 +309,7 @@ def data_types_over_years(t):
 def algorithms_over_decades(t):
     df = follow(analysed(t, True), t, "data_analysis", f"{LEARNING} machine_learning", f"{ALGORITHM} ml_algorithm")
     by = "decade ml_algorithm ml_algorithmLabel"
-    return counted_named(in_decade(df), t, by, "ml_algorithm", "decade", F.desc("paper_count"), "ml_algorithmLabel")
+    return counted_named(in_decade(df), t, by, "ml_algorithm", "decade", F.desc("paper_count"), "ml_algorithmLabel", ml_algorithm=ALGORITHM)
 
 
 @question(uid(34))
@@ -367,7 +367,7 @@ def paradigm_and_question_type(t):
 def data_and_method_type(t):
     df = with_methods(with_data(collected(t), t, f"{DATA_TYPE} data_type"), t)
     by = "data_type data_typeLabel method_type method_typeLabel"
-    return counted_named(df, t, by, "data_type method_type", F.desc("paper_count"), "data_typeLabel", "method_typeLabel")
+    return counted_named(df, t, by, "data_type method_type", F.desc("paper_count"), "data_typeLabel", "method_typeLabel", data_type=DATA_TYPE, method_type=METHOD_TYPE)
 
 
 @question(uid(43))
@@ -384,8 +384,8 @@ def any_question_type(t):
 
 @question(uid(45))
 def leading_paradigms(t):
-    df = labelled(with_data(collected(t, df=with_paradigm(t, True)), t, f"{DATA_TYPE} data_type"), t, "research_paradigm", "data_type")
-    df = labelled(with_methods(df.filter(F.col("data_typeLabel").isin("qualitative", "quantitative")), t), t, "method_type")
+    df = labelled(with_data(collected(t, df=with_paradigm(t, True)), t, f"{DATA_TYPE} data_type"), t, research_paradigm=PARADIGM, data_type=DATA_TYPE)
+    df = labelled(with_methods(df.filter(F.col("data_typeLabel").isin("qualitative", "quantitative")), t), t, method_type=METHOD_TYPE)
     group = ["decade", "data_type", "data_typeLabel"]
     by = [*group, "research_paradigm", "research_paradigmLabel", "method_type", "method_typeLabel"]
     best = g.most_frequent(g.count_per(in_decade(df), by, "paper", "paper_count"), "paper_count", group)
@@ -400,16 +400,17 @@ def metrics_with_algorithms(t):
     df = g.exists_flag(df, g.pattern(t, INFERENTIAL, "data_analysis", None), "data_analysis", "inferential")
     group = F.when(F.col("inferential"), "with inferential statistics").otherwise("without inferential statistics")
     by = "inferential_statistics_group ml_algorithm ml_algorithmLabel metric_value"
-    return counted_named(df.withColumn("inferential_statistics_group", group), t, by, "ml_algorithm", "inferential_statistics_group", F.desc("paper_count"), "ml_algorithmLabel", "metric_value")
+    return counted_named(df.withColumn("inferential_statistics_group", group), t, by, "ml_algorithm", "inferential_statistics_group", F.desc("paper_count"), "ml_algorithmLabel", "metric_value", ml_algorithm=ALGORITHM)
 
 
 @question(uid(47))
 def both_highlighted(t):
     def marked(p: str) -> DataFrame:
-        return has(g.pattern(t, p, "contribution", "x"), t, "x", HIGHLIGHTED)
+        return has(g.pattern(t, p, "contribution", "x"), t, "x", HIGHLIGHTED, p)
 
     both = at_conference(t, True).join(marked(RQ), ["contribution"], "left_semi").join(marked(RQ_ANSWER), ["contribution"], "left_semi")
-    open_data = follow(g.pattern(t, COLLECTION, "contribution", "dc"), t, "dc", f"{g.LABEL} dc_label").filter(F.col("dc_label") != "no collection")
+    open_data = g.pattern(t, COLLECTION, "contribution", "dc").join(g.pattern(t, g.LABEL, "dc", "dc_label", kind=COLLECTION), ["dc"])
+    open_data = open_data.filter(F.col("dc_label") != "no collection")
     open_data = has(follow(open_data, t, "dc", f"{DATA} data"), t, "data", URL)
     threats = has(g.pattern(t, THREATS, "contribution", "x"), t, "x", MENTIONED)
     full = open_data.select("contribution").join(threats, ["contribution"], "left_semi").distinct()
@@ -549,7 +550,7 @@ def strategies_over_years(t):
     df = analysed(t, df=with_data(collected(t, df=with_paradigm(t, True)), t, f"{DATA_TYPE} data_type"))
     df = df.join(g.tagged(t, tags, "data_analysis", None, "analysis_strategy"), ["data_analysis"])
     by = "year research_paradigm research_paradigmLabel data_type data_typeLabel analysis_strategy"
-    return counted_named(df, t, by, "research_paradigm data_type", "year", F.desc("paper_count"), "research_paradigmLabel", "data_typeLabel", "analysis_strategy")
+    return counted_named(df, t, by, "research_paradigm data_type", "year", F.desc("paper_count"), "research_paradigmLabel", "data_typeLabel", "analysis_strategy", research_paradigm=PARADIGM, data_type=DATA_TYPE)
 
 
 @question(uid(61))

@@ -22,7 +22,7 @@ def uid(n: int) -> str:
 
 def part(t: g.Triples, p: str, label: str, *hops: str) -> DataFrame:
     """What a contribution's collection or analysis offers, whole or not at all."""
-    return follow(follow(g.pattern(t, p, "contribution", "x"), t, "x", f"{g.LABEL} {label}"), t, "x", *hops)
+    return follow(g.pattern(t, p, "contribution", "x").join(g.pattern(t, g.LABEL, "x", label, kind=p), ["x"]), t, "x", *hops)
 
 
 def labels_of_both(t: g.Triples) -> DataFrame:
@@ -40,7 +40,8 @@ def method_types(t: g.Triples, *columns: str) -> DataFrame:
 
 def tests(t: g.Triples, *columns: str) -> DataFrame:
     """Analyses with their inferential statistics and tests where there are any."""
-    named_test = follow(g.pattern(t, e.TECHNIQUE, "stats", "stats_test"), t, "stats_test", f"{g.LABEL} test").select("stats", "test")
+    named_test = g.pattern(t, e.TECHNIQUE, "stats", "stats_test")
+    named_test = named_test.join(g.pattern(t, g.LABEL, "stats_test", "test", kind=e.TECHNIQUE), ["stats_test"]).select("stats", "test")
     df = part(t, e.ANALYSIS, "da_label").filter(F.col("da_label") == "analysis")
     df = g.optional(df, g.pattern(t, e.INFERENTIAL, "x", "stats"), "x")
     df = e.at_conference(t, True).join(g.optional(df, named_test, "stats"), ["contribution"])

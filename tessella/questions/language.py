@@ -39,9 +39,9 @@ def reached(t: g.Triples, *hops: str, year: bool = False) -> DataFrame:
     return follow(contributions(t, CLASS, year), t, "contribution", *hops)
 
 
-def reported(df: DataFrame, t: g.Triples, *variables: str) -> DataFrame:
+def reported(df: DataFrame, t: g.Triples, *variables: str, **led: str) -> DataFrame:
     """Variables whose label says something."""
-    return labelled(df, t, *variables, unless=NONE)
+    return labelled(df, t, *variables, unless=NONE, **led)
 
 
 def exactly(df: DataFrame, *columns: str) -> DataFrame:
@@ -53,7 +53,7 @@ def exactly(df: DataFrame, *columns: str) -> DataFrame:
 
 def stated(t: g.Triples, p: str, var: str) -> DataFrame:
     """Subjects with a value of ``p`` whose label says something."""
-    return reported(g.pattern(t, p, var, "__v"), t, "__v").select(var)
+    return reported(g.pattern(t, p, var, "__v"), t, __v=p).select(var)
 
 
 @question(uid(1))
@@ -120,7 +120,7 @@ def metrics_per_paper(t):
 @question(uid(10))
 def baselines_per_paper(t):
     part = follow(g.pattern(t, EVALUATION, "contribution", "evaluation"), t, "evaluation", f"{BASELINE} baseline", f"{BASELINE_TYPE} type")
-    part = named(part, t, "type").select("contribution", "typeLabel")
+    part = named(part, t, type=BASELINE_TYPE).select("contribution", "typeLabel")
     df = named(g.optional(contributions(t, CLASS), part, "contribution"), t, "paper")
     return joined(df, "paper paperLabel", "paperLabel", sep=", ", baselineTypes="typeLabel")
 
@@ -133,7 +133,7 @@ def both_tasks(t: g.Triples) -> DataFrame:
 def frequent_task_combinations(t):
     df = task_outputs(t, g.star(both_tasks(t), t, "nlpTask", {TASK_TYPE: "nlpTaskType"}))
     by = "reTask nlpTaskType outputType"
-    return top_with_papers(df, t, by, F.desc("paperCount"), "reTaskLabel", "nlpTaskTypeLabel", "outputTypeLabel", labels=by)
+    return top_with_papers(df, t, by, F.desc("paperCount"), "reTaskLabel", "nlpTaskTypeLabel", "outputTypeLabel", labels=by, reTask=RE_TASK, nlpTaskType=TASK_TYPE, outputType=OUTPUT_TYPE)
 
 
 @question(uid(12))
@@ -171,7 +171,7 @@ def annotation_quality(t):
     df = g.star(df, t, "scheme", {GUIDELINE: "guideline"})
     df = g.star(df, t, "agreement", {MEASURED: "measured", AGREEMENT_METRIC: "metric", CONFLICT: "conflict"})
     return joined(
-        named(df, t, "paper", "guideline", "metric", "conflict"), "paper paperLabel", "paperLabel",
+        named(df, t, "paper", guideline=GUIDELINE, metric=AGREEMENT_METRIC, conflict=CONFLICT), "paper paperLabel", "paperLabel",
         guidelineAvailabilities="guidelineLabel", measuredAgreements="measured", metrics="metricLabel", conflictResolutions="conflictLabel",
     )
 
@@ -200,7 +200,7 @@ def releases(t):
 
     def texts(df: DataFrame, start: str, p: str, name: str, labels: bool = True) -> DataFrame:
         rows = follow(df, t, start, f"{p} value")
-        rows = named(rows, t, "value") if labels else rows.withColumn("valueLabel", F.col("value"))
+        rows = named(rows, t, value=p) if labels else rows.withColumn("valueLabel", F.col("value"))
         return g.group_concat(rows, "paper", "valueLabel", name, " | ")
 
     df = listed(named(released, t, "paper"), "paper paperLabel")
@@ -233,7 +233,7 @@ def leading(df: DataFrame, t: g.Triples, label: str) -> DataFrame:
 
 @question(uid(21))
 def task_types_per_decade(t):
-    df = reported(reached(t, f"{NLP_TASK} task", f"{TASK_TYPE} NLPTaskType", year=True), t, "NLPTaskType")
+    df = reported(reached(t, f"{NLP_TASK} task", f"{TASK_TYPE} NLPTaskType", year=True), t, NLPTaskType=TASK_TYPE)
     return leading(in_decade(df, "publicationDecade"), t, "NLPTaskTypeLabel")
 
 
@@ -299,7 +299,7 @@ def any_guideline_without_material(t):
 
 @question(uid(30))
 def any_bare_agreement(t):
-    df = reported(reached(t, f"{ANNOTATION} process", f"{AGREEMENT} agreement"), t, "agreement")
+    df = reported(reached(t, f"{ANNOTATION} process", f"{AGREEMENT} agreement"), t, agreement=AGREEMENT)
     df = g.without(df, stated(t, AGREEMENT_METRIC, "agreement"), "agreement")
     return g.ask(g.without(df, stated(t, CONFLICT, "agreement"), "agreement"))
 
@@ -332,7 +332,7 @@ def released_without_license(t):
 
 @question(uid(34))
 def any_partial_baseline(t):
-    df = reported(reached(t, f"{EVALUATION} evaluation", f"{BASELINE} baseline"), t, "baseline")
+    df = reported(reached(t, f"{EVALUATION} evaluation", f"{BASELINE} baseline"), t, baseline=BASELINE)
     detailed = g.pattern(t, BASELINE_DETAIL, "baseline", "v").filter(differs(F.col("v"), NONE))
     return g.ask(g.lacking_any(df, [stated(t, BASELINE_TYPE, "baseline"), detailed], "baseline"))
 
@@ -356,7 +356,7 @@ def several_texts(df: DataFrame, by: list[str], value: str, name: str, sep: str)
 @question(uid(36))
 def several_source_types(t):
     df = g.star(reached(t, f"{DATASET} dataset", f"{SOURCE} source"), t, "source", {SOURCE_COUNT: "numberOfDatasources", SOURCE_TYPE: "type"})
-    df = named(exactly(labelled(df, t, "type"), "typeLabel", "numberOfDatasources"), t, "paper")
+    df = named(exactly(labelled(df, t, type=SOURCE_TYPE), "typeLabel", "numberOfDatasources"), t, "paper")
     return several_texts(df, ["paper", "paperLabel", "numberOfDatasources"], "typeLabel", "datasourceTypes", ", ")
 
 
