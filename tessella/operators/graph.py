@@ -224,25 +224,40 @@ def with_all_values(t: Triples, p: str, values: Sequence[str], var: str = "s") -
     return rows.groupBy(var).agg(F.count_distinct("__o").alias("__n")).filter(F.col("__n") == len(set(values))).select(var)
 
 
-def divided(rows: DataFrame, divisor: DataFrame, subject: str, value: str, by: str | Sequence[str] = ()) -> DataFrame:
+def divided(rows: DataFrame, divisor: DataFrame, subject: str, value: str, by: str | Sequence[str] = (), most: int = MOST_VALUES) -> DataFrame:
     """Q7: subjects that have every value of ``divisor``, or of each of its groups ``by``.
 
     The divisor's different values are counted once; the subjects' values that are in it
     are counted per subject and group and compared with that.  Without groups an empty
     divisor asks for nothing, so every subject has it; a group is there by its values, so none is empty.
     A null value is had by none: a divisor with one has no subjects.
+
+    Subjects of the same values are one case: groups are compared with each set of values that occurs,
+    not with each subject.  Subjects of more than about ``most`` asked values are counted by themselves, so no task holds their set.
     """
     keys = [by] if isinstance(by, str) else list(by)
     asked = divisor.select(*keys, value).distinct()
     needed = asked.groupBy(*keys).agg(F.count("*").alias("__needed"))
-    has = rows.select(subject, value).join(asked, [value]).groupBy(*keys, subject).agg(F.count_distinct(value).alias("__has"))
-    if keys:
+    has = rows.select(subject, value).join(asked.select(value).distinct(), [value], "left_semi").distinct()
+    if not keys:
+        wanted = needed.select("__needed").scalar()
+        everyone = rows.select(subject).distinct().filter(wanted == 0)
+        return has.groupBy(subject).agg(F.count("*").alias("__has")).filter(F.col("__has") == wanted).select(subject).unionByName(everyone)
+
+    def met(has: DataFrame, owner: str) -> DataFrame:
+        """Each group with the owners that have all of its values."""
+        found = has.join(asked, [value]).groupBy(*keys, owner).agg(F.count("*").alias("__has"))
         same = [F.col(f"has.{k}").eqNullSafe(F.col(f"needed.{k}")) for k in keys]
-        met = has.alias("has").join(needed.alias("needed"), [*same, F.col("__has") == F.col("__needed")], "left_semi")
-        return met.select(*keys, subject)
-    wanted = needed.select("__needed").scalar()
-    everyone = rows.select(subject).distinct().filter(wanted == 0)
-    return has.filter(F.col("__has") == wanted).select(subject).unionByName(everyone)
+        whole = found.alias("has").join(needed.alias("needed"), [*same, F.col("__has") == F.col("__needed")], "left_semi")
+        return whole.select(*keys, owner)
+
+    many = F.broadcast(_heavy_subjects(has, subject, most).select(subject))
+    # a null subject is one like any other, and never among those
+    few = has.join(many, [subject], "left_anti").groupBy(subject).agg(F.array_sort(F.collect_set(value)).alias("__set"))
+    sets = few.select("__set").distinct()
+    fitting = met(sets.select("__set", F.explode("__set").alias(value)), "__set")
+    light = few.join(fitting, ["__set"]).select(*keys, subject)
+    return light.unionByName(met(has.join(many, [subject], "left_semi"), subject))
 
 
 def with_several(df: DataFrame, var: str, value: str, at_least: int = 2) -> DataFrame:

@@ -640,8 +640,9 @@ def q7_table(spark, sf):
     t = shop_graph(spark, sf)
     has = g.pattern(t, "placedBy", "ord", "cust").join(g.pattern(t, "priority", "ord", "priority"), ["ord"])
     place = lambda c: F.regexp_extract(c, r"\d+", 0).cast("long") % 1000
-    suppliers = g.of_class(g.pattern(t, "inNation", "supp", "nation"), t, "supp", "Supplier").withColumn("place", place("supp"))
-    asked = g.pattern(t, "priority", "ord", "priority").withColumn("place", place("ord")).join(suppliers, ["place"])
+    # each place's different nations and priorities meet, not its suppliers and orders
+    suppliers = g.of_class(g.pattern(t, "inNation", "supp", "nation"), t, "supp", "Supplier").select("nation", place("supp").alias("place")).distinct()
+    asked = g.pattern(t, "priority", "ord", "priority").select("priority", place("ord").alias("place")).distinct().join(suppliers, ["place"])
     return g.divided(has, asked, "cust", "priority", "nation")
 
 

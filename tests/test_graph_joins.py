@@ -201,3 +201,21 @@ def test_division_matches_brute_force(spark):
     whole = lambda vs: {r.s for r in g.divided(rows, spark.createDataFrame([(v,) for v in vs], "v string"), "s", "v").collect()}
     assert whole("ab") == {s for s, own in values.items() if {"a", "b"} <= own}
     assert whole("") == set(values) and whole("x") == set() and whole(["a", None]) == set()
+
+
+def test_subjects_of_many_values_are_divided_by_themselves(spark):
+    rows = spark.createDataFrame([(f"s{i % 3}", f"v{i}") for i in range(60)] + [("few", "v0"), ("few", "v3"), ("few", "v3")], "s string, v string")
+    asked = spark.createDataFrame([("a", f"v{i}") for i in range(0, 60, 3)] + [("b", "v0"), ("b", "v3"), ("c", "v1")], "grp string, v string")
+    for most in (3, 10_000):
+        got = g.divided(rows, asked, "s", "v", "grp", most).collect()
+        assert sorted((r.grp, r.s) for r in got) == [("a", "s0"), ("b", "few"), ("b", "s0"), ("c", "s1")]
+
+
+def test_division_counts_sets_of_values_not_subjects(spark):
+    """Subjects meet the groups as the sets of values that occur: here two, for a thousand subjects."""
+    rows = spark.range(2000).selectExpr("'s' || id % 1000 as s", "'v' || if(id < 1000, 0, id % 2) as v")
+    asked = spark.range(100).selectExpr("'g' || id % 50 as grp", "'v' || id % 2 as v").distinct()
+    df = g.divided(rows, asked, "s", "v", "grp")
+    assert df.count() == 50 // 2 * 1000 + 50 // 2 * 500
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan
