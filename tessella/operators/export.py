@@ -262,14 +262,15 @@ def export_dataset(
 
     ``table`` is the per-family prompt table.  The first bad entry or missing
     prompt fails the run, before anything is written below ``path``.  The examples
-    are written to ``scratch`` once, so that the split's counts and its rows read
+    are written to ``scratch`` once, tightly packed since prompts repeat their template and question, so that the split's counts and its rows read
     the same input.  Returns the metadata row.
     """
-    built = build_prompts(require_valid(entries), table)
+    # Read from files the table has a known size, so that a small one is broadcast and no entry moves.
+    built = build_prompts(require_valid(entries), written(table, "prompt-table"))
     bad = built.filter("prompt_error is not null").select("uid", "prompt_error").orderBy("uid").first()
     if bad:
         raise ValueError(f"{bad[0]}: {bad[1]}")
-    build_examples(built, export_format).write.parquet(scratch)
+    build_examples(built, export_format).write.option("compression", "zstd").parquet(scratch)
     examples = entries.sparkSession.read.parquet(scratch)
     if split:
         examples = split_examples(examples, ratios=ratios, seed=seed)

@@ -146,3 +146,25 @@ def test_all_cuts_share_their_counts(spark, monkeypatch):
     df = spark.range(3000).select(F.lit("one").alias("uid"), "id")
     assert split_counts(df) == sizes(3000)
     assert len(seen) <= 2 * export.KEY_DIGITS // export.STEP_DIGITS
+
+
+def test_an_export_moves_no_entry_and_packs_its_scratch(spark, tmp_path, monkeypatch):
+    """The prompt table comes from an aggregate over texts, whose size nobody knows before."""
+    texts = spark.range(2000).selectExpr("'f' || id % 3 as family", "repeat('long template ', 50) || id as t", "id")
+    table = texts.groupBy("family").agg(F.max_by("t", "id").alias("template_text")).withColumns({"profile": F.lit("p"), "profile_error": F.lit(None).cast("string")})
+    table = table.select("family", "profile", F.concat("template_text", F.lit(" {question}")).alias("template_text"), "profile_error")
+    entries = spark.range(300).selectExpr(
+        "'u' || id as uid", "cast(id as int) as source_id", "'d' as source_dataset", "'f' || id % 3 as family", "'why ' || id as question", "'ASK {}' as gold_query", "cast(id as int) as pos"
+    )
+    plans, build = [], export.build_prompts
+
+    def spied(*args):
+        made = build(*args)
+        plans.append(made._jdf.queryExecution().sparkPlan().toString())
+        return made
+
+    monkeypatch.setattr(export, "build_prompts", spied)
+    report = export.export_dataset(entries, table, str(tmp_path / "out"), str(tmp_path / "s")).first()
+    assert report.total_examples == 300
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+    assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "s").glob("*.parquet"))
