@@ -6,6 +6,8 @@ A run renders any number of mappings at once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.operators import prompt_texts as texts
@@ -69,7 +71,10 @@ def _linked(templates: DataFrame, most: int) -> DataFrame:
     return written(found.unionByName(none), "linked")
 
 
-def template_mapping(templates: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+MOST_HELD = 100_000  # rows that a mapping may come to, at worst, to be made by one task
+
+
+def template_mapping(templates: DataFrame, most: int = MOST_ROWS, held: int = MOST_HELD) -> DataFrame:
     """Property, subtemplate and nested rows of every mapping.
 
     ``templates`` has ``mapping, tpos, id, label, target_class, properties``,
@@ -78,11 +83,98 @@ def template_mapping(templates: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     later template wins for a class and the later property for a path, while a
     path keeps the place where it first appeared.
 
-    Each property is linked to its class's template once.  Levels then are joins
+    A mapping that comes to no more than ``held`` rows is gathered and made where its templates meet: they move
+    once and nothing is written.  Others go through joins; those of a null name do as well.
+
+    There each property is linked to its class's template once.  Levels then are joins
     of rows: those of one level are known by their paths and the template they
     lead to, and meet that template's properties.  How many rows lead to each
     template is counted before, so a popular one's rows are split over many tasks.
     """
+    # at most a row per property, one per property of a template below it, and one per property below that
+    each = templates.select("mapping", F.greatest(F.size("properties"), F.lit(0)).cast("double").alias("n"))
+    sizes = each.groupBy("mapping").agg(F.sum("n").alias("n"), F.max("n").alias("m"))
+    large = sizes.filter(F.col("mapping").isNull() | (F.col("n") * (1 + F.col("m") + F.col("m") * F.col("m")) > held))
+    large = written(large.select(F.col("mapping").alias("__large")), "large-mappings")
+    held_rows = _gathered(templates.join(large, F.col("mapping") == F.col("__large"), "left_anti").filter("mapping is not null"))
+    if not large.limit(1).count():
+        return held_rows
+    return held_rows.unionByName(_by_levels(templates.join(large, F.col("mapping").eqNullSafe(F.col("__large")), "left_semi"), most))
+
+
+def _gathered(templates: DataFrame) -> DataFrame:
+    """``template_mapping`` of mappings that a task holds."""
+    one = templates.groupBy("mapping").agg(F.collect_list(F.struct("tpos", "id", "label", "target_class", "properties")).alias("ts"))
+    classes = F.filter("ts", lambda t: F.length(t["target_class"]["id"]) > 0)
+
+    def target(cls: Column) -> Column:
+        """The last template of a class."""
+        of_class = F.filter("classes", lambda c: c["target_class"]["id"] == cls)
+        return F.array_max(F.transform(of_class, lambda c: F.struct(c["tpos"].alias("target"), c["id"].alias("target_id"), c["label"].alias("target_label"))))
+
+    def own(t: Column) -> Column:
+        """The template's last property of each path, in the place where the path first was."""
+        props = F.filter(t["properties"], lambda p: F.length(p["path"]["id"]) > 0)
+        paths = F.transform(props, lambda p: p["path"]["id"])
+        placed = F.transform(props, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+        last = F.filter(placed, lambda x: ~F.array_contains(F.slice(paths, x["i"] + 2, F.size(paths) + 1), x["p"]["path"]["id"]))
+
+        def shown(x: Column) -> Column:
+            p = x["p"]
+            path, cls = p["path"], p["class"]
+            return F.struct(
+                t["tpos"].alias("tpos"),
+                (F.array_position(paths, path["id"]) - 1).cast("int").alias("place"),
+                path["id"].alias("path"),
+                shown_label(cls["label"], path["label"]).alias("label"),
+                cardinality(p["max_count"]).alias("cardinality"),
+                shown_description(p["description"], p["label"], path["label"]).alias("description"),
+                path["label"].alias("predicate_label"),
+                cls["label"].alias("class_label"),
+                F.nullif(cls["id"], F.lit("")).alias("class_id"),
+                target(F.nullif(cls["id"], F.lit(""))).alias("to"),
+            )
+
+        return F.coalesce(F.transform(last, shown), F.array())
+
+    one = one.select("mapping", "ts", classes.alias("classes"))
+    one = one.select("mapping", F.flatten(F.transform("ts", own)).alias("ps"))
+    of_path = lambda path: F.filter("ps", lambda p: p["path"] == path)
+    top = F.transform(
+        F.array_distinct(F.transform("ps", lambda p: p["path"])),
+        lambda path: F.struct(
+            F.array_max(of_path(path)).alias("v"),  # of the last template: tpos comes first
+            F.array_min(F.transform(of_path(path), lambda p: F.struct(p["tpos"].alias("t"), p["place"].alias("p1")))).alias("at"),
+        ),
+    )
+    one = one.select("mapping", "ps", top.alias("top"))
+    below = lambda p: F.filter("ps", lambda c: c["tpos"] == p["to"]["target"])
+
+    def row(level: int, at: Column, *line: Column) -> Column:
+        p, none = line[-1], F.lit(None).cast("string")
+        to = p["to"] if level < 3 else None
+        found = to.isNotNull() if level < 3 else F.lit(False)
+        pos = [at["t"], at["p1"], *(x["place"] for x in line[1:]), *[F.lit(-1)] * (3 - level)]
+        return F.struct(
+            F.lit(level).alias("level"),
+            *((line[i]["path"] if i < level else none).alias(f"path{i + 1}") for i in range(3)),
+            *(p[c].alias(c) for c in ("label", "cardinality", "description", "predicate_label", "class_label")),
+            F.when(found, p["class_id"]).alias("class_id"),
+            (to["target_id"] if level < 3 else none).alias("subtemplate_id"),
+            (to["target_label"] if level < 3 else none).alias("subtemplate_label"),
+            F.struct(*(c.alias(n) for c, n in zip(pos, ("t", "p1", "p2", "p3")))).alias("pos"),
+        )
+
+    def under(x: Column) -> Column:
+        p1, at = x["v"], x["at"]
+        deeper = lambda p2: F.concat(F.array(row(2, at, p1, p2)), F.transform(below(p2), lambda p3: row(3, at, p1, p2, p3)))
+        return F.concat(F.array(row(1, at, p1)), F.flatten(F.transform(below(p1), deeper)))
+
+    return one.select("mapping", F.explode(F.flatten(F.transform("top", under))).alias("r")).select("mapping", "r.*")
+
+
+def _by_levels(templates: DataFrame, most: int) -> DataFrame:
+    """``template_mapping`` of mappings of any size."""
     linked = _linked(templates, most)
     top = linked.groupBy("mapping", F.col("path").alias("path1")).agg(
         F.max_by(F.struct(*SHOWN), "tpos").alias("v"), F.min(F.struct(F.col("tpos").alias("t"), F.col("place").alias("p1"))).alias("at")
@@ -123,42 +215,51 @@ def template_mapping(templates: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     return rows(top, 1).unionByName(rows(subs, 2)).unionByName(rows(nested, 3))
 
 
+def _formatted(text: str, *values: Column | str) -> Column:
+    """``text`` with its ``%s`` filled in; unlike ``format_string`` compiled, and an unbound value is ``null`` as there."""
+    parts = [F.lit(text.split("%s")[0])]
+    for value, after in zip(values, text.split("%s")[1:], strict=True):
+        parts += [F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit("null")), F.lit(after)]
+    return F.concat(*parts)
+
+
 def schema_line() -> Column:
     """One table line per mapping row."""
     own = F.coalesce("path3", "path2", "path1")
     kind = F.when(F.col("cardinality") == texts.MANY, texts.PREDICATE_MANY).otherwise(texts.PREDICATE)
     usage = (
-        F.when(F.col("level") == 1, F.format_string(texts.USAGE[0], F.col("path1")))
-        .when(F.col("level") == 2, F.format_string(texts.USAGE[1], F.col("path1"), F.col("path2")))
-        .otherwise(F.format_string(texts.USAGE[2], F.col("path1"), F.col("path2"), F.col("path3")))
+        F.when(F.col("level") == 1, _formatted(texts.USAGE[0], "path1"))
+        .when(F.col("level") == 2, _formatted(texts.USAGE[1], "path1", "path2"))
+        .otherwise(_formatted(texts.USAGE[2], "path1", "path2", "path3"))
     )
     indent = F.when(F.col("level") == 1, texts.ROW_INDENT[0]).when(F.col("level") == 2, texts.ROW_INDENT[1]).otherwise(texts.ROW_INDENT[2])
-    return F.format_string(texts.SCHEMA_ROW, indent, F.col("label"), own, kind, F.col("description"), usage)
+    return _formatted(texts.SCHEMA_ROW, indent, "label", own, kind, "description", usage)
 
 
 def hierarchy_line() -> Column:
     """P5: one outline line per mapping row."""
     own = F.coalesce("path3", "path2", "path1")
     indent = F.when(F.col("level") == 1, texts.OUTLINE_INDENT[0]).when(F.col("level") == 2, texts.OUTLINE_INDENT[1]).otherwise(texts.OUTLINE_INDENT[2])
-    return F.format_string(texts.OUTLINE_ROW, indent, F.col("label"), own)
+    return _formatted(texts.OUTLINE_ROW, indent, "label", own)
 
 
-def sections(rows: DataFrame) -> DataFrame:
+def sections(rows: DataFrame, wanted: Sequence[str] = ("schema_section", "hierarchy_section")) -> DataFrame:
     """Property table and outline of each mapping, parent before child.
 
-    Both texts come from one grouping of the rows.  In the outline a blank line
+    The wanted texts come from one grouping of the rows.  In the outline a blank line
     closes each top property.
     """
-    lines = rows.select("mapping", "pos", "level", schema_line().alias("row"), hierarchy_line().alias("outline"))
-    grouped = lines.groupBy("mapping").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "row", "outline"))).alias("lines"))
+    made = {"schema_section": schema_line(), "hierarchy_section": hierarchy_line()}
+    lines = rows.select("mapping", F.struct("pos", "level", *(made[w].alias(w) for w in wanted)).alias("line"))
+    grouped = lines.groupBy("mapping").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     # a top line after the first is preceded by the blank line that ends the block before it
     gap = lambda r, i: F.when((r["level"] == 1) & (i > 0), F.lit("\n")).otherwise(F.lit(""))
-    outline = F.array_join(F.transform("lines", lambda r, i: F.concat(gap(r, i), r["outline"])), "")
-    return grouped.select(
-        "mapping",
-        F.concat(F.lit(texts.SCHEMA_HEAD), F.array_join("lines.row", "")).alias("schema_section"),
-        F.concat(F.lit(texts.OUTLINE_HEAD), outline, F.lit("\n"), F.lit(texts.OUTLINE_FOOT)).alias("hierarchy_section"),
-    )
+    outline = F.array_join(F.transform("lines", lambda r, i: F.concat(gap(r, i), r["hierarchy_section"])), "")
+    texts_of = {
+        "schema_section": F.concat(F.lit(texts.SCHEMA_HEAD), F.array_join("lines.schema_section", "")),
+        "hierarchy_section": F.concat(F.lit(texts.OUTLINE_HEAD), outline, F.lit("\n"), F.lit(texts.OUTLINE_FOOT)),
+    }
+    return grouped.select("mapping", *(texts_of[w].alias(w) for w in wanted))
 
 
 def section_segments(rows: DataFrame, size: int = LINES) -> DataFrame:
@@ -183,12 +284,12 @@ def section_segments(rows: DataFrame, size: int = LINES) -> DataFrame:
 
 def schema_section(rows: DataFrame) -> DataFrame:
     """P4."""
-    return sections(rows).select("mapping", "schema_section")
+    return sections(rows, ["schema_section"])
 
 
 def hierarchy_section(rows: DataFrame) -> DataFrame:
     """P5."""
-    return sections(rows).select("mapping", "hierarchy_section")
+    return sections(rows, ["hierarchy_section"])
 
 
 def assemble_prompts(rows: DataFrame, profiles: DataFrame, guidance: DataFrame) -> DataFrame:

@@ -493,9 +493,9 @@ def line_templates(spark: SparkSession, sf: str) -> DataFrame:
     whose classes point at other lines, so that paths repeat, classes collide
     and nesting reaches the third level.
     """
-    place = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    rows = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("mapping"), F.row_number().over(place).alias("tpos"),
+    place = Window.partitionBy("mapping").orderBy(*LINE_ORDER)
+    rows = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "mapping").select(
+        "mapping", F.row_number().over(place).alias("tpos"),
         F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_returnflag").alias("flag"),
     )
     text = lambda e: e.cast("string")

@@ -78,6 +78,22 @@ def test_expansion_matches_nested_loops(spark, most):
     assert told(spark, rows, most=most) == brute(rows)
 
 
+@pytest.mark.parametrize("held", [0, 60, templates.MOST_HELD])
+def test_gathered_and_joined_mappings_are_alike(spark, held):
+    rows = made(5, 12, 0.4) + [(None, *r[1:]) for r in made(6, 1, 0.0)]
+    named = [r for r in rows if r[0]]
+    unnamed = [(*r[:6], None, None, None, None, r[10]) for r in brute([("", *r[1:]) for r in rows if not r[0]]) if r[1] == 1]
+    assert [r for r in told(spark, rows, held=held) if r[0]] == brute(named)
+    assert len([r for r in told(spark, rows, held=held) if not r[0]]) == len(unnamed)
+
+
+def test_small_mappings_move_once_and_nothing_is_written(spark):
+    df = templates.template_mapping(spark.createDataFrame(made(1, 8, 0.3), SCHEMA))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert "properties-" not in plan and "linked-" not in plan and "top-properties-" not in plan
+
+
 def test_a_class_of_nine_tenths_of_the_rows(spark):
     rows = [("m", 0, "R0", "big", {"id": "A", "label": "a"}, [prop(f"P{i}", "A" if i % 10 else "B", i) for i in range(60)])]
     rows += [("m", 1, "R1", "small", {"id": "B", "label": "b"}, [prop("Q", "A", 1), prop("Q2", None, 2)])]
