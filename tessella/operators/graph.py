@@ -385,19 +385,13 @@ def group_concat(df: DataFrame, by: str | Sequence[str], value: str, name: str,
 def group_concats(df: DataFrame, by: str | Sequence[str], values: Mapping[str, str], sep: str = ", ") -> DataFrame:
     """Q33: several columns of each group as sorted texts of their different values.
 
-    Repeated values are dropped by their own aggregation on group and value,
-    so a hot group is reduced across all tasks before its texts are put
-    together.  A column whose values are all unbound gives an empty text.
+    Each task keeps a group's different values only, before they meet, so a hot
+    group is reduced across all tasks, and no table of all groups and values is held.
+    A column whose values are all unbound gives an empty text.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    if len(values) == 1:
-        once = df.select(*keys, *[F.col(v).alias(n) for v, n in values.items()]).distinct()
-        held = {n: F.col(n) for n in values.values()}
-    else:
-        pairs = F.array(*[F.struct(F.lit(n).alias("n"), F.col(v).cast("string").alias("v")) for v, n in values.items()])
-        once = df.select(*keys, F.explode(pairs).alias("__c")).distinct()
-        held = {n: F.when(F.col("__c.n") == n, F.col("__c.v")) for n in values.values()}
-    return once.groupBy(*keys).agg(*[F.array_join(F.array_sort(F.collect_list(c)), sep).alias(n) for n, c in held.items()])
+    held = {n: F.col(v) if len(values) == 1 else F.col(v).cast("string") for v, n in values.items()}
+    return df.groupBy(*keys).agg(*[F.array_join(F.array_sort(F.collect_set(c)), sep).alias(n) for n, c in held.items()])
 
 
 def sample(c: str) -> Column:

@@ -219,3 +219,13 @@ def test_division_counts_sets_of_values_not_subjects(spark):
     assert df.count() == 50 // 2 * 1000 + 50 // 2 * 500
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" in plan
+
+
+def test_group_texts_hold_no_table_of_groups_and_values(spark):
+    rows = [("a", "y", 2), ("a", "x", 2), ("a", "x", None), ("b", None, None), (None, "z", 1)]
+    df = spark.createDataFrame(rows, "k string, v string, w int")
+    one, two = g.group_concat(df, "k", "v", "t"), g.group_concats(df, "k", {"v": "t", "w": "u"}, "|")
+    assert {tuple(r) for r in one.collect()} == {("a", "x, y"), ("b", ""), (None, "z")}
+    assert {tuple(r) for r in two.collect()} == {("a", "x|y", "2"), ("b", "", ""), (None, "z", "1")}
+    for made in (one, two):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
