@@ -74,7 +74,14 @@ def _linked(templates: DataFrame, most: int) -> DataFrame:
 MOST_HELD = 100_000  # rows that a mapping may come to, at worst, to be made by one task
 
 
-def template_mapping(templates: DataFrame, most: int = MOST_ROWS, held: int = MOST_HELD) -> DataFrame:
+# Columns of a mapping row besides its mapping, level and place.
+MAPPED = (
+    "path1", "path2", "path3", "label", "cardinality", "description", "predicate_label", "class_label",
+    "class_id", "subtemplate_id", "subtemplate_label",
+)
+
+
+def template_mapping(templates: DataFrame, most: int = MOST_ROWS, held: int = MOST_HELD, columns: Sequence[str] = MAPPED) -> DataFrame:
     """Property, subtemplate and nested rows of every mapping.
 
     ``templates`` has ``mapping, tpos, id, label, target_class, properties``,
@@ -85,6 +92,7 @@ def template_mapping(templates: DataFrame, most: int = MOST_ROWS, held: int = MO
 
     A mapping that comes to no more than ``held`` rows is gathered and made where its templates meet: they move
     once and nothing is written.  Others go through joins; those of a null name do as well.
+    ``columns`` names those of ``MAPPED`` that are wanted; others aren't made.
 
     There each property is linked to its class's template once.  Levels then are joins
     of rows: those of one level are known by their paths and the template they
@@ -96,13 +104,15 @@ def template_mapping(templates: DataFrame, most: int = MOST_ROWS, held: int = MO
     sizes = each.groupBy("mapping").agg(F.sum("n").alias("n"), F.max("n").alias("m"))
     large = sizes.filter(F.col("mapping").isNull() | (F.col("n") * (1 + F.col("m") + F.col("m") * F.col("m")) > held))
     large = written(large.select(F.col("mapping").alias("__large")), "large-mappings")
-    held_rows = _gathered(templates.join(large, F.col("mapping") == F.col("__large"), "left_anti").filter("mapping is not null"))
+    wanted = [c for c in MAPPED if c in columns]
+    held_rows = _gathered(templates.join(large, F.col("mapping") == F.col("__large"), "left_anti").filter("mapping is not null"), wanted)
     if not large.limit(1).count():
         return held_rows
-    return held_rows.unionByName(_by_levels(templates.join(large, F.col("mapping").eqNullSafe(F.col("__large")), "left_semi"), most))
+    others = _by_levels(templates.join(large, F.col("mapping").eqNullSafe(F.col("__large")), "left_semi"), most)
+    return held_rows.unionByName(others.select("mapping", "level", *wanted, "pos"))
 
 
-def _gathered(templates: DataFrame) -> DataFrame:
+def _gathered(templates: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """``template_mapping`` of mappings that a task holds."""
     one = templates.groupBy("mapping").agg(F.collect_list(F.struct("tpos", "id", "label", "target_class", "properties")).alias("ts"))
     classes = F.filter("ts", lambda t: F.length(t["target_class"]["id"]) > 0)
@@ -122,46 +132,53 @@ def _gathered(templates: DataFrame) -> DataFrame:
         def shown(x: Column) -> Column:
             p = x["p"]
             path, cls = p["path"], p["class"]
+            texts_of = {
+                "label": shown_label(cls["label"], path["label"]),
+                "cardinality": cardinality(p["max_count"]),
+                "description": shown_description(p["description"], p["label"], path["label"]),
+                "predicate_label": path["label"],
+                "class_label": cls["label"],
+                "class_id": F.nullif(cls["id"], F.lit("")),
+            }
             return F.struct(
                 t["tpos"].alias("tpos"),
                 (F.array_position(paths, path["id"]) - 1).cast("int").alias("place"),
                 path["id"].alias("path"),
-                shown_label(cls["label"], path["label"]).alias("label"),
-                cardinality(p["max_count"]).alias("cardinality"),
-                shown_description(p["description"], p["label"], path["label"]).alias("description"),
-                path["label"].alias("predicate_label"),
-                cls["label"].alias("class_label"),
-                F.nullif(cls["id"], F.lit("")).alias("class_id"),
+                *(c.alias(n) for n, c in texts_of.items() if n in wanted),
                 target(F.nullif(cls["id"], F.lit(""))).alias("to"),
             )
 
         return F.coalesce(F.transform(last, shown), F.array())
 
     one = one.select("mapping", "ts", classes.alias("classes"))
-    one = one.select("mapping", F.flatten(F.transform("ts", own)).alias("ps"))
-    of_path = lambda path: F.filter("ps", lambda p: p["path"] == path)
+    one = one.select("mapping", F.flatten(F.transform("ts", own)).alias("ps"), F.array_distinct(F.transform("ts", lambda t: t["tpos"])).alias("places"))
+    # each place's properties are looked for once, and a property knows by number where those below it are
+    groups = F.transform("places", lambda place: F.filter("ps", lambda c: c["tpos"] == place))
+    numbered = F.transform("ps", lambda p: p.withField("group", F.array_position("places", p["to"]["target"]) - 1))
+    one = one.select("mapping", "places", numbered.alias("ps")).select("mapping", "ps", groups.alias("groups"))
+    by_path = F.transform(F.array_distinct(F.transform("ps", lambda p: p["path"])), lambda path: F.filter("ps", lambda p: p["path"] == path))
     top = F.transform(
-        F.array_distinct(F.transform("ps", lambda p: p["path"])),
-        lambda path: F.struct(
-            F.array_max(of_path(path)).alias("v"),  # of the last template: tpos comes first
-            F.array_min(F.transform(of_path(path), lambda p: F.struct(p["tpos"].alias("t"), p["place"].alias("p1")))).alias("at"),
+        by_path,
+        lambda of: F.struct(
+            F.array_max(of).alias("v"),  # of the last template: tpos comes first
+            F.array_min(F.transform(of, lambda p: F.struct(p["tpos"].alias("t"), p["place"].alias("p1")))).alias("at"),
         ),
     )
-    one = one.select("mapping", "ps", top.alias("top"))
-    below = lambda p: F.filter("ps", lambda c: c["tpos"] == p["to"]["target"])
+    one = one.select("mapping", "groups", top.alias("top"))
+    below = lambda p: F.coalesce(F.get("groups", p["group"].cast("int")), F.array())
 
     def row(level: int, at: Column, *line: Column) -> Column:
         p, none = line[-1], F.lit(None).cast("string")
         to = p["to"] if level < 3 else None
         found = to.isNotNull() if level < 3 else F.lit(False)
         pos = [at["t"], at["p1"], *(x["place"] for x in line[1:]), *[F.lit(-1)] * (3 - level)]
+        made = {f"path{i + 1}": line[i]["path"] if i < level else none for i in range(3)}
+        made |= {c: p[c] for c in ("label", "cardinality", "description", "predicate_label", "class_label")}
+        made |= {"class_id": F.when(found, p["class_id"])}
+        made |= {f"subtemplate_{c}": to[f"target_{c}"] if level < 3 else none for c in ("id", "label")}
         return F.struct(
             F.lit(level).alias("level"),
-            *((line[i]["path"] if i < level else none).alias(f"path{i + 1}") for i in range(3)),
-            *(p[c].alias(c) for c in ("label", "cardinality", "description", "predicate_label", "class_label")),
-            F.when(found, p["class_id"]).alias("class_id"),
-            (to["target_id"] if level < 3 else none).alias("subtemplate_id"),
-            (to["target_label"] if level < 3 else none).alias("subtemplate_label"),
+            *(made[c].alias(c) for c in wanted),
             F.struct(*(c.alias(n) for c, n in zip(pos, ("t", "p1", "p2", "p3")))).alias("pos"),
         )
 
@@ -251,7 +268,8 @@ def sections(rows: DataFrame, wanted: Sequence[str] = ("schema_section", "hierar
     """
     made = {"schema_section": schema_line(), "hierarchy_section": hierarchy_line()}
     lines = rows.select("mapping", F.struct("pos", "level", *(made[w].alias(w) for w in wanted)).alias("line"))
-    grouped = lines.groupBy("mapping").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    # lines are never null; sort_array has no lambda to interpret at each comparison, as array_sort does
+    grouped = lines.groupBy("mapping").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     # a top line after the first is preceded by the blank line that ends the block before it
     gap = lambda r, i: F.when((r["level"] == 1) & (i > 0), F.lit("\n")).otherwise(F.lit(""))
     outline = F.array_join(F.transform("lines", lambda r, i: F.concat(gap(r, i), r["hierarchy_section"])), "")
@@ -282,6 +300,9 @@ def section_segments(rows: DataFrame, size: int = LINES) -> DataFrame:
     return segments(lines, ["mapping", "section"], "rank", "line", size)
 
 
+OUTLINED = ("path1", "path2", "path3", "label")  # columns of a mapping row that the outline shows
+
+
 def schema_section(rows: DataFrame) -> DataFrame:
     """P4."""
     return sections(rows, ["schema_section"])

@@ -600,7 +600,7 @@ def p4(spark, sf):
 
 @query("P05_hierarchy_section", f"with {rendered(PROPERTIES_SQL)} select mapping, hierarchy_section from sections")
 def p5(spark, sf):
-    return templates.hierarchy_section(templates.template_mapping(line_templates(spark, sf)))
+    return templates.hierarchy_section(templates.template_mapping(line_templates(spark, sf), columns=templates.OUTLINED))
 
 
 @query(

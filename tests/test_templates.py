@@ -94,6 +94,24 @@ def test_small_mappings_move_once_and_nothing_is_written(spark):
     assert "properties-" not in plan and "linked-" not in plan and "top-properties-" not in plan
 
 
+def test_a_property_finds_those_below_it_without_looking_through_the_mapping(spark):
+    rows = spark.createDataFrame(made(1, 8, 0.3), SCHEMA)
+    plan = templates.template_mapping(rows)._jdf.queryExecution().optimizedPlan().toString()
+    expanded = [line for line in plan.splitlines() if "Generate explode(" in line and "transform(" in line]
+    assert expanded and not any("filter(" in line for line in expanded)
+
+
+@pytest.mark.parametrize("held", [0, 60, templates.MOST_HELD])
+def test_only_wanted_columns_are_made(spark, held):
+    rows = spark.createDataFrame(made(5, 12, 0.4), SCHEMA)
+    whole = templates.template_mapping(rows, held=held).select("mapping", "level", *templates.OUTLINED, "pos")
+    wanted = templates.template_mapping(rows, held=held, columns=templates.OUTLINED)
+    assert wanted.columns == whole.columns
+    assert sorted(map(tuple, wanted.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    sections = templates.hierarchy_section(wanted).collect()
+    assert sorted(sections) == sorted(templates.hierarchy_section(templates.template_mapping(rows, held=held)).collect())
+
+
 def test_a_class_of_nine_tenths_of_the_rows(spark):
     rows = [("m", 0, "R0", "big", {"id": "A", "label": "a"}, [prop(f"P{i}", "A" if i % 10 else "B", i) for i in range(60)])]
     rows += [("m", 1, "R1", "small", {"id": "B", "label": "b"}, [prop("Q", "A", 1), prop("Q2", None, 2)])]
