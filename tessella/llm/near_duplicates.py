@@ -4,16 +4,22 @@ A document is the set of its word shingles; two are linked when their sets'
 Jaccard similarity reaches a bound.  Equal sets are one class first.  A tree
 branches classes by minwise values: a node picks one or two positions of the
 signature by its own hash, and its members part by their values there, so that
-similar sets stay together and others part.  Small nodes are compared
-exhaustively, first by bit sketches, then on the full sets; independent trees
-repeat this until the chance to miss a pair at the bound is below MISS.
+similar sets stay together and others part.  A node's members are compared by
+bit sketches, which join them to families; independent trees repeat this until
+the chance to miss a pair at the bound is below MISS.
 
 A large node is not compared exhaustively: its members are compared with a few
-of its own members, which links groups of many copies at once.  Pairs within a
-component need no further comparison; so when few members are outside a node's
-largest component, these are compared with all of the node, and any other node
+of its own members, which joins groups of many copies at once.  Pairs within a
+family need no further comparison; so when few members are outside a node's
+largest family, these are compared with all of the node, and any other node
 branches on, in several independent subtrees, as a pair is the more easily parted
-the deeper a tree gets.  The trees are as many as the greatest depth needs.  So nothing is capped, and no group emits all its pairs.
+the deeper a tree gets.  The trees are as many as the greatest depth needs.
+
+Then all full sets of a family are compared with each other.  A family of several
+blocks first meets in each block and with a few members that are in all blocks;
+then the rows outside its largest component meet the whole family, block by block.
+A task that compares rows says which are joined by at most one row for each of
+them, so nothing is capped, and no group emits all its pairs.
 
 Edge cases: without words a text's set is empty and linked with nothing; a text
 of fewer words than a shingle is one shingle; equal texts are one class however
@@ -31,7 +37,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm import arrays
@@ -39,7 +44,13 @@ from tessella.llm.components import components
 from tessella.llm.shared import written
 
 POSITIONS = 128  # minwise values in a signature; two bits of each make the sketch
-SMALL = 32  # a node with so many classes outside its largest component is compared exhaustively
+SMALL = 2048  # a node with so many classes outside its largest component is compared exhaustively
+NODE_ROWS = 1 << 15  # rows of a node's largest component that a task compares others with
+TASK_ROWS = 1 << 14  # rows that a task compares at once; groups are never split
+PAIRS = 1 << 19  # pairs of sketches that a task compares at once
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19  # rows of a family that meet at once, and their shingles
+FEW = 8  # shingles of so many rows of a large group are counted pair by pair
+CELLS = 1 << 21  # cells of the matrix that counts the others
 PIVOTS = 4  # members that all others of a larger node are compared with
 TWICE = 0.25  # share of nodes that branch by two positions
 MISS = 1e-4
@@ -224,52 +235,126 @@ def _deeper(rows: DataFrame, classes: DataFrame, copies: int) -> DataFrame:
     return joined.mapInArrow(run, "node bigint, cls bigint")
 
 
-def _alike(a: str, b: str, similarity: float):
-    """Whether two rows' sizes and sketches allow the similarity."""
-    differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+def _most(similarity: float) -> int:
+    """The most bits in which the sketches of rows of the similarity may differ."""
     # Unequal minwise values have unequal bits half of the time: with two bits of each value
     # the share of unequal bits has this mean and variance.
     unequal = 1 - similarity
     mean = unequal / 2
     deviation = math.sqrt((unequal * (1 - unequal) / 4 + unequal / 8) / POSITIONS)
-    most = math.floor(2 * POSITIONS * (mean + SPREAD * deviation))
+    return math.floor(2 * POSITIONS * (mean + SPREAD * deviation))
+
+
+def _alike(a: str, b: str, similarity: float):
+    """Whether two rows' sizes and sketches allow the similarity."""
+    differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (differ <= most) & (low >= similarity * high - 1e-6 * high)
+    return (differ <= _most(similarity)) & (low >= similarity * high - 1e-6 * high)
 
 
 def _nodes(live: DataFrame) -> DataFrame:
-    """Nodes with several components: the largest, ``top``, and the number of rows outside it, ``others``."""
+    """Nodes with several components: their size, the largest, ``top``, and the number of rows outside it, ``others``."""
     parts = live.groupBy("node", "component").agg(F.count("*").alias("rows"))
     found = parts.groupBy("node").agg(F.sum("rows").alias("size"), F.max(F.struct("rows", "component")).alias("l"))
-    return found.select("node", F.col("l.component").alias("top"), (F.col("size") - F.col("l.rows")).alias("others")).filter("others > 0")
+    return found.select("node", "size", F.col("l.component").alias("top"), (F.col("size") - F.col("l.rows")).alias("others")).filter("others > 0")
 
 
 def _crowded(live: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of nodes with several components, with their sizes and sketches."""
     rows = live.join(_nodes(live), "node")
-    return rows.join(classes.select("cls", "n", *SKETCH), "cls").select("node", "cls", "component", "top", "others", "n", *SKETCH)
-
+    return rows.join(classes.select("cls", "n", *SKETCH), "cls").select("node", "cls", "component", "size", "top", "others", "n", *SKETCH)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
+    """Tables of at least so many rows but for the last, none of which ends amid equal values of a column."""
+    held: list[pa.RecordBatch] = []
+    rows, wanted = 0, least
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= wanted:
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table[column].to_numpy()
+            whole = len(key) - int((key[::-1] != key[-1]).argmax()) if (key != key[-1]).any() else 0  # the last group may go on
+            if whole:
+                yield table.slice(0, whole)
+            held, rows = table.slice(whole).to_batches(), table.num_rows - whole
+            wanted = max(least, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def united(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after joining each x with its y; a label is the least number of those joined."""
+    while len(x):
+        a, b = label[x], label[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, shorter := label[label]):
+            label = shorter
+    return label
+
+
+def _joins(names: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(names[label[moved]]), pa.array(names[moved])], ["a", "b"])
+
+
+def _compared(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: components to join, as rows of theirs in one node and slot allow the similarity."""
+    most = _most(similarity)
 
-def _candidates(crowded: DataFrame, similarity: float, last: bool) -> DataFrame:
-    """``a, b``: the pairs to verify.
-
-    Pairs within a component need no comparison, so it is enough to compare the
-    rows outside a node's largest component with all of the node.  Nodes with too
-    many such rows compare all with a few members.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key", TASK_ROWS):
+            key, n = table["key"].to_numpy(), table["n"].to_numpy()
+            sketch = [table[c].to_numpy().view(np.uint64) for c in SKETCH]
+            names, own = np.unique(table["component"].to_numpy(), return_inverse=True)
+            label = np.arange(len(names))
+            end = np.searchsorted(key, key, side="right")
+            # A node's largest component comes last: all others meet what follows them.
+            x = np.flatnonzero(~table["main"].to_numpy(zero_copy_only=False))
+            upto = np.cumsum(end[x] - x - 1)
+            at = 0
+            while at < len(x):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+                part = x[at:to]
+                a = np.repeat(part, end[part] - part - 1)
+                b = arrays.ragged(end[part] - part - 1, part + 1)
+                able = (label[own[a]] != label[own[b]]) & (np.minimum(n[a], n[b]) >= (similarity - 1e-6) * np.maximum(n[a], n[b]))
+                a, b = a[able], b[able]
+                differ = sum(np.bitwise_count(s[a] ^ s[b]).astype(np.int16) for s in sketch)
+                label = united(label, own[a[differ <= most]], own[b[differ <= most]])
+                at = to
+            yield _joins(names, label)
+
+    dealt = nodes.repartition("key").sortWithinPartitions("key", "main")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _like(crowded: DataFrame, similarity: float, last: bool) -> DataFrame:
+    """``a, b``: components to join, so that the similar rows of small nodes are in one.
+
+    Rows outside a node's largest component are compared with all of the node.
+    Nodes with too many such rows compare all with a few members.
     """
-    apart = F.col("x.component") != F.col("y.component")
-    pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
-    small = crowded if last else crowded.filter(F.col("others") <= SMALL)
-    x, y = small.filter("component <> top").alias("x"), small.alias("y")
-    pairs = x.join(y, (F.col("x.node") == F.col("y.node")) & apart & _alike("x", "y", similarity)).select(*pair)
+    rows = (crowded if last else crowded.filter(F.col("others") <= SMALL)).withColumn("main", F.col("component") == F.col("top"))
+    columns = ["main", "component", "n", *SKETCH]
+    one = rows.filter(F.col("size") <= NODE_ROWS).select(F.col("node").alias("key"), *columns)
+    slots = F.ceil(F.col("size") / NODE_ROWS)
+    slot = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("cls"), slots))).otherwise(F.sequence(F.lit(0).cast("long"), slots - 1))
+    more = rows.filter(F.col("size") > NODE_ROWS).withColumn("slot", F.explode(slot)).select(F.xxhash64("node", "slot").alias("key"), *columns)
+    found = _compared(one.unionByName(more), similarity)
     if last:
-        return pairs.distinct()
+        return found
+    apart = F.col("x.component") != F.col("y.component")
     large = crowded.filter(F.col("others") > SMALL).select("node", "cls", "component", "n", *SKETCH)
     member = F.struct("cls", "n", *SKETCH, "component")
     pivots = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("o"), member.alias("m")))["m"] for k in range(PIVOTS)]
     met = large.join(large.groupBy("node").agg(F.array(*pivots).alias("ps")), "node")
     star = met.select(F.struct(*large.columns).alias("x"), F.explode("ps").alias("y")).filter(apart & _alike("x", "y", similarity))
-    return pairs.unionByName(star.select(*pair)).distinct()
+    return found.unionByName(star.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")))
 
 
 def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -298,52 +383,119 @@ def _keys(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return keys
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``cls, set``: the sorted shingle hashes of the wanted classes' first documents."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in arrays.chunks(batches):
-            hashes, bounds = shingles(*arrays.text_bytes(table["text"]), size)
-            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            cls = pc.coalesce(arrays.plain(table["cls"]), pa.array(_nameless(_keys(hashes, bounds)[0])))
-            yield pa.RecordBatch.from_arrays([cls, sets], ["cls", "set"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text"))
-    schema = "cls bigint, set array<bigint>"
-    named = rows.filter("cls is not null").join(wanted, "cls").select("cls", "text").mapInArrow(run, schema)
-    return named.unionByName(rows.filter("cls is null").mapInArrow(run, schema).join(wanted, "cls", "left_semi"))
-
-
 def _nameless(k1: np.ndarray) -> np.ndarray:
     """Numbers for classes without any id."""
     return _NAMELESS + (k1.view(np.uint64) >> np.uint64(3)).astype(np.int64)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
-    left, right = (sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+def _texts(docs: DataFrame, size: int) -> DataFrame:
+    """``cls, text``: every row by its id, or by the number of its class without any."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in arrays.chunks(batches):
+            numbers = _nameless(_keys(*shingles(*arrays.text_bytes(table["text"]), size))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), arrays.plain(table["text"])], ["cls", "text"])
 
-def _joined(pairs: DataFrame, found: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """``node, component`` after verifying the pairs that can join components.
+    rows = docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text"))
+    return rows.filter("cls is not null").unionByName(rows.filter("cls is null").select("text").mapInArrow(run, "cls bigint, text string"))
+
+
+def common_sizes(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For rows i < j the number of hashes that both have; a row has none twice."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, row = hashes[order], row[order]
+    new = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+    count = np.diff(np.append(np.flatnonzero(new), len(hashes)))
+    per = np.repeat(count, count)
+    few = FEW if rows > 64 else 1
+    out = np.zeros((rows, rows), np.int64)
+    rare = (per > 1) & (per <= few)
+    for k in range(1, few):
+        own, value = row[rare], hashes[rare]
+        both = np.flatnonzero(value[k:] == value[:-k])
+        out += np.bincount(own[both] * rows + own[both + k], minlength=rows * rows).reshape(rows, rows)
+    often = per > few
+    number, own = np.cumsum(new[often]) - 1, row[often]
+    width = max(1, CELLS // max(rows, 1))
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        k = slice(*np.searchsorted(number, [a, a + width]))
+        has = np.zeros((rows, min(width, int(number[-1]) + 1 - a)), np.float32)
+        has[own[k], number[k] - a] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
 
-    First each class's pair with its smallest partner is verified; of the other
-    pairs only those whose components still differ.
-    """
-    known = [] if found is None else [found.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = components(reduce(DataFrame.unionByName, [_verified(first, sets, percent), *known]))
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    for c in "ab":
-        of = found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-        rest = rest.join(of, c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-    rest = written(rest.filter("of_a <> of_b").select("a", "b"), "pairs")
-    if rest.isEmpty():
+
+def _verified(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: classes to join, as their full sets reach the similarity; ``dealt`` has the groups of each, ``cls, key``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key", BLOCK):
+            found = [shingles(*arrays.text_bytes(t["text"]), size) for t in arrays.chunks(table.select(["text"]).to_batches())]
+            hashes, n = np.concatenate([h for h, _ in found]), np.concatenate([np.diff(b) for _, b in found])
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            names, own = np.unique(table["cls"].to_numpy(), return_inverse=True)
+            label, key = np.arange(len(names)), table["key"].to_numpy()
+            same = np.stack([*_keys(hashes, bounds), own, key])
+            order = np.lexsort(same)
+            again = order[1:][(same[:, order[1:]] == same[:, order[:-1]]).all(0)]
+            if len(again):  # rows that repeat an id and a set
+                left = np.delete(np.arange(len(key)), again)
+                hashes = hashes[arrays.ragged(n[left], bounds[left])]
+                key, own, n = key[left], own[left], n[left]
+                bounds = np.concatenate([[0], np.cumsum(n)])
+            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if b - a > 1:
+                    both = common_sizes(hashes[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), n[a:b]), b - a)
+                    x, y = np.nonzero(np.triu((both > 0) & (100 * both >= percent * (n[a:b, None] + n[None, a:b] - both)), 1))
+                    label = united(label, own[a + x], own[a + y])
+            yield _joins(names, label)
+
+    rows = _texts(docs, size).join(dealt, "cls").select("key", "cls", "text")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def _blocks(rows: DataFrame, by: str, kind: str) -> DataFrame:
+    """``family`` and the number of blocks for its rows."""
+    many = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    return rows.groupBy(by).agg(many.alias(kind))
+
+
+def _numbers(count: str):
+    return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
+
+def _components_of(docs: DataFrame, classes: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node, component`` of the classes whose full sets are linked, from the families that may be."""
+    named = families.select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    named = named.unionByName(families.select(F.col("component").alias("cls"), F.col("component").alias("family")).distinct())
+    rows = written(named.join(classes.groupBy("cls").agg(F.sum("n").alias("n")), "cls"), "families")
+    pivots = [F.min_by("cls", F.xxhash64("cls", F.lit(k))) for k in range(PIVOTS)]
+    sized = _blocks(rows, "family", "blocks").filter("blocks > 1")
+    large = written(rows.join(sized, "family"), "large")
+    key = F.xxhash64("family", "block").alias("key")
+    dealt = rows.join(sized, "family", "left_anti").select("cls", F.col("family").alias("key"))
+    if large.isEmpty():
+        return components(_verified(docs, dealt, size, percent), "components")
+    parts = large.join(large.groupBy("family").agg(F.array(*pivots).alias("ps")), "family")
+    own = F.when(F.array_contains("ps", F.col("cls")), _numbers("blocks")).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("blocks"))))
+    parts = parts.select("cls", "family", F.explode(own).alias("block")).select("cls", key)
+    found = components(_verified(docs, dealt.unionByName(parts), size, percent), "components")
+    # What is left of the large families: rows outside the largest component, with all.
+    of = found.select(F.col("node").alias("cls"), "component")
+    large = written(large.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "large")
+    top = large.groupBy("family", "component").agg(F.count("*").alias("rows")).groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("top"))
+    left = large.join(top, "family").filter("component <> top").select("cls", "family", "n", "blocks")
+    wide = _blocks(left, "family", "others")
+    pair = F.xxhash64("family", "block", "other").alias("key")
+    block, other = (F.pmod(F.xxhash64("cls", F.lit(k)), F.col(c)) for k, c in ((1, "blocks"), (2, "others")))
+    whole = large.join(wide, "family").withColumn("block", block).withColumn("other", F.explode(_numbers("others")))
+    apart = left.join(wide, "family").withColumn("other", other).withColumn("block", F.explode(_numbers("blocks")))
+    again = written(whole.select("cls", pair).unionByName(apart.select("cls", pair)).distinct(), "again")
+    if again.isEmpty():
         return found
-    return components(_verified(rest, sets, percent).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(_verified(docs, again, size, percent).unionByName(known), "components")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -363,22 +515,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     depth = round(math.log(max(1, total)) / math.log(20)) if total > SMALL else 0
     trees = trees_for(similarity, depth) if depth else 1
     live = _rooted(classes, trees, depth).withColumn("component", F.col("cls"))
-    sets = found = tried = None
+    families = None
     for level in range(depth, DEEPEST + 1, STEP):
         last = level + STEP > DEEPEST
         crowded = written(_crowded(live, classes), "crowded")
-        pairs = _candidates(crowded, similarity, last)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        known = [] if families is None else [families.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        families = components(reduce(DataFrame.unionByName, known, _like(crowded, similarity, last)), "families")
         large = crowded.filter(F.col("others") > SMALL).select("node", "cls")
-        if sets is None:
-            wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
-            sets = written(_sets(docs, wanted, size), "sets")
-        if found is None or not pairs.isEmpty():
-            found = _joined(pairs, found, sets, percent)
         if last or large.isEmpty():
             break
-        live = written(_next(large, found, classes, copies_of(similarity)), "live")
+        live = written(_next(large, families, classes, copies_of(similarity)), "live")
+    found = _components_of(docs, classes, families, size, percent)
     named = classes.join(found, classes.cls == found.node, "left").select("k1", "k2", F.coalesce("component", "cls").alias("component"))
     named = named.select("k1", "k2", F.when(F.col("component") < _NAMELESS, F.col("component")).alias("component"), F.lit(True).alias("named"))
     out = described.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")

@@ -120,3 +120,43 @@ def test_close_pairs_in_a_large_family_of_unlike_texts(docs, shared):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
     pick.shuffle(rows)
     check(docs, rows)
+
+
+def near_copies(pick, rows, edits):
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(rows):
+        words = list(base)
+        for k in pick.sample(range(120), edits):
+            words[k] = f"x{pick.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_a_group_of_copies_below_the_bound_makes_fewer_rows_than_it_has(docs, shared):
+    texts = near_copies(random.Random(2), 300, 9)
+    table = docs(list(enumerate(texts)))
+    described = nd._described(table, 2).withColumnRenamed("doc_id", "cls")
+    crowded = described.selectExpr("1L as node", "cls", "cls as component", "300L as size", "0L as top", "299L as others", "n", *nd.SKETCH)
+    assert 0 < nd._like(crowded, 0.8, False).count() < 300
+    close = [sets(t, 2) for t in texts]
+    assert sum(len(a & b) >= 0.55 * len(a | b) for i, a in enumerate(close) for b in close[:i]) > 20_000
+
+
+def test_families_of_several_blocks(docs, shared, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 8)
+    monkeypatch.setattr(nd, "NODE_ROWS", 16)
+    pick = random.Random(4)
+    texts = near_copies(pick, 60, 9) + near_copies(pick, 50, 5) + near_copies(pick, 30, 2)
+    rows = [(3 * k, t) for k, t in enumerate(texts)]
+    pick.shuffle(rows)
+    check(docs, rows)
+
+
+def test_common_sizes_of_sets():
+    rng = np.random.default_rng(3)
+    for rows, words in ((5, 40), (90, 300), (90, 20)):
+        own = [np.unique(rng.integers(0, words, 30)).astype(np.uint64) for _ in range(rows)]
+        got = nd.common_sizes(np.concatenate(own), np.repeat(np.arange(rows), [len(x) for x in own]), rows)
+        want = [[len(np.intersect1d(a, b)) for b in own] for a in own]
+        assert np.array_equal(np.triu(got, 1), np.triu(want, 1))
