@@ -16,8 +16,11 @@ polynomial hashes; every neighbour's common extension is verified on the bytes,
 and a collision falls back to a plain sort.  Runs of long enough common extension
 tell which windows are the same, and all but the first are removed.
 
-An anchor with more than GROUP different surroundings isn't sorted in one task:
-its windows are hashed to 128 bits each and grouped by that.
+An anchor with more than GROUP different surroundings isn't sorted in one task.
+Its windows are halved by how far they begin before the anchor: those of a half
+all have some bytes around it, whose hash parts the occurrences, and lie in
+narrower surroundings, of which again only the first is of interest.  Halves that
+are still too large are halved on, until windows of one beginning are left.
 
 Edge cases: a null text is empty; a null id comes after all others; rows that
 repeat an id with other columns are ordered by a 64-bit hash of the row, those
@@ -426,41 +429,62 @@ def _sorted_intervals(around: DataFrame) -> DataFrame:
             pos = table["pos"].to_numpy()[row]
             yield from _merged({"doc": table["doc"].to_numpy()[row], "tie": table["tie"].to_numpy()[row], "s": pos - before, "e": pos + after})
 
-    dealt = around.filter("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "doc", "tie", "pos")
+    dealt = around.repartition("h").sortWithinPartitions("h", "doc", "tie", "pos")
     return dealt.mapInArrow(run, _INTERVALS)
 
 
-def _hashed_intervals(around: DataFrame) -> DataFrame:
-    """Intervals of anchors with very many surroundings, window by window.
+def _halves(rows: DataFrame) -> DataFrame:
+    """Rows for either half of the windows, which begin ``lo`` to ``hi`` bytes before the anchor.
 
-    A window that its own batch has earlier is known to be a repetition; only each
-    batch's first occurrences meet those of other batches.
+    ``key`` is a hash of the bytes that all windows of a half have, ``t1, t2`` one of
+    those that any has, to which the surroundings are cut.
     """
-    schema = f"w1 bigint, w2 bigint, {_KEYS}, s bigint, later boolean"
+    schema = f"key bigint, t1 bigint, t2 bigint, lo bigint, hi bigint, {_KEYS}, pos bigint, left binary, right binary"
+    factor = np.uint64(_BASE)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (left, before), (right, after) = _matrix(batch["left"], SIDE), _matrix(batch["right"], LENGTH)
-            data = np.concatenate([left[:, ::-1], right], 1).astype(np.uint8) - np.uint8(1)
-            flat, width = data.ravel(), SIDE + LENGTH
-            doc, tie, pos = (batch[c].to_numpy() for c in ("doc", "tie", "pos"))
-            for back in range(SIDE + 1):
-                able = np.flatnonzero((before >= back) & (after >= LENGTH - back))
-                start = able * width + SIDE - back
-                one = arrays.hash_spans(flat, start, start + LENGTH).view(np.int64)
-                two = arrays.hash_spans(flat ^ np.uint8(0x5A), start, start + LENGTH).view(np.int64)
-                order = np.lexsort((pos[able], tie[able], doc[able], two, one))
-                one, two, able = one[order], two[order], able[order]
-                later = np.append(False, (one[1:] == one[:-1]) & (two[1:] == two[:-1]))[: len(one)]
-                columns = [one, two, doc[able], tie[able], pos[able] - back, later]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [n.split(" ")[0] for n in schema.split(", ")])
-
-    windows = around.filter("hot").select("doc", "tie", "pos", "left", "right").mapInArrow(run, schema)
-    firsts = windows.filter("not later").drop("later")
-    least = firsts.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tie", "s")).alias("o"))
-    others = firsts.join(least, ["w1", "w2"]).filter(F.struct("doc", "tie", "s") > F.col("o"))
-    found = windows.filter("later").select("doc", "tie", "s").unionByName(others.select("doc", "tie", "s"))
-    return found.select("doc", "tie", "s", (F.col("s") + LENGTH).alias("e"))
+            (left, start), (right, mid) = arrays.text_bytes(batch["left"]), arrays.text_bytes(batch["right"])
+            before, after = np.diff(start), np.diff(mid)
+            h, lo, hi = (batch[c].to_numpy() for c in ("h", "lo", "hi"))
+            half = (lo + hi) // 2
+            for low, high in ((lo, half), (half + 1, hi)):
+                able = np.flatnonzero((low <= high) & (np.minimum(before, high) + np.minimum(after, LENGTH - low) >= LENGTH))
+                low, high, a, b = low[able], high[able], start[:-1][able], mid[:-1][able]
+                far, on = np.minimum(before[able], high), np.minimum(after[able], LENGTH - low)
+                key = arrays.mix(h[able].view(np.uint64) * factor + (low * LENGTH + high).astype(np.uint64))
+                key = arrays.mix(key * factor + arrays.hash_spans(left, a, a + low))
+                key = arrays.mix(key * factor + arrays.hash_spans(right, b, b + LENGTH - high))
+                wide = zip(arrays.wide_hashes(left, a, a + far), arrays.wide_hashes(right, b, b + on), strict=True)
+                t1, t2 = (arrays.mix(arrays.mix(key * factor + x) * factor + y).view(np.int64) for x, y in wide)
+                columns = [key.view(np.int64), t1, t2, low, high, *(batch[c].to_numpy()[able] for c in ("doc", "tie", "pos"))]
+                columns = [pa.array(c) for c in columns]
+                for data, first, size in ((left, a, far), (right, b, on)):
+                    columns.append(_bytes(data[arrays.ragged(size, first)], np.concatenate([[0], np.cumsum(size)])))
+                yield pa.RecordBatch.from_arrays(columns, [n.split(" ")[0] for n in schema.split(", ")])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _narrowed(around: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Surroundings to sort, at most GROUP of a kind, and the intervals found on the way to them."""
+    columns = ["doc", "tie", "pos", "left", "right"]
+    sorts = around.filter("not hot").select("h", *columns)
+    found = sorts.select("doc", "tie", F.col("pos").alias("s"), F.col("pos").alias("e")).filter("false")
+    now = around.filter("hot").select("h", F.lit(0).cast("long").alias("lo"), F.lit(SIDE).cast("long").alias("hi"), *columns)
+    while not now.isEmpty():
+        parts = written(_halves(now), "halves")
+        own = F.struct("doc", "tie", "pos")
+        least = parts.groupBy("t1", "t2").agg(F.min(own).alias("o"))
+        met = written(parts.join(least, ["t1", "t2"]).select("key", "lo", "hi", *columns, (own == F.col("o")).alias("first")), "met")
+        ends = ((F.col("pos") - F.length("left")).cast("long").alias("s"), (F.col("pos") + F.length("right")).cast("long").alias("e"))
+        found = found.unionByName(met.filter("not first").select("doc", "tie", *ends))
+        firsts = met.filter("first").drop("first")
+        sizes = firsts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        kept = written(firsts.join(sizes, "key").withColumnRenamed("key", "h"), "kept")
+        sorts = sorts.unionByName(kept.filter(F.col("size") <= GROUP).select("h", *columns))
+        now = kept.filter(F.col("size") > GROUP).select("h", "lo", "hi", *columns)
+    return sorts, found
 
 
 def removed(docs: DataFrame, characters: bool = False) -> DataFrame:
@@ -475,7 +499,8 @@ def removed(docs: DataFrame, characters: bool = False) -> DataFrame:
     texts = rows.groupBy("doc", "tie").agg(F.first("text").alias("text"), F.first("rest").alias("rest"), F.count("*").alias("copies"))
     around = written(_with_surroundings(texts, marks), "around")
     found = marks.filter("h is null").select("doc", "tie", "s", "e")
-    for more in (_within_chunks(rows), _sorted_intervals(around), _hashed_intervals(around)):
+    sorts, narrow = _narrowed(around)
+    for more in (_within_chunks(rows), _sorted_intervals(sorts), narrow):
         found = found.unionByName(more)
     found = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("found"))
     both = texts.join(found, ["doc", "tie"], "left").select("rest", "copies", "text", "found")

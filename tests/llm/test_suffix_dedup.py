@@ -136,3 +136,17 @@ def test_rows_of_one_id_whose_hashes_agree_in_31_bits_stay_apart(spark, docs, sh
     assert texts
     got = sd.removed(docs([(doc_id, t) for t in texts]).select("doc_id", "text")).collect()
     assert sorted(bytes(r.kept).decode() for r in got) == texts
+
+
+def test_frequent_anchors_make_few_rows(docs, shared, monkeypatch):
+    monkeypatch.setattr(sd, "GROUP", 50)
+    rng = np.random.default_rng(6)
+    letters = rng.integers(97, 123, 1 << 20).astype(np.uint8)
+    at = int(sd.gram_hashes(letters).argmin())
+    gram, passage = letters[at : at + sd.GRAM].tobytes().decode(), "a passage that many rows have after the words that are their anchor, while what is before differs: yes."
+    draw = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    rows = [(k, draw(90) + gram + (passage if k % 3 else draw(90))) for k in range(300)]
+    made = []
+    monkeypatch.setattr(sd, "written", lambda df, label, held=sd.written: made.append((label, out := held(df, label))) or out)
+    check(docs, rows)
+    assert 0 < sum(df.count() for label, df in made if label == "halves") < 20 * len(rows)
