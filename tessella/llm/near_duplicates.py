@@ -47,10 +47,11 @@ POSITIONS = 128  # minwise values in a signature; two bits of each make the sket
 SMALL = 2048  # a node with so many classes outside its largest component is compared exhaustively
 NODE_ROWS = 1 << 15  # rows of a node's largest component that a task compares others with
 TASK_ROWS = 1 << 14  # rows that a task compares at once; groups are never split
-PAIRS = 1 << 19  # pairs of sketches that a task compares at once
+PAIRS = 1 << 17  # pairs of sketches that a task compares at once
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19  # rows of a family that meet at once, and their shingles
 FEW = 8  # shingles of so many rows of a large group are counted pair by pair
-CELLS = 1 << 21  # cells of the matrix that counts the others
+CELLS = 1 << 20  # cells of the matrix that counts the others
+CHUNK_BYTES = 1 << 20  # text whose shingles a task finds at once
 PIVOTS = 4  # members that all others of a larger node are compared with
 TWICE = 0.25  # share of nodes that branch by two positions
 MISS = 1e-4
@@ -180,7 +181,7 @@ def _described(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, k1, k2, s0..s3, signature``: set size, a 128-bit hash of the set, its sketch and minwise values."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in arrays.chunks(batches):
+        for table in arrays.chunks(batches, most=CHUNK_BYTES):
             hashes, bounds = shingles(*arrays.text_bytes(table["text"]), size)
             n = np.diff(bounds)
             full = np.flatnonzero(n)
@@ -392,7 +393,7 @@ def _texts(docs: DataFrame, size: int) -> DataFrame:
     """``cls, text``: every row by its id, or by the number of its class without any."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in arrays.chunks(batches):
+        for table in arrays.chunks(batches, most=CHUNK_BYTES):
             numbers = _nameless(_keys(*shingles(*arrays.text_bytes(table["text"]), size))[0])
             yield pa.RecordBatch.from_arrays([pa.array(numbers), arrays.plain(table["text"])], ["cls", "text"])
 
@@ -408,12 +409,12 @@ def common_sizes(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     count = np.diff(np.append(np.flatnonzero(new), len(hashes)))
     per = np.repeat(count, count)
     few = FEW if rows > 64 else 1
-    out = np.zeros((rows, rows), np.int64)
+    out = np.zeros((rows, rows), np.int32)
     rare = (per > 1) & (per <= few)
     for k in range(1, few):
         own, value = row[rare], hashes[rare]
         both = np.flatnonzero(value[k:] == value[:-k])
-        out += np.bincount(own[both] * rows + own[both + k], minlength=rows * rows).reshape(rows, rows)
+        np.add.at(out, (own[both], own[both + k]), 1)
     often = per > few
     number, own = np.cumsum(new[often]) - 1, row[often]
     width = max(1, CELLS // max(rows, 1))
@@ -421,7 +422,7 @@ def common_sizes(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         k = slice(*np.searchsorted(number, [a, a + width]))
         has = np.zeros((rows, min(width, int(number[-1]) + 1 - a)), np.float32)
         has[own[k], number[k] - a] = 1
-        out += (has @ has.T).astype(np.int64)
+        out += (has @ has.T).astype(np.int32)
     return out
 
 
@@ -430,7 +431,7 @@ def _verified(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> Dat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key", BLOCK):
-            found = [shingles(*arrays.text_bytes(t["text"]), size) for t in arrays.chunks(table.select(["text"]).to_batches())]
+            found = [shingles(*arrays.text_bytes(t["text"]), size) for t in arrays.chunks(table.select(["text"]).to_batches(), most=CHUNK_BYTES)]
             hashes, n = np.concatenate([h for h, _ in found]), np.concatenate([np.diff(b) for _, b in found])
             bounds = np.concatenate([[0], np.cumsum(n)])
             names, own = np.unique(table["cls"].to_numpy(), return_inverse=True)
@@ -447,8 +448,11 @@ def _verified(docs: DataFrame, dealt: DataFrame, size: int, percent: int) -> Dat
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if b - a > 1:
                     both = common_sizes(hashes[bounds[a] : bounds[b]], np.repeat(np.arange(b - a), n[a:b]), b - a)
-                    x, y = np.nonzero(np.triu((both > 0) & (100 * both >= percent * (n[a:b, None] + n[None, a:b] - both)), 1))
-                    label = united(label, own[a + x], own[a + y])
+                    for x in range(b - a - 1):
+                        common, rest = both[x, x + 1 :], n[a + x] + n[a + x + 1 : b]
+                        y = np.flatnonzero((common > 0) & ((100 + percent) * common.astype(np.int64) >= percent * rest)) + x + 1
+                        if len(y):
+                            label = united(label, np.full(len(y), own[a + x]), own[a + y])
             yield _joins(names, label)
 
     rows = _texts(docs, size).join(dealt, "cls").select("key", "cls", "text")
