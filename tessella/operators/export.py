@@ -20,6 +20,9 @@ REQUIRED = ("family", "question", "gold_query")
 FORMATS = ("prompt_completion", "messages")
 IGNORED_LABEL = -100
 RATIO_TOLERANCE = 1e-9
+PACKED = "gzip"  # every reader of JSON lines knows it
+# Columns of an entry that its example shows or is made of.
+EXPORTED = ("uid", "benchmark_entry_id", "source_id", "source_dataset", "family", "question", "gold_query")
 
 # Width of one step of the rank search: 4 hex digits, so 65,536 counts at most.
 STEP_DIGITS = 4
@@ -261,22 +264,24 @@ def export_dataset(
     """E1, P11, E2 or E3, E4, S9 and S10 as one run: entries to files below ``path``.
 
     ``table`` is the per-family prompt table.  The first bad entry or missing
-    prompt fails the run, before anything is written below ``path``.  The examples
-    are written to ``scratch`` once, tightly packed since prompts repeat their template and question, so that the split's counts and its rows read
-    the same input.  Returns the metadata row.
+    prompt fails the run, before anything is written below ``path``.  The entries
+    are written to ``scratch`` once, so that the split's counts and its rows read
+    the same input; prompts, which repeat their template and question, are made again
+    wherever they are read.  The files of examples are packed for the same reason.
+    Returns the metadata row.
     """
     # Read from files the table has a known size, so that a small one is broadcast and no entry moves.
-    built = build_prompts(require_valid(entries), written(table, "prompt-table"))
-    bad = built.filter("prompt_error is not null").select("uid", "prompt_error").orderBy("uid").first()
+    table = written(table, "prompt-table")
+    bad = build_prompts(require_valid(entries), table).filter("prompt_error is not null").select("uid", "prompt_error").orderBy("uid").first()
     if bad:
         raise ValueError(f"{bad[0]}: {bad[1]}")
-    build_examples(built, export_format).write.option("compression", "zstd").parquet(scratch)
-    examples = entries.sparkSession.read.parquet(scratch)
+    entries.select(*(c for c in entries.columns if c in EXPORTED)).write.option("compression", "zstd").parquet(scratch)
+    examples = build_examples(build_prompts(entries.sparkSession.read.parquet(scratch), table), export_format)
     if split:
         examples = split_examples(examples, ratios=ratios, seed=seed)
-        writers.write_splits(examples, f"{path}/examples")
+        writers.write_splits(examples, f"{path}/examples", compression=PACKED)
     else:
-        writers.write_all(examples, f"{path}/examples")
+        writers.write_all(examples, f"{path}/examples", PACKED)
     report = export_metadata(examples, export_format, seed, ratios)
     writers.write_report(report, f"{path}/metadata")
     return report

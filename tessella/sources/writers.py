@@ -31,14 +31,14 @@ def write_json_lists(df: DataFrame, path: str, order: Sequence[str], size: int =
     lists.select("part", text.alias("value")).write.mode("errorifexists").partitionBy("part").text(path)
 
 
-def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
+def write_splits(df: DataFrame, path: str, split: str = "split", compression: str = "none") -> None:
     """One folder per split, written by the tasks that hold the rows."""
-    df.write.mode("errorifexists").partitionBy(split).option("ignoreNullFields", False).json(path)
+    df.write.mode("errorifexists").partitionBy(split).option("ignoreNullFields", False).json(path, compression=compression)
 
 
-def write_all(df: DataFrame, path: str) -> None:
+def write_all(df: DataFrame, path: str, compression: str = "none") -> None:
     """S9 without a split: everything under ``split=all``."""
-    write_splits(df.withColumn("split", F.lit("all")), path)
+    write_splits(df.withColumn("split", F.lit("all")), path, compression=compression)
 
 
 def write_report(row: DataFrame, path: str) -> None:

@@ -168,3 +168,25 @@ def test_an_export_moves_no_entry_and_packs_its_scratch(spark, tmp_path, monkeyp
     assert report.total_examples == 300
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
     assert all(f.name.endswith(".zstd.parquet") for f in (tmp_path / "s").glob("*.parquet"))
+
+
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file())
+
+
+@pytest.mark.parametrize("export_format", export.FORMATS)
+def test_an_export_keeps_no_prompt_twice(spark, tmp_path, export_format):
+    """Templates are many times longer than questions; what lies on disk must not grow with their product."""
+    noise = "".join(hashlib.sha512(str(k).encode()).hexdigest() for k in range(100))
+    table = spark.createDataFrame([("f", "p", f"{noise} [Research Question]", None)], "family string, profile string, template_text string, profile_error string")
+    entries = spark.range(0, 600, 1, 2).selectExpr(
+        "'u' || id as uid", "cast(id as int) as source_id", "'d' as source_dataset", "'f' as family", "'why ' || id as question", "'ASK {}' as gold_query", "cast(id as int) as pos", "uuid() as unused"
+    )
+    report = export.export_dataset(entries, table, str(tmp_path / "out"), str(tmp_path / "s"), export_format).first()
+    assert (report.train_examples, report.dev_examples, report.test_examples) == (480, 60, 60)
+    whole = 600 * len(noise)
+    assert folder_bytes(tmp_path / "s") < whole / 50 and folder_bytes(tmp_path / "out") < whole * 0.8
+    rows = spark.read.json(str(tmp_path / "out" / "examples"))
+    prompt = F.col("prompt") if export_format == "prompt_completion" else F.col("messages")[0]["content"]
+    got = {(r.uid, r.p) for r in rows.select("uid", prompt.alias("p")).collect()}
+    assert got == {(f"u{k}", f"{noise} why {k}") for k in range(600)} and rows.count() == 600
