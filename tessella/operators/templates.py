@@ -280,13 +280,62 @@ def sections(rows: DataFrame, wanted: Sequence[str] = ("schema_section", "hierar
     return grouped.select("mapping", *(texts_of[w].alias(w) for w in wanted))
 
 
-def section_segments(rows: DataFrame, size: int = LINES) -> DataFrame:
+def section_segments(rows: DataFrame, size: int = LINES, held: int = LINES) -> DataFrame:
     """P4, P5 for mappings of any length: ``mapping, section, segment, offset, text``.
 
-    ``section`` is ``schema`` or ``hierarchy``.  Rows are ranked in their mapping across tasks and every segment of
-    ``size`` rows is rendered by its own; a section's heading goes with its first segment and its end with its
-    last, so that the segments in order are the section.
+    ``section`` is ``schema`` or ``hierarchy``. A section's heading goes with its first segment and its end with its
+    last, so that the segments in order are the section.  Mappings of at most ``held`` rows, which are
+    counted before, are cut where their rows meet; those of more are ranked across tasks and every segment of ``size``
+    rows is rendered by its own.
     """
+    rows = rows.filter("mapping is not null")
+    counts = rows.groupBy("mapping").agg(F.count("*").alias("n"))
+    long = written(counts.filter(F.col("n") > held).select(F.col("mapping").alias("__long")), "long-mappings")
+    if not long.limit(1).count():
+        return _short_segments(rows, size)
+    of_long = F.col("mapping") == F.col("__long")
+    return _short_segments(rows.join(long, of_long, "left_anti"), size).unionByName(_long_segments(rows.join(long, of_long, "left_semi"), size))
+
+
+def _short_segments(rows: DataFrame, size: int) -> DataFrame:
+    """``section_segments`` of mappings that a task holds."""
+    outline = F.concat(F.when(F.col("level") == 1, "\n").otherwise(""), hierarchy_line())
+    lines = rows.select("mapping", "pos", "level", schema_line().alias("schema"), outline.alias("outline"))
+    line = F.struct("pos", "level", "schema", "outline", F.length("schema").cast("long").alias("ns"), F.length("outline").cast("long").alias("no"))
+    one = lines.groupBy("mapping").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    # no blank line before the first one
+    first = F.when(F.col("lines")[0]["level"] == 1, 1).otherwise(0)
+    head = lambda c, made: F.concat(F.array(made(F.col("lines")[0][c])), F.slice(F.col("lines")[c], 2, F.size("lines")))
+    one = one.select(
+        "mapping",
+        F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / size).cast("int")).alias("ks"),
+        F.col("lines.schema").alias("schema"),
+        head("outline", lambda c: F.substring(c, first + 1, F.length(c))).alias("outline"),
+        F.col("lines.ns").alias("ns"),
+        head("no", lambda c: c - first).alias("no"),
+    )
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    cut = lambda c, k: F.slice(c, k * size + 1, size)
+    lengths = lambda c: F.transform("ks", lambda k: total(cut(F.col(c), k)))
+    one = one.select("mapping", "ks", "schema", "outline", lengths("ns").alias("ns"), lengths("no").alias("no"))
+    each = one.select("*", F.explode_outer("ks").alias("k"))
+
+    def section(name: str, line: str, length: str, heading: str, end: str) -> Column:
+        before = total(F.slice(length, F.lit(1), F.col("k"))) + F.when(F.col("k") > 0, len(heading)).otherwise(0)
+        text = F.concat(
+            F.when(F.col("k") == 0, heading).otherwise(""),
+            F.array_join(cut(F.col(line), F.col("k")), ""),
+            F.when(F.col("k") == F.size("ks") - 1, end).otherwise(""),
+        )
+        return F.struct(F.lit(name).alias("section"), before.alias("offset"), text.alias("text"))
+
+    both = F.array(section("schema", "schema", "ns", texts.SCHEMA_HEAD, ""), section("hierarchy", "outline", "no", texts.OUTLINE_HEAD, "\n" + texts.OUTLINE_FOOT))
+    found = each.select("mapping", F.col("k").cast("long").alias("segment"), F.explode(both).alias("s"))
+    return found.select("mapping", "s.section", "segment", "s.offset", "s.text")
+
+
+def _long_segments(rows: DataFrame, size: int) -> DataFrame:
+    """``section_segments`` of mappings of any length."""
     ranked_rows = ranked(rows.withColumn("__order", F.struct("pos")), ["mapping"], ["__order"])
     sizes = ranked_rows.groupBy("mapping").agg(F.max("rank").alias("__last"))
     placed = ranked_rows.join(sizes, "mapping")

@@ -117,3 +117,25 @@ def test_a_class_of_nine_tenths_of_the_rows(spark):
     rows += [("m", 1, "R1", "small", {"id": "B", "label": "b"}, [prop("Q", "A", 1), prop("Q2", None, 2)])]
     rows += made(2, 2, 0.9)
     assert told(spark, rows, most=5) == brute(rows)
+
+
+@pytest.mark.parametrize("held", [0, 7, templates.LINES])
+@pytest.mark.parametrize("size", [1, 3, templates.LINES])
+def test_segments_put_together_are_the_sections(spark, held, size):
+    rows = templates.template_mapping(spark.createDataFrame(made(7, 6, 0.3) + [(None, *r[1:]) for r in made(8, 1, 0.0)], SCHEMA)).cache()
+    found = {}
+    for r in sorted(templates.section_segments(rows, size, held).collect(), key=lambda r: r.segment):
+        text, n = found.get((r.mapping, r.section), ("", 0))
+        assert (r.segment, r.offset) == (n, len(text))
+        found[r.mapping, r.section] = text + r.text, n + 1
+    for r in templates.sections(rows.filter("mapping is not null")).collect():
+        assert found.pop((r.mapping, "schema"))[0] == r.schema_section
+        assert found.pop((r.mapping, "hierarchy"))[0] == r.hierarchy_section
+    assert not found
+
+
+def test_segments_of_small_mappings_move_no_row(spark, monkeypatch):
+    monkeypatch.setattr(templates, "ranked", None)
+    rows = templates.template_mapping(spark.createDataFrame(made(1, 8, 0.3), SCHEMA))
+    plan = templates.section_segments(rows, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "Window" not in plan
