@@ -152,42 +152,35 @@ def _gathered(templates: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
     one = one.select("mapping", "ts", classes.alias("classes"))
     one = one.select("mapping", F.flatten(F.transform("ts", own)).alias("ps"), F.array_distinct(F.transform("ts", lambda t: t["tpos"])).alias("places"))
-    # each place's properties are looked for once, and a property knows by number where those below it are
-    groups = F.transform("places", lambda place: F.filter("ps", lambda c: c["tpos"] == place))
+    # each place's properties are looked for once, and a property knows by number where those below it are;
+    # the null before them is the row of the property above
+    groups = F.transform("places", lambda place: F.concat(F.array(F.lit(None)), F.filter("ps", lambda c: c["tpos"] == place)))
     numbered = F.transform("ps", lambda p: p.withField("group", F.array_position("places", p["to"]["target"]) - 1))
     one = one.select("mapping", "places", numbered.alias("ps")).select("mapping", "ps", groups.alias("groups"))
     by_path = F.transform(F.array_distinct(F.transform("ps", lambda p: p["path"])), lambda path: F.filter("ps", lambda p: p["path"] == path))
     top = F.transform(
-        by_path,
+        "by_path",
         lambda of: F.struct(
             F.array_max(of).alias("v"),  # of the last template: tpos comes first
             F.array_min(F.transform(of, lambda p: F.struct(p["tpos"].alias("t"), p["place"].alias("p1")))).alias("at"),
         ),
     )
-    one = one.select("mapping", "groups", top.alias("top"))
-    below = lambda p: F.coalesce(F.get("groups", p["group"].cast("int")), F.array())
-
-    def row(level: int, at: Column, *line: Column) -> Column:
-        p, none = line[-1], F.lit(None).cast("string")
-        to = p["to"] if level < 3 else None
-        found = to.isNotNull() if level < 3 else F.lit(False)
-        pos = [at["t"], at["p1"], *(x["place"] for x in line[1:]), *[F.lit(-1)] * (3 - level)]
-        made = {f"path{i + 1}": line[i]["path"] if i < level else none for i in range(3)}
-        made |= {c: p[c] for c in ("label", "cardinality", "description", "predicate_label", "class_label")}
-        made |= {"class_id": F.when(found, p["class_id"])}
-        made |= {f"subtemplate_{c}": to[f"target_{c}"] if level < 3 else none for c in ("id", "label")}
-        return F.struct(
-            F.lit(level).alias("level"),
-            *(made[c].alias(c) for c in wanted),
-            F.struct(*(c.alias(n) for c, n in zip(pos, ("t", "p1", "p2", "p3")))).alias("pos"),
-        )
-
-    def under(x: Column) -> Column:
-        p1, at = x["v"], x["at"]
-        deeper = lambda p2: F.concat(F.array(row(2, at, p1, p2)), F.transform(below(p2), lambda p3: row(3, at, p1, p2, p3)))
-        return F.concat(F.array(row(1, at, p1)), F.flatten(F.transform(below(p1), deeper)))
-
-    return one.select("mapping", F.explode(F.flatten(F.transform("top", under))).alias("r")).select("mapping", "r.*")
+    # rows are made by compiled explosions; a lambda would be interpreted for each of them
+    below = lambda p: F.explode_outer(F.get("groups", F.col(p)["group"].cast("int")))
+    rows = one.select("mapping", "groups", by_path.alias("by_path")).select("mapping", "groups", F.explode(top).alias("x"))
+    rows = rows.select("mapping", "groups", F.col("x.v").alias("v1"), F.col("x.at").alias("at"))
+    rows = rows.select("*", below("v1").alias("v2")).select("*", below("v2").alias("v3"))
+
+    level = F.when(F.col("v2").isNull(), 1).when(F.col("v3").isNull(), 2).otherwise(3)
+    shown_of = lambda c: F.when(F.col("v2").isNull(), F.col("v1")[c]).when(F.col("v3").isNull(), F.col("v2")[c]).otherwise(F.col("v3")[c])
+    to = F.when(F.col("v2").isNull(), F.col("v1")["to"]).when(F.col("v3").isNull(), F.col("v2")["to"])
+    made = {f"path{i}": F.col(f"v{i}")["path"] for i in (1, 2, 3)}
+    made |= {c: shown_of(c) for c in ("label", "cardinality", "description", "predicate_label", "class_label") if c in wanted}
+    if "class_id" in wanted:
+        made |= {"class_id": F.when(to.isNotNull(), shown_of("class_id"))}
+    made |= {f"subtemplate_{c}": to[f"target_{c}"] for c in ("id", "label")}
+    at = {"t": F.col("at.t"), "p1": F.col("at.p1"), "p2": F.coalesce(F.col("v2.place"), F.lit(-1)), "p3": F.coalesce(F.col("v3.place"), F.lit(-1))}
+    return rows.select("mapping", level.alias("level"), *(made[c].alias(c) for c in wanted), F.struct(*(c.alias(n) for n, c in at.items())).alias("pos"))
 
 
 def _by_levels(templates: DataFrame, most: int) -> DataFrame:
